@@ -1,8 +1,8 @@
 """The corpus operators' queries and SQL by name."""
 
-from . import huffman, packing, sharding, simhash
+from . import huffman, language, packing, sharding, simhash
 
-_MODULES = (packing, simhash, huffman, sharding)
+_MODULES = (packing, simhash, language, huffman, sharding)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
