@@ -6,9 +6,11 @@ import itertools
 import json
 import os
 import re
+import struct
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,19 +105,20 @@ def crc_of_text() -> Column:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts with other characters than these, or with the opening of a special token, go to the library whole.
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\|")
-#: Words a worker remembers at most.
-CACHE_WORDS = 600_000
+#: The pattern above, for lower-cased texts of those characters.
+_LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
+#: Words, and white-space separated chunks of them, that a worker remembers at most.
+CACHE_WORDS, CACHE_CHUNKS = 900_000, 500_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct word once: this vocabulary's pre-tokenizer cuts a text into words
-    that are merged one by one, so a text's ids are its words' ids in a row. The cut is made here only for characters whose
-    normal form and case are beyond doubt; any other text is handed to the library as it is."""
+    """Encodes texts with the tokenizers library, each distinct word once: this vocabulary's pre-tokenizer drops white space and merges
+    nothing across it, so a text's ids are those of its white-space separated words in a row. Texts are split here only if their
+    characters' normal form, case and white space are beyond doubt; any other text is handed to the library as it is."""
 
     def __init__(self, spec: str, end_id: int = 1):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,46 +127,59 @@ class WordEncoder:
         steps = [x.get("type") for x in (form.get("normalizer") or {}).get("normalizers", [])]
         cuts = (form.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern", {}).get("Regex") == WORD_PATTERN
-        self.cut = regex.compile(WORD_PATTERN).findall
+        self.size = 1 + max(int(end_id), *form["model"]["vocab"].values(), *(x["id"] for x in form.get("added_tokens", [])))
         self.end = int(end_id).to_bytes(4, "little")
+        suffix = form["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for p, i in form["model"]["vocab"].items() if suffix and p.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        import numpy as np
-
+    def _learn(self, chunks: list[str]) -> None:
+        """Adds chunks to those known: each is cut into words by the vocabulary's own pattern, and new words are encoded."""
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
+        missing = list(set(chunks).difference(self.chunks))
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        known = self.words
-        missing = [w for w in set(words) if w not in known]
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        known, cut = self.words, _LATIN_WORDS
+        parts = [[c] if c.isalpha() else cut(c) for c in missing]
+        new = list(set(itertools.chain.from_iterable(parts)).difference(known))
+        groups = [new[i : i + 500] for i in range(0, len(new), 500)]
+        for part, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                known.update(zip(part, [raw[a:b] for a, b in itertools.pairwise([0, *ends])], strict=True))
+            else:  # not every word ends in a piece that marks a word's end
+                known.update((w, _u4(x.ids)) for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        get = known.__getitem__
+        self.chunks.update(zip(missing, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
         cut: list[tuple[int, list[str]]] = []
-        odd: list[int] = []
         for i, t in enumerate(texts):
             if not t:
                 out[i] = self.end
             elif self.plain and not _ODD.search(t):
-                cut.append((i, self.cut(t.lower())))
+                cut.append((i, t.lower().split()))
             else:
-                odd.append(i)
+                out[i] = _u4(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end
         if cut:
             self._learn(list(itertools.chain.from_iterable(w for _, w in cut)))
-            get = self.words.__getitem__
+            get = self.chunks.__getitem__
             for i, w in cut:
                 out[i] = b"".join(map(get, w)) + self.end
-        for i in odd:
-            import numpy as np
-
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() + self.end
         return out  # type: ignore[return-value]
 
 
+def _u4(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def encoder(spec: str, end_id: int) -> WordEncoder:
     """One encoder for each Python worker, kept between tasks."""
     key = f"{hash(spec)}-{end_id}"

@@ -173,27 +173,34 @@ def decode_block(block: bytes, table: tuple[np.ndarray, np.ndarray, int], start:
 # ---------------------------------------------------------------------------------------------------------------- Spark
 
 def token_rows(docs: DataFrame, spec: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and the ids as little-endian 16-bit (or, for large vocabularies, 32-bit) numbers."""
+    """doc_id, n_tokens, ids_crc32 and the ids as little-endian 16-bit (or, for large vocabularies, 32-bit) numbers. Each task ends with
+    a row that has only `seen`: the ids that it has met and how often, so that counting them needs no second look."""
     spec_b = docs.sparkSession.sparkContext.broadcast(spec)
-    schema = C.schema_of(docs, "doc_id", n_tokens=C.LONG, ids_crc32=C.LONG, ids=C.BIN)
+    schema = C.schema_of(docs, "doc_id", n_tokens=C.LONG, ids_crc32=C.LONG, ids=C.BIN, seen=C.BIN)
 
     def run(batches):
         import pyarrow as pa
 
         enc = C.encoder(spec_b.value, end_id)
-        narrow = enc.tokenizer.get_vocab_size() <= 1 << 16
+        width = _width(enc.size)
+        total = np.zeros(enc.size, np.int64)
+        kind = None
         for batch in batches:
+            kind = batch.schema.field(0).type
             for part in C.slices(batch):
                 raw = enc.encode(part.column(1).to_pylist())
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw] if narrow else raw
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
+                total += np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=enc.size)
+                ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(raw), pa.binary())], names=schema.names)
+        if kind is not None:
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.stack([met, total[met]]).astype("<i8").tobytes()], pa.binary())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def id_counts(rows: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in all documents; each task sends one row for each id it has seen."""
-    width = _width(vocabulary)
+    """How often each id occurs in all documents, from the tasks' own counts."""
 
     def run(batches):
         import pyarrow as pa
@@ -201,11 +208,12 @@ def id_counts(rows: DataFrame, vocabulary: int) -> np.ndarray:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
             for raw in b.column(0):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), width), minlength=vocabulary)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])
+                met, n = np.frombuffer(raw.as_buffer(), "<i8").reshape(2, -1)
+                total[met] += n
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["id", "n"])
 
-    got = rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most a row for each id
+    got = rows.where("seen is not null").select("seen").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most a row for each id
     counts = np.zeros(vocabulary, np.int64)
     counts[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return counts
@@ -253,7 +261,7 @@ def write(docs: DataFrame, path: str, spec: str | None = None, end_id: int = 1,
             yield out()
 
     shards = shards or C.shuffle_parts(spark)
-    rows.repartitionByRange(shards, "doc_id", "ids_crc32").sortWithinPartitions("doc_id", "ids_crc32").select("doc_id", "ids").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    rows.where("seen is null").select("doc_id", "ids_crc32", "ids").repartitionByRange(shards, "doc_id", "ids_crc32").sortWithinPartitions("doc_id", "ids_crc32").select("doc_id", "ids").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     C.drop_stage(rows)
 
 
