@@ -107,12 +107,46 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\|")
 #: The pattern above, for lower-cased texts of those characters.
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
-#: Words, and white-space separated chunks of them, that a worker remembers at most.
-CACHE_WORDS, CACHE_CHUNKS = 900_000, 500_000
+#: Words, and white-space separated chunks of them, in a generation of what a worker remembers.
+CACHE_WORDS, CACHE_CHUNKS = 450_000, 350_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+class Recent(dict):
+    """A dictionary of what was asked for lately: when it has `size` entries it starts anew, and entries of the last generation come
+    back as they are asked for."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def missing(self, keys) -> list:
+        """Those keys that are in neither generation; the others are in this one from now on."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        out, old = [], self.old
+        for k in set(keys).difference(self):
+            if (v := old.get(k)) is None:
+                out.append(k)
+            else:
+                self[k] = v
+        return out
+
+
+def _doubtful(text: str) -> bool:
+    """Whether the text has characters whose normal form, case or white space this module does not vouch for."""
+    if any(c in text for c in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")):
+        return True
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return bool(_ODD.search(text))
+    return False
+
+
 class WordEncoder:
     """Encodes texts with the tokenizers library, each distinct word once: this vocabulary's pre-tokenizer drops white space and merges
     nothing across it, so a text's ids are those of its white-space separated words in a row. Texts are split here only if their
@@ -132,19 +166,14 @@ class WordEncoder:
         suffix = form["model"].get("end_of_word_suffix") or ""
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for p, i in form["model"]["vocab"].items() if suffix and p.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_CHUNKS)
 
     def _learn(self, chunks: list[str]) -> None:
         """Adds chunks to those known: each is cut into words by the vocabulary's own pattern, and new words are encoded."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        missing = list(set(chunks).difference(self.chunks))
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+        missing = self.chunks.missing(chunks)
         known, cut = self.words, _LATIN_WORDS
         parts = [[c] if c.isalpha() else cut(c) for c in missing]
-        new = list(set(itertools.chain.from_iterable(parts)).difference(known))
+        new = known.missing(itertools.chain.from_iterable(parts))
         groups = [new[i : i + 500] for i in range(0, len(new), 500)]
         for part, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -164,7 +193,7 @@ class WordEncoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = self.end
-            elif self.plain and not _ODD.search(t):
+            elif self.plain and not _doubtful(t):
                 cut.append((i, t.lower().split()))
             else:
                 out[i] = _u4(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end

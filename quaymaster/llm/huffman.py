@@ -230,7 +230,7 @@ def write(docs: DataFrame, path: str, spec: str | None = None, end_id: int = 1,
     spark, spec = docs.sparkSession, spec or C.tokenizer_spec()
     form = json.loads(spec)
     vocabulary = 1 + max([end_id, *form["model"]["vocab"].values(), *(x["id"] for x in form.get("added_tokens", []))])
-    rows = C.staged(token_rows(docs, spec, end_id), "ids")
+    rows = C.staged(token_rows(docs, spec, end_id), "ids", "snappy")
     lengths = code_lengths(id_counts(rows, vocabulary), limit)
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id)], "lengths binary, end_id int").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast(lengths.tobytes())

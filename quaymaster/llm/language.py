@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 FIT_DOCS, FIT_WORDS, ROUNDS = 1_500, 30_000, 4
+MIN_SCORE = 0.5
 WORD_CHARS, PIECE_CHARS = 40, 12
 #: A factor for each character, so that products of probabilities stay in range.
 SCALE = 64.0
@@ -256,6 +257,12 @@ def identify(docs: DataFrame, keep: list[str] | None = None, path: str | None =
     return predict(docs, list(counts), pieces, prob, keep)
 
 
+def with_language(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """docs without those that have no letter or whose language is uncertain (a score under `least`)."""
+    got = identify(docs.withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "lang", "_row"), ["_row"])
+    return got.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = identify(C.documents(spark, sf_dir), ["doc_id"])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))

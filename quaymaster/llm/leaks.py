@@ -204,6 +204,24 @@ def leaked(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, cover:
     return out.select("doc_id", "item_id", "n_words", "covered", (F.col("covered") / F.col("n_words")).alias("coverage"), "tiles", "longest")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, cover: float = COVER) -> DataFrame:
+    """The rows of docs (with any columns, `text` among them) that leak no item. Rows are sifted where they lie; nothing is shuffled."""
+    sc, schema, at = docs.sparkSession.sparkContext, docs.schema, docs.columns.index("text")
+    for items in blocks(benchmark):
+        sent = sc.broadcast(items)
+
+        def run(batches, sent=sent):
+            import pyarrow as pa
+
+            index = Index(sent.value, least)
+            for batch in batches:
+                for part in C.slices(batch):
+                    yield part.filter(pa.array([not index.hits(t, cover) for t in part.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(C.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

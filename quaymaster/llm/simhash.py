@@ -188,6 +188,14 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """docs with one document of each component, the one with the smallest doc_id. Rows of one doc_id are one document; rows without a
+    doc_id stay, as nothing tells them apart."""
+    kept = near_duplicates(docs, words).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.documents(spark, sf_dir))
 
