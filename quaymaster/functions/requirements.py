@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from . import versions as V
 
@@ -92,7 +93,7 @@ def holds(version: Column, key: Column, tests: Column, ecosystem: Column) -> Col
     return F.exists(tests, lambda group: F.forall(group, one))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def pep440_satisfies(version: pd.Series, requirement: pd.Series) -> pd.Series:
     """Specifier sets of PEP 440; what cannot be parsed counts as satisfied. Alternatives are parted by two bars."""
     from packaging.specifiers import SpecifierSet
