@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import os
@@ -121,18 +122,16 @@ class Recent(dict):
         super().__init__()
         self.size, self.old = size, {}
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> list:
         """Those keys that are in neither generation; the others are in this one from now on."""
         if len(self) > self.size:
             self.old = dict(self)
             self.clear()
-        out, old = [], self.old
-        for k in set(keys).difference(self):
-            if (v := old.get(k)) is None:
-                out.append(k)
-            else:
-                self[k] = v
-        return out
+        new = keys.difference(self)
+        if self.old and (back := new & self.old.keys()):
+            self.update((k, self.old[k]) for k in back)
+            new -= back
+        return list(new)
 
 
 def _doubtful(text: str) -> bool:
@@ -168,12 +167,12 @@ class WordEncoder:
         self.ends[[i for p, i in form["model"]["vocab"].items() if suffix and p.endswith(suffix)]] = True
         self.words, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_CHUNKS)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         """Adds chunks to those known: each is cut into words by the vocabulary's own pattern, and new words are encoded."""
         missing = self.chunks.missing(chunks)
         known, cut = self.words, _LATIN_WORDS
         parts = [[c] if c.isalpha() else cut(c) for c in missing]
-        new = known.missing(itertools.chain.from_iterable(parts))
+        new = known.missing(set().union(*parts))
         groups = [new[i : i + 500] for i in range(0, len(new), 500)]
         for part, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -188,6 +187,15 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
+        was = gc.isenabled()
+        gc.disable()  # many small lists and no cycles: collections would only cost time
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         cut: list[tuple[int, list[str]]] = []
         for i, t in enumerate(texts):
@@ -198,7 +206,7 @@ class WordEncoder:
             else:
                 out[i] = _u4(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end
         if cut:
-            self._learn(list(itertools.chain.from_iterable(w for _, w in cut)))
+            self._learn(set().union(*(w for _, w in cut)))
             get = self.chunks.__getitem__
             for i, w in cut:
                 out[i] = b"".join(map(get, w)) + self.end

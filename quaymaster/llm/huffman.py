@@ -31,7 +31,7 @@ from . import common as C
 MAGIC = b"QMH1"
 HEAD = struct.Struct("<4sIQQIQ")
 DOC = np.dtype([("doc_id", "<i8"), ("n_ids", "<u8"), ("flags", "u1")])
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 STEP = 256
 LIMIT = 18
 
@@ -265,15 +265,15 @@ def write(docs: DataFrame, path: str, spec: str | None = None, end_id: int = 1,
     C.drop_stage(rows)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and `ids`, all from the files alone."""
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, `ids`, all from the files alone."""
     blocks = spark.read.parquet(f"{path}/blocks")
     book = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/codebook").first()["lengths"]))
     before, total = {}, 0
     for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():  # a row for each shard
         before[r["shard"]] = total
         total += r["n"]
-    schema = T.StructType([T.StructField("doc_id", C.LONG), T.StructField("start", C.LONG), T.StructField("n_tokens", C.LONG), T.StructField("ids_crc32", C.LONG), T.StructField("ids", C.BIN)])
+    schema = T.StructType([T.StructField("doc_id", C.LONG), T.StructField("start", C.LONG), T.StructField("n_tokens", C.LONG), T.StructField("ids_crc32", C.LONG), *([T.StructField("ids", C.BIN)] if with_ids else [])])
 
     def run(batches):
         import pyarrow as pa
@@ -287,7 +287,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(docs["n_ids"].astype(np.int64))
                 starts = ends - docs["n_ids"].astype(np.int64)
                 raw = [flat[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs["doc_id"], mask=(docs["flags"] & 1).astype(bool)), pa.array(starts + (before[shard] + first)), pa.array(ends - starts), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(docs["doc_id"], mask=(docs["flags"] & 1).astype(bool)), pa.array(starts + (before[shard] + first)), pa.array(ends - starts), pa.array([zlib.crc32(x) for x in raw], pa.int64()), *([pa.array(raw, pa.binary())] if with_ids else [])], names=schema.names)
 
     return blocks.select("shard", "payload").mapInArrow(run, schema)
 
@@ -295,7 +295,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.new_path(spark, "tokens")
     write(C.documents(spark, sf_dir), path)
-    return read(spark, path).drop("ids")
+    return read(spark, path, with_ids=False)
 
 
 QUERIES = {"op6_huffman_token_ids": op6_tokens}
