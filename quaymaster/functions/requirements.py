@@ -83,11 +83,16 @@ def parsed(requirement: Column, ecosystem: Column) -> Column:
     return F.flatten(F.transform(F.split(V.strip(requirement), r"\|\|"), alternative))
 
 
-def holds(version: Column, key: Column, tests: Column, ecosystem: Column) -> Column:
-    """Whether a version (with its key) satisfies a parsed requirement."""
+def with_keys(tests: Column, ecosystem: Column) -> Column:
+    """Adds its key to each test's reference."""
+    return F.transform(tests, lambda g: F.transform(g, lambda t: F.struct(t["op"].alias("op"), t["ref"].alias("ref"), V.version_key(t["ref"], ecosystem).alias("key"))))
+
+
+def holds(version: Column, key: Column, tests: Column) -> Column:
+    """Whether a version (with its key) satisfies a parsed requirement (with its keys)."""
 
     def one(t: Column) -> Column:
-        c = V.compare(key, V.version_key(t["ref"], ecosystem))
+        c = V.compare(key, t["key"])
         return F.when(t["op"] == "prefix", F.startswith(version, t["ref"])).when(t["op"] == ">=", c >= 0).when(t["op"] == "<=", c <= 0).when(t["op"] == ">", c > 0).when(t["op"] == "<", c < 0).otherwise(c == 0)
 
     return F.exists(tests, lambda group: F.forall(group, one))
@@ -119,5 +124,5 @@ def satisfies(version: Column, requirement: Column, ecosystem: Column) -> Column
     """The whole test for one row; for joins, parse distinct requirements first (operators.resolution)."""
     eco = F.lower(F.coalesce(ecosystem, F.lit("")))
     pip = eco.isin("pypi", "pip")
-    native = V.let(V.version_key(version, ecosystem), lambda k: holds(version, k, parsed(requirement, ecosystem), ecosystem))
+    native = V.let(V.version_key(version, ecosystem), lambda k: holds(version, k, with_keys(parsed(requirement, ecosystem), ecosystem)))
     return F.when(pip, pep440_satisfies(F.when(pip, version), requirement)).otherwise(native)

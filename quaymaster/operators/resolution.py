@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import requirements as R
 from ..functions import versions as V
+from ..plans.staging import staged
 
 
 def satisfying(wanted: DataFrame, versions: DataFrame) -> DataFrame:
-    """wanted (pkg_id, ecosystem, requirement), distinct -> one row for each version of the package that satisfies the requirement."""
-    keyed = versions.select("pkg_id", "ver_id", "version")
-    pairs = wanted.withColumn("tests", R.parsed(F.col("requirement"), F.col("ecosystem"))).join(keyed, "pkg_id").withColumn("key", V.version_key(F.col("version"), F.col("ecosystem")))
+    """wanted (pkg_id, ecosystem, requirement), distinct -> one row for each version of the package that satisfies the requirement. Keys
+    of requirements and of versions are computed once each and written before the join, so that a pair costs comparisons only."""
+    eco = F.col("ecosystem")
+    asked = staged(wanted.select("pkg_id", "ecosystem", "requirement", R.with_keys(R.parsed(F.col("requirement"), eco), eco).alias("tests")), "requirements")
+    named = wanted.select("pkg_id", "ecosystem").distinct().join(versions.select("pkg_id", "ver_id", "version"), "pkg_id")
+    keyed = staged(named.select("pkg_id", "ecosystem", "ver_id", "version", V.version_key(F.col("version"), eco).alias("key")), "candidates")
+    pairs = asked.join(keyed, ["pkg_id", "ecosystem"])
     pip = F.lower("ecosystem").isin("pypi", "pip")
-    native = pairs.where(~pip).where(R.holds(F.col("version"), F.col("key"), F.col("tests"), F.col("ecosystem")))
+    native = pairs.where(~pip).where(R.holds(F.col("version"), F.col("key"), F.col("tests")))
     python = pairs.where(pip).where(R.pep440_satisfies(F.col("version"), F.col("requirement")))
     return native.unionByName(python).drop("tests")
 

@@ -14,7 +14,7 @@ from ..operators import graph as G
 from ..operators import resolution as RES
 from ..sources import readers
 from .bridge import cte, table, tables
-from .staging import kept, shared_dir
+from .staging import kept, shared_dir, staged
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -497,9 +497,11 @@ def _(spark, sf):
 
 @query("scl09_satisfies", "SELECT ver_id, vkey >= 5 AND vkey < 25 AS caret, vkey >= 30 AND vkey < 35 AS tilde, vkey >= 10 AND vkey < 40 AS both_ends, vkey = 3 OR vkey >= 75 AS alternatives, vkey >= 25 AND vkey <= 50 AS hyphen, version LIKE '2.1%' AS x_range, vkey > 7 AND vkey <= 33 AS maven FROM versions", ("versions",))
 def _(spark, sf):
-    v = table(spark, sf, "versions")
-    ask = lambda r, eco="npm": R.holds(F.col("version"), V.version_key(F.col("version"), F.lit(eco)), R.parsed(F.lit(r), F.lit(eco)), F.lit(eco))
-    return v.select("ver_id", ask("^1.1.0").alias("caret"), ask("~2.1.0").alias("tilde"), ask(">=1.2.0 <2.3.0").alias("both_ends"), ask("1.0.3 || >=4.0.0").alias("alternatives"), ask("2.0.0 - 3.0.0").alias("hyphen"), ask("2.1.x").alias("x_range"), ask("(1.1.2,2.1.3]", "maven").alias("maven"))
+    wishes = {"caret": "^1.1.0", "tilde": "~2.1.0", "both_ends": ">=1.2.0 <2.3.0", "alternatives": "1.0.3 || >=4.0.0", "hyphen": "2.0.0 - 3.0.0", "x_range": "2.1.x", "maven": "(1.1.2,2.1.3]"}
+    eco = {k: F.lit("maven" if k == "maven" else "npm") for k in wishes}
+    one = staged(spark.range(1).select(*[R.with_keys(R.parsed(F.lit(r), eco[k]), eco[k]).alias(k) for k, r in wishes.items()]), "wishes")  # parsed once, not for each row
+    keyed = staged(table(spark, sf, "versions").select("ver_id", "version", V.version_key(F.col("version"), F.lit("npm")).alias("k_npm"), V.version_key(F.col("version"), F.lit("maven")).alias("k_maven")), "keyed")
+    return keyed.crossJoin(F.broadcast(one)).select("ver_id", *[R.holds(F.col("version"), F.col("k_maven" if k == "maven" else "k_npm"), F.col(k)).alias(k) for k in wishes])
 
 
 @query("scl09_satisfies_pypi", "SELECT ver_id, vkey >= 5 AND vkey < 50 AND vkey <> 12 AS hit FROM versions", ("versions",))
