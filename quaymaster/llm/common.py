@@ -109,7 +109,7 @@ _ODD = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\
 #: The pattern above, for lower-cased texts of those characters.
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
 #: Words, and white-space separated chunks of them, in a generation of what a worker remembers.
-CACHE_WORDS, CACHE_CHUNKS = 450_000, 350_000
+CACHE_WORDS, CACHE_CHUNKS = 240_000, 160_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -217,10 +217,22 @@ def _u4(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+_CLAIM: list = [None, None]
+
+
+def claim(owner: str, clear) -> None:
+    """Python workers live on from task to task; what one operator remembers there goes when another begins."""
+    if _CLAIM[0] not in (None, owner):
+        _CLAIM[1]()
+    _CLAIM[:] = [owner, clear]
+
+
 def encoder(spec: str, end_id: int) -> WordEncoder:
     """One encoder for each Python worker, kept between tasks."""
+    claim("tokens", _ENCODERS.clear)
     key = f"{hash(spec)}-{end_id}"
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = WordEncoder(spec, end_id)
     return _ENCODERS[key]
 

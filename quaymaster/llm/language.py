@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-FIT_DOCS, FIT_WORDS, ROUNDS = 1_500, 30_000, 4
+FIT_DOCS, FIT_WORDS, ROUNDS = 1_500, 12_000, 4
 MIN_SCORE = 0.5
 WORD_CHARS, PIECE_CHARS = 40, 12
 #: A factor for each character, so that products of probabilities stay in range.
 SCALE = 64.0
-CACHE = 400_000
+CACHE = 150_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -61,7 +62,7 @@ class Lattice:
 
     def __init__(self, words: list[str], index: dict[str, int]):
         unknown = len(index)
-        src, dst, pid, level = [], [], [], []
+        src, dst, pid, level = array("q"), array("q"), array("i"), array("i")
         base = 0
         self.base = np.zeros(len(words), np.int64)
         self.end = np.zeros(len(words), np.int64)
@@ -84,9 +85,9 @@ class Lattice:
             base += n + 1
             self.end[k] = base - 1
         self.size = base
-        order = np.lexsort((dst, level))
-        self.src, self.dst, self.pid = (np.array(x, np.int64)[order] for x in (src, dst, pid))
-        lv = np.array(level, np.int64)[order]
+        order = np.lexsort((np.array(dst), np.array(level)))
+        self.src, self.dst, self.pid = (np.array(x)[order] for x in (src, dst, pid))
+        lv = np.array(level)[order]
         self.levels = np.searchsorted(lv, np.arange(1, (lv[-1] if len(lv) else 0) + 2))
 
     def _flow(self, at: np.ndarray, into: np.ndarray, add: np.ndarray) -> None:
@@ -179,7 +180,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.logs = np.zeros((1 << 12, self.prob.shape[1]))
+        self.logs = np.zeros((1 << 12, self.prob.shape[1]), np.float64)
 
     def learn(self, words: list[str]) -> None:
         if len(self.at) > CACHE:
@@ -228,6 +229,7 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], prob: np.ndarr
         import pyarrow as pa
 
         names, own, table = model.value
+        C.claim("language", _SCORERS.clear)
         if token not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[token] = Scorer(own, table)
