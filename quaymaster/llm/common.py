@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Arrow batches are cut to about so many bytes of text before Python strings are made of them.
 SLICE_BYTES = 4 << 20
+#: The encoder tells equal words apart slice by slice, so its slices are larger.
+ENCODE_BYTES = 12 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +110,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ODD = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\|")
 #: The pattern above, for lower-cased texts of those characters.
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
-#: Words, and white-space separated chunks of them, in a generation of what a worker remembers.
-CACHE_WORDS, CACHE_CHUNKS = 240_000, 160_000
+#: Words in a generation of what a worker remembers.
+CACHE_WORDS = 450_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -165,13 +167,13 @@ class WordEncoder:
         suffix = form["model"].get("end_of_word_suffix") or ""
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for p, i in form["model"]["vocab"].items() if suffix and p.endswith(suffix)]] = True
-        self.words, self.chunks = Recent(CACHE_WORDS), Recent(CACHE_CHUNKS)
+        self.words = Recent(CACHE_WORDS)
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Adds chunks to those known: each is cut into words by the vocabulary's own pattern, and new words are encoded."""
-        missing = self.chunks.missing(chunks)
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of white-space separated chunks: each is cut into words by the vocabulary's own pattern, and new words are encoded."""
         known, cut = self.words, _LATIN_WORDS
-        parts = [[c] if c.isalpha() else cut(c) for c in missing]
+        # the commonest forms need no pattern: letters only, and letters before one mark
+        parts = [(c,) if c.isalpha() else () if not c else (c[:-1], c[-1]) if c[-1] in ",.;:!?" and c[:-1].isalpha() else cut(c) for c in chunks]
         new = known.missing(set().union(*parts))
         groups = [new[i : i + 500] for i in range(0, len(new), 500)]
         for part, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False), strict=True):
@@ -183,7 +185,7 @@ class WordEncoder:
             else:  # not every word ends in a piece that marks a word's end
                 known.update((w, _u4(x.ids)) for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
         get = known.__getitem__
-        self.chunks.update(zip(missing, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts], strict=True))
+        return [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as little-endian unsigned 32-bit integers."""
@@ -196,20 +198,35 @@ class WordEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        plain = []
         for i, t in enumerate(texts):
             if not t:
                 out[i] = self.end
             elif self.plain and not _doubtful(t):
-                cut.append((i, t.lower().split()))
+                plain.append(i)
             else:
                 out[i] = _u4(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end
-        if cut:
-            self._learn(set().union(*(w for _, w in cut)))
-            get = self.chunks.__getitem__
-            for i, w in cut:
-                out[i] = b"".join(map(get, w)) + self.end
+        if plain:
+            # split and told apart outside Python; only distinct chunks become Python strings
+            lists = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.string()))
+            told = lists.flatten().dictionary_encode()
+            ids = self._ids(told.dictionary.to_pylist())
+            size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+            first = np.cumsum(size, dtype=np.int32) - size
+            table = np.frombuffer(b"".join(ids), "<u4")
+            at = told.indices.to_numpy(zero_copy_only=False)
+            own = size[at]
+            end = np.cumsum(own, dtype=np.int32)
+            where = np.repeat(first[at] - (end - own), own)
+            where += np.arange(len(where), dtype=np.int32)
+            flat = table[where]
+            edge = np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+            for k, i in enumerate(plain):
+                out[i] = flat[edge[k] : edge[k + 1]].tobytes() + self.end
         return out  # type: ignore[return-value]
 
 

@@ -96,17 +96,21 @@ def tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def pack_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The bits of `ids`, and the bit at which each begins (one more at the end)."""
-    size = lengths[ids].astype(np.int64)
+    size = lengths.astype(np.int32)[ids]
     if len(ids) and not size.all():
         raise ValueError("an id has no code")
-    at = np.zeros(len(ids) + 1, np.int64)
+    at = np.zeros(len(ids) + 1, np.int64 if len(ids) > 1 << 25 else np.int32)
     np.cumsum(size, out=at[1:])
     words = np.zeros((int(at[-1]) >> 5) + 3, np.uint64)
     if len(ids):
         # a code of up to 32 bits lies in two 32-bit words; codes that begin in the same word stand together
-        word = at[:-1] >> 5
-        value = codes[ids] << (64 - (at[:-1] & 31) - size).astype(np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
+        start = at[:-1]
+        word = start >> 5
+        np.subtract(64 - (start & 31), size, out=size)
+        value = codes[ids]
+        value <<= size.astype(np.uint64)
+        first = np.flatnonzero(word[1:] != word[:-1]) + 1
+        first = np.concatenate([[0], first])
         joined = np.bitwise_or.reduceat(value, first)
         words[word[first]] |= joined >> np.uint64(32)
         words[word[first] + 1] |= joined & np.uint64(0xFFFFFFFF)
@@ -187,7 +191,7 @@ def token_rows(docs: DataFrame, spec: str, end_id: int) -> DataFrame:
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part in C.slices(batch):
+            for part in C.slices(batch, C.ENCODE_BYTES):
                 raw = enc.encode(part.column(1).to_pylist())
                 total += np.bincount(np.frombuffer(b"".join(raw), "<u4"), minlength=enc.size)
                 ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in raw]

@@ -218,7 +218,7 @@ def pieces(docs: DataFrame, spec: str, capacity: int, end_id: int) -> DataFrame:
 
         enc = C.encoder(spec_b.value, end_id)
         for batch in batches:
-            for part in C.slices(batch):
+            for part in C.slices(batch, C.ENCODE_BYTES):
                 take, piece, start, length, crc = [], [], [], [], []
                 for i, raw in enumerate(enc.encode(part.column(1).to_pylist())):
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
