@@ -20,9 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """df written as Parquet in the shared folder and read again."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/qm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._qm_path = path
     return out
