@@ -8,7 +8,6 @@ import json
 import os
 import re
 import struct
-import tempfile
 import uuid
 
 import numpy as np
@@ -16,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.staging import drop as drop_stage
+from ..plans.staging import shared_dir, staged
+
 #: Arrow batches are cut to about so many bytes of text before Python strings are made of them.
 SLICE_BYTES = 4 << 20
 #: The encoder tells equal words apart slice by slice, so its slices are larger.
@@ -26,41 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one of our own where none is set (tests)."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if not (at := getattr(spark.sparkContext, "_qm_shared", None)):
-        at = "file://" + tempfile.mkdtemp(prefix="qm-shared-")
-        spark.sparkContext._qm_shared = at
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/qm-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._qm_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Deletes a staged table that nothing reads any more."""
-    if path := getattr(df, "_qm_path", None):
-        delete_path(df.sparkSession, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -111,11 +82,22 @@ _ODD = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\
 #: The pattern above, for lower-cased texts of those characters.
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
 #: Words in a generation of what a worker remembers.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 300_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+def told_apart(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts split at ASCII white space: the distinct chunks, each chunk's number in text order, and where each text's chunks begin
+    (one more at the end). Splitting and telling apart happen outside Python; only distinct chunks become Python strings."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    told = lists.flatten().dictionary_encode()
+    return told.dictionary.to_pylist(), told.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
 class Recent(dict):
     """A dictionary of what was asked for lately: when it has `size` entries it starts anew, and entries of the last generation come
     back as they are asked for."""
@@ -198,9 +180,6 @@ class WordEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
         out: list[bytes | None] = [None] * len(texts)
         plain = []
         for i, t in enumerate(texts):
@@ -211,20 +190,17 @@ class WordEncoder:
             else:
                 out[i] = _u4(self.tokenizer.encode(t, add_special_tokens=False).ids) + self.end
         if plain:
-            # split and told apart outside Python; only distinct chunks become Python strings
-            lists = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.string()))
-            told = lists.flatten().dictionary_encode()
-            ids = self._ids(told.dictionary.to_pylist())
+            chunks, at, edge = told_apart([texts[i].lower() for i in plain])
+            ids = self._ids(chunks)
             size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
             first = np.cumsum(size, dtype=np.int32) - size
             table = np.frombuffer(b"".join(ids), "<u4")
-            at = told.indices.to_numpy(zero_copy_only=False)
             own = size[at]
             end = np.cumsum(own, dtype=np.int32)
             where = np.repeat(first[at] - (end - own), own)
             where += np.arange(len(where), dtype=np.int32)
             flat = table[where]
-            edge = np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+            edge = np.concatenate([[0], end])[edge].tolist()
             for k, i in enumerate(plain):
                 out[i] = flat[edge[k] : edge[k + 1]].tobytes() + self.end
         return out  # type: ignore[return-value]

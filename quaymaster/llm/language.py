@@ -30,7 +30,7 @@ MIN_SCORE = 0.5
 WORD_CHARS, PIECE_CHARS = 40, 12
 #: A factor for each character, so that products of probabilities stay in range.
 SCALE = 64.0
-CACHE = 150_000
+CACHE = 400_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -182,10 +182,10 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.logs = np.zeros((1 << 12, self.prob.shape[1]), np.float64)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         if len(self.at) > CACHE:
             self.clear()
-        new = [w for w in set(words) if w not in self.at]
+        new = list(words.difference(self.at))
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             lattice = Lattice(part, self.index)
@@ -199,20 +199,28 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's log probability by language, and its number of words."""
-        words = [words_of(t) for t in texts]
-        flat = list(itertools.chain.from_iterable(words))
-        size = np.array([len(w) for w in words], np.int64)
-        out = np.zeros((len(texts), self.prob.shape[1]))
-        if flat:
-            self.learn(flat)
-            at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-            some = np.flatnonzero(size)
-            first = np.concatenate([[0], np.cumsum(size[some])[:-1]])
-            for k in range(out.shape[1]):
-                out[some, k] = np.add.reduceat(self.logs[at, k], first)
+        chunks, number, edge = C.told_apart([(t or "").lower() for t in texts])
+        words = [(c,) if len(c) <= WORD_CHARS and c.isalpha() else words_of(c) for c in chunks]  # runs of letters never cross white space
+        self.learn(set().union(*words))
+        flat = np.fromiter(map(self.at.__getitem__, itertools.chain.from_iterable(words)), np.int64)
+        per = np.fromiter(map(len, words), np.int64, len(words))
+        size = _sums(per[number], edge)
+        out = np.empty((len(texts), self.prob.shape[1]))
+        inner = np.concatenate([[0], np.cumsum(per)])
+        for k in range(out.shape[1]):
+            out[:, k] = _sums(_sums(self.logs[flat, k], inner)[number], edge)
         return out, size
 
 
+def _sums(x: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Sums of x between neighbouring edges; 0 where there is nothing between."""
+    out = np.zeros(len(edge) - 1, x.dtype)
+    some = np.flatnonzero(edge[1:] > edge[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(x, edge[:-1][some])
+    return out
+
+
 _SCORERS: dict[int, Scorer] = {}
 
 
@@ -235,7 +243,7 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], prob: np.ndarr
             _SCORERS[token] = Scorer(own, table)
         scorer = _SCORERS[token]
         for batch in batches:
-            for part in C.slices(batch):
+            for part in C.slices(batch, C.ENCODE_BYTES):
                 logs, n = scorer.score(part.column(len(keep)).to_pylist())
                 if names:
                     mean = logs / np.maximum(n, 1)[:, None] * np.minimum(n, 20)[:, None]

@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cohesion import stars
 from . import common as C
 
 RADIUS = 2
@@ -156,24 +157,9 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root (the smallest node of its component) for all nodes of edges (a, b): alternating large and small stars
-    (Kiveris et al., Connected Components in MapReduce and Beyond), until nothing changes."""
-    now = C.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        last, now = now, C.staged(small, "edges")
-        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        C.drop_stage(last)
-        if new == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = new
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the smallest node of its component) for all nodes of edges (a, b)."""
+    return stars(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), [])
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
