@@ -61,15 +61,26 @@ def reach_stub(depth: Column, severity: Column) -> Column:
     return F.when((depth <= 1) | (severity >= 9), "reachable").when((depth >= 4) & (severity < 5), "unreachable").otherwise("undetermined")
 
 
-_RANK = {"unreachable": 0, "undetermined": 1, "reachable": 2}
-
-
 def reach_map(paths: DataFrame, keys: tuple[str, ...] = ("root", "advisory")) -> DataFrame:
     """keys, reach: the most serious verdict of each group's paths (column reach)."""
     rank = F.when(F.col("reach") == "reachable", 2).when(F.col("reach") == "undetermined", 1).otherwise(0)
     return paths.groupBy(*keys).agg(F.max(rank).alias("k")).select(*keys, F.when(F.col("k") == 2, "reachable").when(F.col("k") == 1, "undetermined").otherwise("unreachable").alias("reach"))
 
 
+def call_graph_reach(findings: DataFrame, symbols: DataFrame, entry_points: DataFrame, calls: DataFrame, max_depth: int = 64) -> DataFrame:
+    """findings (root, advisory), symbols (advisory, symbol), entry_points (root, symbol) and calls (src, dst) from an extractor of the
+    caller's -> root, advisory, reach: reachable if a call chain from one of the root's entry points ends in a vulnerable symbol, and
+    undetermined where the advisory names no symbol or the root has no entry point."""
+    from .traverse import walk
+
+    seen = walk(entry_points.select("root", F.col("symbol").alias("node")), calls, max_depth, name="calls")
+    hit = seen.join(symbols.select(F.col("symbol").alias("node"), "advisory"), "node").select("root", "advisory").distinct().withColumn("hit", F.lit(True))
+    named = symbols.select("advisory").distinct().withColumn("named", F.lit(True))
+    known = entry_points.select("root").distinct().withColumn("known", F.lit(True))
+    got = findings.join(named, "advisory", "left").join(known, "root", "left").join(hit, ["root", "advisory"], "left")
+    return got.select("root", "advisory", F.when(F.col("named").isNull() | F.col("known").isNull(), "undetermined").when(F.col("hit"), "reachable").otherwise("unreachable").alias("reach"))
+
+
 def risk_coverage(findings: DataFrame) -> DataFrame:
     """findings (reach, is_real) -> policy, coverage, control_leak."""
     policies = {"reachable_only": F.col("reach") == "reachable", "reachable+undetermined": F.col("reach") != "unreachable", "all": F.lit(True)}

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog_graph, catalog_tables
+from . import catalog_graph  # noqa: F401  registers its queries beside those of catalog_tables
+from .catalog_tables import QUERIES, SQL
 
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
 FLAGSHIP = "pol04_audit_manifests"
-QUERIES = dict(catalog_tables.QUERIES)  # catalog_graph registers in the same tables
-SQL = dict(catalog_tables.SQL)
-_ = catalog_graph

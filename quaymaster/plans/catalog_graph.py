@@ -690,6 +690,18 @@ def _(spark, sf):
     return diffs(spark, sf).select("root", F.size("cleared").cast("long").alias("n_cleared"), F.size("introduced").cast("long").alias("n_introduced"), "severity_before", "severity_after", "depth_before", "depth_after")
 
 
+@query("trv06_overlay_walk", walked(_DIFF + " SELECT root, side, count(*) AS n, max(depth) AS depth FROM seen GROUP BY root, side"))
+def _(spark, sf):
+    v, r = tables(spark, sf, "versions", "resolved")
+    f = fixes(spark, sf)
+    bumps = f.where("reason IS NULL").join(v.select("pkg_id", F.col("version").alias("to_version"), F.col("ver_id").alias("new")), ["pkg_id", "to_version"]).join(v.select(F.col("ver_id").alias("root"), F.col("pkg_id").alias("own")), "root")
+    moved = bumps.where("pkg_id = own").select("root", F.col("new").alias("moved"))
+    redirects = bumps.where("pkg_id <> own").join(v.select("pkg_id", F.col("ver_id").alias("old")), "pkg_id").select("root", "old", "new")
+    roots = f.select("root").distinct().join(moved, "root", "left")
+    starts = roots.select("root", F.lit("before").alias("side"), F.col("root").alias("node")).unionByName(roots.select("root", F.lit("after").alias("side"), F.coalesce("moved", "root").alias("node")))
+    return RM.overlay_walk(starts, redirects, r).groupBy("root", "side").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"))
+
+
 @query("rem06_portfolio", walked(_DIFF + " SELECT count(*) AS manifests, CAST(sum(n_cleared) AS BIGINT) AS cleared, CAST(sum(n_introduced) AS BIGINT) AS introduced, floor(sum(severity_before) * 10 + 0.5) / 10 AS severity_before, floor(sum(severity_after) * 10 + 0.5) / 10 AS severity_after, count(*) FILTER (n_introduced > 0 AND n_introduced >= n_cleared) AS net_worse, count(*) FILTER (n_cleared = 0 AND n_introduced = 0) AS no_change FROM diffs"))
 def _(spark, sf):
     return RM.portfolio(diffs(spark, sf))
@@ -918,10 +930,11 @@ def _(spark, sf):
     return t.agg(F.count(F.lit(1)).alias("manifests"), F.sum((F.col("a") == F.col("b")).cast("long")).alias("same"))
 
 
-@query("evl02_ordering_ablation")
+@query("evl02_ordering_ablation", walked(f", s AS (SELECT root, max(severity) AS a, max(severity + 0.5::DOUBLE * (12 - depth)) AS b FROM paths GROUP BY root), r AS (SELECT root, row_number() OVER (ORDER BY a DESC, root) AS i, row_number() OVER (ORDER BY b DESC, root) AS j FROM s) SELECT {q6('corr(i::DOUBLE, j::DOUBLE)')} AS rho, median(abs(i - j)) AS shift, count(*) FILTER (i <= 20 AND j <= 20) AS overlap FROM r"))
 def _(spark, sf):
-    s = paths(spark, sf).groupBy("root").agg(F.max("severity").alias("severity"), F.max(F.col("severity") + 0.01 * (12 - F.col("depth"))).alias("priority"))
-    return RK.spearman(s, "severity", "priority", "root")
+    s = paths(spark, sf).groupBy("root").agg(F.max("severity").alias("a"), F.max(F.col("severity") + F.lit(0.5) * (12 - F.col("depth"))).alias("b"))
+    r = s.select("root", F.row_number().over(W.orderBy(F.desc("a"), "root")).alias("i"), F.row_number().over(W.orderBy(F.desc("b"), "root")).alias("j"))
+    return r.agg(Q(F.corr(F.col("i").cast("double"), F.col("j").cast("double"))).alias("rho"), F.expr("percentile(abs(i - j), 0.5)").alias("shift"), F.sum(((F.col("i") <= 20) & (F.col("j") <= 20)).cast("long")).alias("overlap"))
 
 
 @query("evl04_logistic_ablation")

@@ -166,3 +166,38 @@ def test_bisect():
 def test_routes(spark):
     t = spark.createDataFrame([("resolve", "npm"), ("resolve", "haskell"), ("patch", "npm")], "task string, ecosystem string")
     assert {(r.task, r.ecosystem): r.agent for r in P.route(t).collect()} == {("resolve", "npm"): "Resolver.npm", ("resolve", "haskell"): None, ("patch", "npm"): "PatchProposer"}
+
+
+def test_call_graph_reach(spark):
+    got = P.call_graph_reach(
+        spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "a")], "root long, advisory string"), spark.createDataFrame([("a", "f"), ("b", "g")], "advisory string, symbol string"),
+        spark.createDataFrame([(1, "main")], "root long, symbol string"), spark.createDataFrame([("main", "x"), ("x", "f"), ("f", "main")], "src string, dst string"),
+    )
+    assert {(r.root, r.advisory): r.reach for r in got.collect()} == {(1, "a"): "reachable", (1, "b"): "unreachable", (1, "c"): "undetermined", (2, "a"): "undetermined"}
+
+
+def test_engine_from_raw_feeds(spark, tmp_path):
+    import zipfile
+
+    from quaymaster import ExposureGraph
+
+    (tmp_path / "deps").mkdir()
+    (tmp_path / "osv").mkdir()
+    rec = {"ecosystem": "npm", "package": "app", "version": "1.0.0", "versions": ["1.0.0"], "nodes": [{"name": "lib", "version": "1.1.0", "relation": "DIRECT"}, {"name": "lib", "version": "1.2.0", "relation": "INDIRECT"}], "resolved": [{"from": ["app", "1.0.0"], "to": ["lib", "1.1.0"], "requirement": "^1.0.0"}]}
+    (tmp_path / "deps" / "d.jsonl").write_text(json.dumps(rec) + "\n")
+    with zipfile.ZipFile(tmp_path / "osv" / "npm.zip", "w") as z:
+        z.writestr("A.json", json.dumps({"id": "A", "aliases": ["CVE-2020-7777"], "severity": [{"type": "CVSS_V3", "score": "9.1"}], "published": "2020-01-01", "affected": [{"package": {"ecosystem": "npm", "name": "lib"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "1.0.0"}, {"fixed": "1.2.0"}]}]}]}))
+    made = ExposureGraph.build(spark, str(tmp_path / "deps"), str(tmp_path / "osv"))
+    made.write(str(tmp_path / "graph"))
+    e = ExposureGraph.read(spark, str(tmp_path / "graph"))
+    assert [(r.advisory, r.verdict, r.min_depth) for r in e.audit().collect()] == [("CVE-2020-7777", "exposed", 1)]
+    assert e.audit(as_of="2019-01-01", gate_reach=True).first().verdict == "not_knowable_as_of_date"
+    f = e.fixes().first()
+    assert (f.from_version, f.to_version) == ("1.1.0", "1.2.0") and e.cheapest_fixes().first().to_version == "1.2.0"
+    assert e.what_if(e.fixes().select("root", "pkg_id", "to_version")).first().cleared == ["CVE-2020-7777"]
+    assert "CVE-2020-7777" in e.markdown("2024-01-01").first().markdown and "npm/lib@1.1.0" in e.bills_of_materials("2024-01-01").first().bom
+    assert json.loads(e.lock_files().first().lock)["packages"]["node_modules/lib"]["version"] == "1.1.0"
+    name = spark.createDataFrame([("npm", "lib")], "ecosystem string, name string")
+    assert e.blast_radius(name).count() == 1 and e.roots_of(spark.createDataFrame([("npm", "app")], "ecosystem string, name string")).count() == 1
+    assert e.ground(spark.createDataFrame([(1, "is cve-2020-7777 in us")], "qid int, question string")).first().name == "lib"
+    assert {r.component for r in e.components().collect()} == {min(r.pkg_id for r in e.packages.collect())} and e.components(strong=True).count() == 2
