@@ -21,7 +21,7 @@ from ..operators import structure as ST
 from ..operators import temporal as TM
 from ..operators import traverse as T
 from .bridge import cte, table, tables
-from .catalog_tables import _CANON, Q, canon, entries, q6, query, raw
+from .catalog_tables import _CANON, SQL, Q, canon, entries, q6, query, raw
 from .staging import kept
 
 # ------------------------------------------------------------------------------------------------------------ shared tables
@@ -280,20 +280,43 @@ def _(spark, sf):
     return C.weak_components(nodes(spark, sf), table(spark, sf, "pkgdep"))
 
 
-@query("grf04_version_components")
+_WAYS = ", ways AS MATERIALIZED (SELECT ver_id AS src, res_ver_id AS dst FROM resolved UNION SELECT res_ver_id, ver_id FROM resolved)"
+
+
+@query("grf04_version_components", based(_WAYS + _min_label("ways", "SELECT ver_id AS node FROM versions", 400) + ", c AS (SELECT label, count(*) AS n FROM lab WHERE i = 400 GROUP BY label) SELECT count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1) AS larger, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS members FROM c"))
 def _(spark, sf):
     v = table(spark, sf, "versions").select(F.col("ver_id").alias("node"))
     return C.component_stats(C.weak_components(v, T.resolved_edges(table(spark, sf, "resolved"))))
 
 
-@query("grf05_strong_components")
+_DAG = """, e AS MATERIALIZED (SELECT ver_id AS src, res_ver_id AS dst FROM resolved), rem AS (SELECT 0 AS i, ver_id AS node FROM versions UNION ALL
+SELECT DISTINCT r.i + 1, e.dst FROM rem r JOIN e ON e.src = r.node JOIN rem q ON q.node = e.dst WHERE r.i < 400)"""
+#: What is left after trimming both ways lies on or between cycles; mutual reachability is worked out there only.
+_SCC = _DAG + """, bak AS (SELECT 0 AS i, node FROM rem WHERE i = 400 UNION ALL SELECT DISTINCT r.i + 1, e.src FROM bak r JOIN e ON e.dst = r.node JOIN bak q ON q.node = e.src WHERE r.i < 400),
+core AS MATERIALIZED (SELECT node FROM bak WHERE i = 400), ce AS MATERIALIZED (SELECT src, dst FROM e WHERE src IN (SELECT node FROM core) AND dst IN (SELECT node FROM core)),
+re AS (SELECT node AS a, node AS b FROM core UNION SELECT r.a, ce.dst FROM re r JOIN ce ON ce.src = r.b),
+scc AS (SELECT v.ver_id AS node, coalesce(m.c, v.ver_id) AS component FROM versions v LEFT JOIN (SELECT x.a AS node, min(x.b) AS c FROM re x JOIN re y ON x.a = y.b AND x.b = y.a GROUP BY x.a) m ON v.ver_id = m.node),
+sizes AS (SELECT component, count(*) AS n FROM scc GROUP BY component)"""
+
+
+@query("grf05_strong_components", based(_SCC + " SELECT count(*) AS components, max(n) AS largest, count(*) FILTER (n = 1) AS singletons, count(*) FILTER (n > 1) AS larger, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS members FROM sizes"))
 def _(spark, sf):
     v = table(spark, sf, "versions").select(F.col("ver_id").alias("node"))
     got = C.strong_components(v, T.resolved_edges(table(spark, sf, "resolved")))
     return C.component_stats(got)
 
 
-@query("grf06_dag_levels")
+#: A node whose smallest ancestor and smallest descendant are one node is in that node's component; the SQL holds where the other
+#: components are single nodes, as in the derived tables.
+_FLOW = ", {0} AS (SELECT 0 AS i, pkg_id AS node, pkg_id AS label FROM packages UNION ALL SELECT i + 1, node, min(label) FROM (SELECT i, node, label FROM {0} UNION ALL SELECT r.i, e.{2}, r.label FROM {0} r JOIN pkgdep e ON e.{1} = r.node) WHERE i < 40 GROUP BY i, node)"
+
+
+@query("grf05_package_strong_components", based(_FLOW.format("fw", "src", "dst") + _FLOW.format("bw", "dst", "src") + " SELECT f.node, CASE WHEN f.label = b.label THEN f.label ELSE f.node END AS component FROM fw f JOIN bw b ON f.node = b.node WHERE f.i = 40 AND b.i = 40"))
+def _(spark, sf):
+    return C.strong_components(nodes(spark, sf), table(spark, sf, "pkgdep"))
+
+
+@query("grf06_dag_levels", based(_DAG + ", d AS (SELECT node, max(i) AS depth FROM rem GROUP BY node) SELECT depth, count(*) AS n FROM d WHERE depth < 400 GROUP BY depth"))
 def _(spark, sf):
     v = table(spark, sf, "versions").select(F.col("ver_id").alias("node"))
     got = C.dag_levels(v, T.resolved_edges(table(spark, sf, "resolved")))
@@ -336,9 +359,18 @@ def _(spark, sf):
     return _cuts(spark, sf)[1]
 
 
-@query("grf09_betweenness")
+_BRANDES = _LENGTHS.replace("depth < 8", "depth < 4") + """, sig AS (SELECT 0 AS d, node AS pv, node, 1.0::DOUBLE AS sigma FROM sources UNION ALL
+SELECT s.d + 1, s.pv, e.dst, sum(s.sigma) FROM sig s JOIN pkgdep e ON e.src = s.node JOIN near n ON n.root = s.pv AND n.node = e.dst AND n.length = s.d + 1 GROUP BY s.d, s.pv, e.dst),
+paths_from AS MATERIALIZED (SELECT d, pv, node, sigma FROM sig),
+back AS (SELECT d, pv, node, sigma, 0.0::DOUBLE AS delta FROM paths_from WHERE d = 4 UNION ALL
+SELECT d, pv, node, sigma, sum(got) FROM (SELECT p.d, p.pv, p.node, p.sigma, p.sigma * (1 + b.delta) / b.sigma AS got FROM back b JOIN pkgdep e ON e.dst = b.node JOIN paths_from p ON p.pv = b.pv AND p.node = e.src AND p.d = b.d - 1
+    UNION ALL SELECT p.d, p.pv, p.node, p.sigma, 0 FROM paths_from p JOIN (SELECT DISTINCT d FROM back) k ON p.d = k.d - 1) GROUP BY d, pv, node, sigma),
+every AS (SELECT b.node, sum(delta) AS b FROM back b WHERE d > 0 GROUP BY b.node)"""
+
+
+@query("grf09_betweenness", based(_BRANDES + f" SELECT node, {q6('1000 * b * ((SELECT count(*) FROM packages) / 20.0::DOUBLE / ((SELECT count(*) FROM packages) - 1) / ((SELECT count(*) FROM packages) - 2))')} AS betweenness FROM every WHERE b > 0"))
 def _(spark, sf):
-    return RK.betweenness(nodes(spark, sf), table(spark, sf, "pkgdep"), sources(spark, sf), cutoff=4).where("betweenness > 0").select("node", Q(F.col("betweenness")).alias("betweenness"))
+    return RK.betweenness(nodes(spark, sf), table(spark, sf, "pkgdep"), sources(spark, sf), cutoff=4).where("betweenness > 0").select("node", Q(1000 * F.col("betweenness")).alias("betweenness"))
 
 
 @query("grf10_harmonic", based(_LENGTHS.replace("depth < 8", "depth < 4") + f" SELECT root AS node, {q6('sum(1.0::DOUBLE / length)')} AS harmonic FROM near WHERE length > 0 GROUP BY root"))
@@ -388,9 +420,13 @@ def ranks(spark, sf) -> DataFrame:
     return kept(spark, (sf, "ranks"), lambda: RK.pagerank(nodes(spark, sf), table(spark, sf, "pkgdep")))
 
 
-@query("grf15_rank_gini")
+_GINI = "2.0 * sum(k * x) / (count(*) * sum(x)) - (count(*) + 1.0) / count(*)"
+
+
+@query("grf15_rank_gini", f"SELECT {q6(_GINI)} AS gini FROM (SELECT rank AS x, row_number() OVER (ORDER BY rank)::DOUBLE AS k FROM ({_pagerank_sql('dst', 'src', 12)}) AS pr)")
 def _(spark, sf):
-    return RK.gini(ranks(spark, sf), "rank")
+    r = RK.pagerank(nodes(spark, sf), table(spark, sf, "pkgdep"), rounds=12, tolerance=None).select("node", Q(1000 * F.col("rank")).alias("rank"))
+    return RK.gini(r, "rank").select(Q(F.col("gini")).alias("gini"))
 
 
 _LPA = _MULTI + """, lpa AS (SELECT 0 AS i, pkg_id AS node, pkg_id AS label FROM packages UNION ALL
@@ -434,7 +470,7 @@ def _(spark, sf):
     return ST.cross_fraction(table(spark, sf, "pkgdep"), by_eco).withColumn("cross", Q(F.col("cross")))
 
 
-@query("grf19_core_of_giant")
+@query("grf19_core_of_giant", f"SELECT c.node, k.core FROM ({SQL['grf04_package_components']}) AS c JOIN ({SQL['grf03_coreness']}) AS k ON c.node = k.node WHERE k.core >= 2 AND c.component = (SELECT component FROM ({SQL['grf04_package_components']}) AS g GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
 def _(spark, sf):
     comp = C.weak_components(nodes(spark, sf), table(spark, sf, "pkgdep"))
     giant = RK.top_k(comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "n", "component", 1).select("component")
@@ -472,7 +508,10 @@ def _(spark, sf):
     return snaps(spark, sf).select("cut", "v", "e", Q(F.col("mean_degree")).alias("mean_degree"))
 
 
-@query("tmp02_component_growth")
+@query("tmp02_component_growth", based(_DATED + """, both_cut AS MATERIALIZED (SELECT c.cut, d.src, d.dst FROM dated d JOIN cuts c ON d.t <= c.cut UNION SELECT c.cut, d.dst, d.src FROM dated d JOIN cuts c ON d.t <= c.cut),
+lab AS (SELECT 0 AS i, cut, src AS node, src AS label FROM (SELECT DISTINCT cut, src FROM both_cut) UNION ALL
+SELECT i + 1, cut, node, min(label) FROM (SELECT i, cut, node, label FROM lab UNION ALL SELECT r.i, e.cut, e.dst, r.label FROM lab r JOIN both_cut e ON e.src = r.node AND e.cut = r.cut) WHERE i < 400 GROUP BY i, cut, node),
+g AS (SELECT cut, label, count(*) AS n FROM lab WHERE i = 400 GROUP BY cut, label) SELECT c.cut, coalesce(max(g.n), 0) AS largest FROM cuts c LEFT JOIN g ON c.cut = g.cut GROUP BY c.cut"""))
 def _(spark, sf):
     return snaps(spark, sf).select("cut", "largest")
 
