@@ -32,6 +32,8 @@ MAGIC = b"QMH1"
 HEAD = struct.Struct("<4sIQQIQ")
 DOC = np.dtype([("doc_id", "<i8"), ("n_ids", "<u8"), ("flags", "u1")])
 BLOCK_IDS = 1 << 19
+#: A shard is one task's work; there are more of them the more ids there are.
+SHARD_IDS = 50_000_000
 STEP = 256
 LIMIT = 18
 
@@ -235,7 +237,8 @@ def write(docs: DataFrame, path: str, spec: str | None = None, end_id: int = 1,
     form = json.loads(spec)
     vocabulary = 1 + max([end_id, *form["model"]["vocab"].values(), *(x["id"] for x in form.get("added_tokens", []))])
     rows = C.staged(token_rows(docs, spec, end_id), "ids", "snappy")
-    lengths = code_lengths(id_counts(rows, vocabulary), limit)
+    counts = id_counts(rows, vocabulary)
+    lengths = code_lengths(counts, limit)
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id)], "lengths binary, end_id int").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast(lengths.tobytes())
     width, block_ids, step = _width(vocabulary), BLOCK_IDS, STEP
@@ -264,7 +267,7 @@ def write(docs: DataFrame, path: str, spec: str | None = None, end_id: int = 1,
         if ids:
             yield out()
 
-    shards = shards or C.shuffle_parts(spark)
+    shards = shards or max(C.shuffle_parts(spark), -(-int(counts.sum()) // SHARD_IDS))
     rows.where("seen is null").select("doc_id", "ids_crc32", "ids").repartitionByRange(shards, "doc_id", "ids_crc32").sortWithinPartitions("doc_id", "ids_crc32").select("doc_id", "ids").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     C.drop_stage(rows)
 
