@@ -500,6 +500,12 @@ def test_pipeline(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = df.limit(3).select("*", *[F.lit("clash").alias(c) for c in ("kinds", "n_entities", "score", "lang_pred", "fp", "item_id", "_before")])
+    for _, f in cp.STAGES[:-1]:
+        assert f(spark, odd, str(tmp_path)).columns == odd.columns
+        assert f(spark, odd.limit(0), str(tmp_path)).count() == 0
+    assert {tuple(r) for r in cp.hide_persons(spark, odd, "").select("kinds", "n_entities").collect()} == {("clash", "clash")}
+    assert cp.pack_sequences(spark, odd.limit(0), "").count() == 0
     kept = df
     for name, f in cp.STAGES[:-1]:
         kept = C.staged(f(spark, kept, str(tmp_path)), f"t-{name}")
