@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 from .graph import undirected
 from .iterate import levels, union
+from .order import cumulative, numbered
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 40, tolerance: float | None = 1e-9, direction: str = "dependents", keys: list[str] | None = None) -> DataFrame:
@@ -44,17 +44,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
 
 def gini(df: DataFrame, column: str) -> DataFrame:
-    """One row: the Gini coefficient of a column. Equal values are folded first, so ranks are summed from a histogram."""
-    x = df.groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    upto = x.withColumn("upto", F.sum("c").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
-    # the ranks of c equal values that end at `upto` sum to c * (2 * upto - c + 1) / 2
-    s = upto.agg(F.sum(F.col("x") * F.col("c") * (2 * F.col("upto") - F.col("c") + 1)).alias("twice"), F.sum(F.col("x") * F.col("c")).alias("total"), F.sum("c").alias("n"))
-    return s.select(F.when(F.col("total") == 0, 0.0).otherwise(F.col("twice") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
+    """One row: the Gini coefficient of a column."""
+    x = numbered(df.select(F.col(column).cast("double").alias("x")), ["x"], "k")
+    s = x.agg(F.sum(F.col("x") * (F.col("k") + 1)).alias("weighted"), F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
+    return s.select(F.when(F.col("total") == 0, 0.0).otherwise(2 * F.col("weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
 
 
-def ordinal_rank(df: DataFrame, column: str, tie: str, name: str) -> DataFrame:
+def ordinal_rank(df: DataFrame, column: str, tie: str, name: str, descending: bool = False) -> DataFrame:
     """Adds a rank from 0 with ties in the order of `tie`."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(F.col(column), F.col(tie))) - 1)
+    return numbered(df, [F.desc(column) if descending else F.col(column), F.col(tie)], name)
 
 
 def spearman(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
@@ -69,9 +67,9 @@ def top_k(df: DataFrame, column: str, tie: str, k: int) -> DataFrame:
 def lorenz(df: DataFrame, column: str) -> DataFrame:
     """value, share_nodes, share_value: cumulative shares over the sorted distinct values."""
     x = df.groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    w = W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     t = x.agg(F.sum("c").alias("n"), F.sum(F.col("value") * F.col("c")).alias("total"))
-    return x.crossJoin(t).select("value", (F.sum("c").over(w) / F.col("n")).alias("share_nodes"), (F.sum(F.col("value") * F.col("c")).over(w) / F.col("total")).alias("share_value"))
+    got = cumulative(x, ["value"], {"nodes": F.col("c"), "sum": F.col("value") * F.col("c")})
+    return got.crossJoin(t).select("value", (F.col("nodes") / F.col("n")).alias("share_nodes"), (F.col("sum") / F.col("total")).alias("share_value"))
 
 
 def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -216,8 +216,8 @@ def _(spark, sf):
 @query("ord09_rank_shift", based(_DEG + ", r AS (SELECT node, row_number() OVER (ORDER BY in_degree DESC, node) AS a, row_number() OVER (ORDER BY out_degree DESC, node) AS b FROM deg) SELECT median(abs(a - b)) AS shift, count(*) FILTER (a <= 50 AND b <= 50) AS overlap FROM r"))
 def _(spark, sf):
     d = degrees(spark, sf)
-    r = d.select("node", F.row_number().over(W.orderBy(F.desc("in_degree"), "node")).alias("a"), F.row_number().over(W.orderBy(F.desc("out_degree"), "node")).alias("b"))
-    return r.agg(F.expr("percentile(abs(a - b), 0.5)").alias("shift"), F.sum(((F.col("a") <= 50) & (F.col("b") <= 50)).cast("long")).alias("overlap"))
+    r = RK.ordinal_rank(RK.ordinal_rank(d, "in_degree", "node", "a", descending=True), "out_degree", "node", "b", descending=True)
+    return r.agg(F.expr("percentile(abs(a - b), 0.5)").alias("shift"), F.sum(((F.col("a") < 50) & (F.col("b") < 50)).cast("long")).alias("overlap"))
 
 
 @query("ord10_kendall_tau", based(_DEG + ", t AS (SELECT * FROM deg ORDER BY in_degree DESC, node LIMIT 200) SELECT " + q6("sum(sign(a.in_degree - b.in_degree) * sign(a.out_degree - b.out_degree))::DOUBLE / sqrt(sum(CASE WHEN a.in_degree <> b.in_degree THEN 1 ELSE 0 END)::DOUBLE * sum(CASE WHEN a.out_degree <> b.out_degree THEN 1 ELSE 0 END)::DOUBLE)") + " AS tau FROM t a JOIN t b ON a.node < b.node"))
@@ -972,8 +972,8 @@ def _(spark, sf):
 @query("evl02_ordering_ablation", walked(f", s AS (SELECT root, max(severity) AS a, max(severity + 0.5::DOUBLE * (12 - depth)) AS b FROM paths GROUP BY root), r AS (SELECT root, row_number() OVER (ORDER BY a DESC, root) AS i, row_number() OVER (ORDER BY b DESC, root) AS j FROM s) SELECT {q6('corr(i::DOUBLE, j::DOUBLE)')} AS rho, median(abs(i - j)) AS shift, count(*) FILTER (i <= 20 AND j <= 20) AS overlap FROM r"))
 def _(spark, sf):
     s = paths(spark, sf).groupBy("root").agg(F.max("severity").alias("a"), F.max(F.col("severity") + F.lit(0.5) * (12 - F.col("depth"))).alias("b"))
-    r = s.select("root", F.row_number().over(W.orderBy(F.desc("a"), "root")).alias("i"), F.row_number().over(W.orderBy(F.desc("b"), "root")).alias("j"))
-    return r.agg(Q(F.corr(F.col("i").cast("double"), F.col("j").cast("double"))).alias("rho"), F.expr("percentile(abs(i - j), 0.5)").alias("shift"), F.sum(((F.col("i") <= 20) & (F.col("j") <= 20)).cast("long")).alias("overlap"))
+    r = RK.ordinal_rank(RK.ordinal_rank(s, "a", "root", "i", descending=True), "b", "root", "j", descending=True)
+    return r.agg(Q(F.corr(F.col("i").cast("double"), F.col("j").cast("double"))).alias("rho"), F.expr("percentile(abs(i - j), 0.5)").alias("shift"), F.sum(((F.col("i") < 20) & (F.col("j") < 20)).cast("long")).alias("overlap"))
 
 
 @query("evl04_logistic_ablation")

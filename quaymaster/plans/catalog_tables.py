@@ -12,6 +12,7 @@ from ..functions import versions as V
 from ..operators import advisories as A
 from ..operators import graph as G
 from ..operators import resolution as RES
+from ..operators.order import numbered
 from ..sources import readers
 from .bridge import cte, table, tables
 from .staging import kept, shared_dir, staged
@@ -96,10 +97,7 @@ def _(spark, sf):
 
 @query("prj01_interning", "SELECT ecosystem, name, dense_rank() OVER (ORDER BY ecosystem, name) - 1 AS id FROM packages", ("packages",))
 def _(spark, sf):
-    # numbers without gaps in one order: ranks inside an ecosystem, moved up by what the ecosystems before it hold
-    p = table(spark, sf, "packages")
-    n = p.groupBy("ecosystem").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("ecosystem").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return p.withColumn("k", F.row_number().over(W.partitionBy("ecosystem").orderBy("name"))).join(n, "ecosystem").select("ecosystem", "name", (F.col("k") - 1 + F.col("before")).cast("long").alias("id"))
+    return numbered(table(spark, sf, "packages").select("ecosystem", "name"), ["ecosystem", "name"], "id")
 
 
 @query("prj02_ecosystem_names", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'pypi' WHEN 1 THEN 'cargo' WHEN 2 THEN 'maven' WHEN 3 THEN 'go' ELSE 'strange' END AS ecosystem FROM part")

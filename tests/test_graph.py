@@ -178,3 +178,17 @@ def test_package_graph_has_no_loops(spark):
     v = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "ver_id long, pkg_id long")
     r = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "ver_id long, res_ver_id long")
     assert [tuple(x) for x in G.package_graph(r, v).collect()] == [(0, 1)]
+
+
+def test_running_sums_over_a_total_order(spark):
+    from quaymaster.operators.order import cumulative, numbered
+
+    rnd = random.Random(4)
+    x = [(rnd.randrange(20), i) for i in range(500)]
+    df = spark.createDataFrame(x, "x long, i long").repartition(7)
+    want, total = {}, 0
+    for k, (v, i) in enumerate(sorted(x)):
+        total += v
+        want[i] = (k, total)
+    got = {r.i: (r.k, r.s) for r in cumulative(numbered(df, ["x", "i"], "k"), ["x", "i"], {"s": F.col("x")}).collect()}
+    assert got == want and numbered(df.limit(0), ["x"], "k").count() == 0
