@@ -39,7 +39,7 @@ KINDS = {
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "card": _B + r"(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})" + _A,
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})" + _A,
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+(?:[ .()-]{0,2}\d){8,15}|0\d(?:[ .-]\d{2}){4}|(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})" + _A,
     "name": f"{_B}(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(KINDS.values())

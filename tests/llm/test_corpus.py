@@ -412,6 +412,7 @@ def test_surrogates(spark, docs, none):
     t = {
         1: 'write A.b@mail2.example.com or a.B@mail2.example.com, card 4111 1111 1111 1111, 4111111111111111.', 2: "ip 10.2.3.4, ssn 123-45-6789, call +1 (017) 555-7713 or +1 017 555 7713", 3: 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" TOKEN = "2ABC3FF2"',
         4: "Mrs Anna Smith met Mr Smith and Dr Jones", 5: None, 6: "", 7: "nothing 12 here, version 1.2.3 of 2021-05-06", 8: "a.b@mail2.example.com", 9: "mail q@x.example.org" * 500,
+        10: "ring +33 6 12 34 56 78, +49-170-1234567, 06 12 34 56 78, (017) 555-7713, 017-555-7713 or +442071838750", 11: "sums: 1 + 2 345 and 12 34 56, in 2020-2021, 10.5-11.5",
     }
     df = spark.createDataFrame(list(t.items()), "doc_id long, text string").withColumn("kinds", F.lit("clash"))
     got = {r.doc_id: r for r in privacy.pseudonymised(df).collect()}
@@ -428,6 +429,8 @@ def test_surrogates(spark, docs, none):
     she, he = re.match(r"Mrs (\w+) (\w+) met Mr (\w+)", got[4].text).group(1, 2), re.search(r"Mr (\w+)", got[4].text)[1]
     assert she[0] in privacy.GIVEN["f"] and she[1] == he
     assert got[5].text is None and got[6].text == "" and got[7].text == t[7] and got[7].n_entities == 0 and "q@x" not in got[9].text
+    assert got[10].n_entities == 6 and got[10].kinds == "phone" and not any(x in got[10].text for x in ("12 34 56 78", "1234567", "555-7713", "2071838750")) and got[10].text.startswith("ring +33 ")
+    assert got[11].text == t[11]
     assert (got[1].n_entities, got[1].n_distinct, got[1].kinds) == (4, 2, "card,email")
     other = {r.doc_id: r.text for r in privacy.pseudonymised(df, key="another").collect()}
     assert other[8] != got[8].text
