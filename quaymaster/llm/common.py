@@ -21,7 +21,7 @@ from ..plans.staging import shared_dir, staged
 #: Arrow batches are cut to about so many bytes of text before Python strings are made of them.
 SLICE_BYTES = 4 << 20
 #: The encoder tells equal words apart slice by slice, so its slices are larger.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ _ODD = re.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u0148\\u014a-\\u017e]|<\\
 #: The pattern above, for lower-cased texts of those characters.
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017e0-9\xb2\xb3\xb9\xbc-\xbe]+").findall
 #: Words in a generation of what a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 240_000
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
