@@ -8,8 +8,10 @@ separators, the keyword of a secret, the top-level domain and the country code s
 addresses stay valid, and a given name is drawn from names of the gender that the form of address shows.
 
 Collisions: over the distinct entities of the whole corpus, surrogates that two entities share, or that some entity has itself, are
-drawn again (a counter goes into the digest) until there are none. Those drawn again are few; up to MAP_ENTRIES of them travel as a
-literal, more are joined.
+drawn again (a counter goes into the digest) until there are none. Where a form is so short that its surrogates run out, later draws are
+longer: from the PLAIN-th on, each has a letter, digit or syllable more than the one before, so that however many entities share a form,
+all get one; IP addresses become IPv6 addresses of the documentation's prefix then. Those drawn again are few; up to MAP_ENTRIES of them
+travel as a literal, more are joined.
 
 Cases: null text stays null with no entities; long texts are searched whole; repeated rows alike; empty tables give an empty result;
 a doc_id may be null or repeated; other columns are kept by `pseudonymised` (its own names win).
@@ -24,7 +26,8 @@ from . import common as C
 from .quality import let
 
 MAP_ENTRIES = 2_000
-ROUNDS = 20
+#: Draws in the entity's own form before the form grows; addresses, which cannot grow by a digit, have more.
+PLAIN, PLAIN_IP = 3, 16
 
 _B, _A = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 SECRET_WORD = r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
@@ -122,6 +125,12 @@ def rewritten(s: Column, stream: Column) -> Column:
     return F.aggregate(F.split(s, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step, lambda acc: acc["s"])
 
 
+def longer(s: Column, more: Column) -> Column:
+    """s with its last letter or digit repeated `more` times at the end (an x, if it has none)."""
+    last = F.regexp_extract(s, r"([\p{L}\p{N}])[^\p{L}\p{N}]*$", 1)
+    return F.when(more > 0, F.concat(s, F.repeat(F.when(last == "", "x").otherwise(last), more))).otherwise(s)
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a string of digits, its last digit being the check digit."""
     n = F.length(digits)
@@ -139,18 +148,20 @@ def luhn_kept(e: Column, new: Column) -> Column:
 def surrogate(e: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The surrogate for a mention e of the entity (kind, canon)."""
     stream = stream_of(key, kind, canon, attempt.cast("string"))
+    more = F.greatest(attempt - (PLAIN - 1), F.lit(0))
 
     def made(s: Column) -> Column:
         lead = F.regexp_extract(e, f"^{SECRET_WORD}", 0)
-        secret = F.concat(lead, rewritten(F.substr(e, F.length(lead) + 1), s))
+        secret = F.concat(lead, rewritten(longer(F.substr(e, F.length(lead) + 1), more), s))
         at = F.instr(e, "@")
         domain = F.substr(e, at + 1)
         last = F.concat(F.lit("."), F.element_at(F.split(domain, r"\."), -1))
         hosts = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
-        email = F.concat(rewritten(F.substring(e, F.lit(1), at - 1), s), F.lit("@"), rewritten(hosts, stream_of(key, F.lit("domain"), F.lower(domain))), last)
+        email = F.concat(rewritten(longer(F.substring(e, F.lit(1), at - 1), more), s), F.lit("@"), rewritten(hosts, stream_of(key, F.lit("domain"), F.lower(domain))), last)
         ip = F.array_join(F.transform(F.split(e, r"\."), lambda _, i: (1 + F.pmod(draw(s, i), F.lit(254))).cast("string")), ".")
+        ip = F.when(attempt < PLAIN_IP, ip).otherwise(F.concat_ws(":", F.lit("2001:db8"), *[F.substring(s, 4 * i + 1, 4) for i in range(6)]))
         code = F.regexp_extract(e, r"^\+\d{1,3}(?=[ (.-])", 0)
-        phone = F.concat(code, rewritten(F.substr(e, F.length(code) + 1), s))
+        phone = F.concat(code, rewritten(longer(F.substr(e, F.length(code) + 1), more), s))
         address = F.regexp_extract(e, f"^(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? ", 0)
         gender = F.when(address.rlike(f"^(?:{FEMALE})\\b"), "f").when(address.rlike(f"^(?:{MALE})\\b"), "m").otherwise("n")
         family = F.regexp_extract(e, f"({_NAME})$", 1)
@@ -158,12 +169,14 @@ def surrogate(e: Column, kind: Column, canon: Column, attempt: Column, key: str)
         latin = family.rlike("^[A-Z]")
         own = draw(stream_of(key, F.lit("given"), gender, F.lower(first)), F.lit(0))
         given = F.when(first == "", "").when(latin, F.concat(F.when(gender == "f", among(GIVEN["f"], own)).when(gender == "m", among(GIVEN["m"], own)).otherwise(among(GIVEN["n"], own)), F.lit(" "))).otherwise(F.concat(rewritten(first, stream_of(key, F.lit("given"), F.lower(first))), F.lit(" ")))
-        new = F.when(latin, F.concat(among(SYLLABLES, draw(s, F.lit(0))), among(MIDDLE, draw(s, F.lit(1))), among(MIDDLE, draw(s, F.lit(2))), among(ENDINGS, draw(s, F.lit(3))))).otherwise(rewritten(family, s))
+        syllables = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: among(MIDDLE, draw(s, i + 3))), "")).otherwise("")
+        new = F.when(latin, F.concat(among(SYLLABLES, draw(s, F.lit(0))), among(MIDDLE, draw(s, F.lit(1))), among(MIDDLE, draw(s, F.lit(2))), syllables, among(ENDINGS, draw(s, F.lit(3))))).otherwise(rewritten(longer(family, more), s))
         name = F.concat(address, given, F.when(F.upper(family) == family, F.upper(new)).otherwise(new))
+        long = longer(e, more)
         return (
             F.when(kind == "secret", secret).when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "name", name)
-            .when(kind == "card", luhn_kept(e, rewritten(e, s))).when(kind == "iban", F.concat(F.substring(e, 1, 2), rewritten(F.substring(e, F.lit(3), F.length(e)), s)))
-            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(rewritten(e, s), F.lit(2), F.length(e)))).otherwise(rewritten(e, s))
+            .when(kind == "card", luhn_kept(e, rewritten(long, s))).when(kind == "iban", F.concat(F.substring(e, 1, 2), rewritten(F.substring(long, F.lit(3), F.length(long)), s)))
+            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(rewritten(long, s), F.lit(2), F.length(long)))).otherwise(rewritten(long, s))
         )
 
     return let(stream, made)
@@ -178,21 +191,24 @@ def resolved(docs: DataFrame, key: str) -> DataFrame | None:
     entities only are shuffled, after they are folded in each task."""
     mention = docs.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("e")).distinct()
     mention = mention.select("e", kind_of(F.col("e")).alias("kind")).select("e", "kind", canonical(F.col("e"), F.col("kind")).alias("canon"))
-    now = C.staged(mention.groupBy("kind", "canon").agg(F.min("e").alias("e"), F.lit(0).alias("attempt")), "entities")
-    first = True
-    for _ in range(ROUNDS):
+    now = mention.groupBy("kind", "canon").agg(F.min("e").alias("e"), F.lit(0).alias("attempt"))
+
+    def drawn(attempt: Column) -> Column:
         # compared in canonical form: what a surrogate would be taken for
-        new = now.withColumn("s", surrogate(F.col("e"), F.col("kind"), F.col("canon"), F.col("attempt"), key)).withColumn("s", canonical(F.col("s"), F.col("kind")))
-        new = C.staged(new, "surrogates")
-        shared = new.groupBy("kind", "s").agg(F.min("canon").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "s", "one")
-        twice = new.join(shared, ["kind", "s"]).where("canon <> one").select("kind", "canon")
-        taken = new.join(new.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
+        return canonical(surrogate(F.col("e"), F.col("kind"), F.col("canon"), attempt, key), F.col("kind"))
+
+    now = C.staged(now.withColumn("s", drawn(F.col("attempt"))), "surrogates")
+    first = True
+    while True:  # ends: of those that share a surrogate one stays, and the others' forms grow
+        shared = now.groupBy("kind", "s").agg(F.min("canon").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "s", "one")
+        twice = now.join(shared, ["kind", "s"]).where("canon <> one").select("kind", "canon")
+        taken = now.join(now.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
         bad = C.staged(twice.unionByName(taken).distinct(), "collisions")
         if bad.isEmpty():
             return None if first else now.where("attempt > 0").select(_id(F.col("kind"), F.col("canon")).alias("id"), "attempt")
         first = False
-        now = C.staged(now.join(bad.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "e", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "entities")
-    raise RuntimeError("surrogates did not become distinct; a kind of entity has too few forms")
+        moved = now.join(bad.withColumn("again", F.lit(1)), ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0)))
+        now = C.staged(moved.withColumn("s", F.when(F.col("again").isNotNull(), drawn(F.col("attempt"))).otherwise(F.col("s"))).drop("again"), "surrogates")
 
 
 def pseudonymised(docs: DataFrame, key: str = "quaymaster", resolve: bool = True) -> DataFrame:

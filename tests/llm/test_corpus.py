@@ -452,6 +452,18 @@ def test_surrogates_stay_distinct(spark):
         privacy.MAP_ENTRIES = limit
 
 
+def test_surrogates_of_full_forms(spark, monkeypatch):
+    # each form is used up: one and two letters and one digit at one domain, a mask without a letter, and family names of few syllables
+    monkeypatch.setattr(privacy, "SYLLABLES", privacy.SYLLABLES[:1])
+    monkeypatch.setattr(privacy, "ENDINGS", privacy.ENDINGS[:1])
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    old = [f"{x}@mail.example.com" for x in [*abc, *(a + b for a in abc for b in abc), *"0123456789"]] + [f"Dr Q{a}{b}" for a in abc for b in abc[:10]] + ["password: ********"]
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    got = [r.text for r in privacy.pseudonymised(df).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(old) and not set(got) & set(old)
+    assert all(re.fullmatch(r"[a-z]+@\w+\.\w+\.com|\d+@\w+\.\w+\.com|Dr Bal[a-z]+|password: \*{8}\w+", x) for x in got)
+
+
 # --------------------------------------------------------------------------------------------------------------- shards
 
 def test_differencing_keeps_all_and_balances():
