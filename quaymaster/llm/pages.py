@@ -1,9 +1,9 @@
 """Layout-aware text of web pages (operator 8).
 
 A tokeniser and a tree builder with implied tags (optional end tags, missing html, head, body and table parts, void elements, raw-text
-elements, stray end tags) give a tree; style rules and attributes decide what is visible; a renderer writes all visible text as a
-text browser would: blocks on lines of their own, a blank line where a block has margins, list markers and indents by nesting, tables
-with their cells aligned in columns, pre-formatted text as it stands.
+elements, stray end tags, what does not belong in a table put before it) give a tree; style rules and attributes decide what is
+visible; a renderer writes all visible text as a text browser would: blocks on lines of their own, a blank line where a block has
+margins, list markers and indents by nesting, tables with their cells aligned in columns, pre-formatted text as it stands.
 
 Cases: null or empty html gives the empty text; unclosed tags, comments, quotes and raw text end with the page; nesting of any depth is
 walked without recursion, but tables deeper than MAX_TABLES are written as plain blocks; repeated rows alike; an empty table gives an
@@ -39,6 +39,9 @@ CLOSES = {
 }
 for _k in ("h2", "h3", "h4", "h5", "h6"):
     CLOSES[_k] = CLOSES["h1"]
+#: What a table, its sections and rows hold themselves; all else in them goes before the table, as in browsers.
+TABULAR = frozenset("table thead tbody tfoot tr".split())
+IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th style script template".split())
 #: An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
 
@@ -116,9 +119,26 @@ def parse(page: str) -> Node:
                 break
         return found
 
+    def put(kid: Node | str) -> None:
+        """Into the open element; before the table, if it is one or a part of one that cannot hold this."""
+        if stack[-1].tag in TABULAR and (isinstance(kid, str) or kid.tag not in IN_TABLE) and (k := max((k for k in range(1, len(stack)) if stack[k].tag == "table"), default=0)):
+            kids = stack[k - 1].kids  # an open table is the last of them
+            kids.insert(len(kids) - 1, kid)
+        else:
+            stack[-1].kids.append(kid)
+
+    def tabular() -> int:
+        """The place of the nearest open table, section or row that no cell or caption inside it hides; -1 if none."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in TABULAR:
+                return k
+            if stack[k].tag in ("td", "th", "caption", "template"):
+                break
+        return -1
+
     def add(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
-        stack[-1].kids.append(node)
+        put(node)
         stack.append(node)
 
     def need_body() -> None:
@@ -138,7 +158,12 @@ def parse(page: str) -> Node:
                 need_body()
             if kind == "text" and stack[-1].tag in ("table", "thead", "tbody", "tfoot", "tr", "colgroup") and not s.strip():
                 continue
-            stack[-1].kids.append(s)
+            if kind == "text" and stack[-1].tag == "colgroup":
+                stack.pop()
+            if kind == "raw":
+                stack[-1].kids.append(s)
+            else:
+                put(s)
             continue
         tag = t[1]
         if kind == "end":
@@ -148,11 +173,11 @@ def parse(page: str) -> Node:
                 continue
             if tag == "br":
                 need_body()
-                stack[-1].kids.append(Node("br", {}))
+                put(Node("br", {}))
                 continue
             if tag == "p" and opened({"p"}, SCOPE) < 0:
                 need_body()
-                stack[-1].kids.append(Node("p", {}))
+                put(Node("p", {}))
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
@@ -183,6 +208,14 @@ def parse(page: str) -> Node:
             close_to(k)
         if tag in CLOSES and (k := opened(*CLOSES[tag])) > 0:
             close_to(k)
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            stack.pop()
+        if (tag in IN_TABLE and tag not in HEAD_ONLY and tag != "template" or tag == "table") and (k := tabular()) > 0:
+            while tag == "table" and stack[k].tag != "table":
+                k -= 1
+            close_to(k if tag == "table" else k + 1)  # a table straight in a table ends it
+        if tag == "form" and stack[-1].tag in TABULAR:
+            continue  # holds nothing there: cells and text go on in the row
         if tag == "tr" and stack[-1].tag == "table":
             add("tbody", {})
         if tag in ("td", "th"):

@@ -406,6 +406,17 @@ def test_pages(spark, none):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_keep_what_strays_in_tables():
+    cases = {
+        "<table><tr><form><td>A</td><td>B</td></form></tr></table>": "A  B", "<table>stray<tr><td>a</table>": "stray\n\na", "x<table><tr>stray<td>a</td>more</tr><tr><td>b</table>y": "xstraymore\n\na\nb\n\ny",
+        "<table><form><tr><td>a<tr><td>b</form></table>z": "a\nb\n\nz", "<table><tr><div>in <b>bold</b></div><td>a<td>b</table>": "in bold\n\na  b", "<table><tbody><p>one<p>two<tr><td>a</table>": "one\n\ntwo\n\na",
+        "<table><colgroup><col>q<tr><td>a</table>": "q\n\na", "<table><tr><td>a<table><tr><td>b</table>c</table>": "a / b / c", "<table><tr><td>a</td><table><tr><td>b</table>": "a\n\nb", "<table><tr><span>s<td>a</table>": "s\n\na",
+        "<table><tr><td><form>f</form>g</table>": "f / g",
+    }
+    for html, want in cases.items():
+        assert re.sub(r"(?: / )+", " / ", pages.text_of(html)[1]) == want, html
+
+
 # -------------------------------------------------------------------------------------------------------------- privacy
 
 def test_surrogates(spark, docs, none):
