@@ -23,7 +23,9 @@ MAX_TABLES = 16
 #: Element classes of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object video audio canvas svg map select textarea".split())
+HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object video audio canvas map textarea".split())
+#: What SVG defines or says without showing it.
+SVG_UNSEEN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
 MARGINS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset hr menu dir".split())
 BLOCKS = MARGINS | frozenset("html body div article section nav aside header footer main address center form li dt dd details summary figcaption dialog hgroup legend search option optgroup tr thead tbody tfoot caption td th".split())
 HEAD_ONLY = frozenset("title meta link base style script".split())
@@ -48,7 +50,15 @@ SCOPE = frozenset("table td th caption html template".split())
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<odd>[!?][^>]*(?:>|\Z))|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/(?P<bogus>[^a-zA-Z>][^>]*)?(?:>|\Z))""", re.S)
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)")
 _ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"""[^{};"']+|"(?:[^"\\]|\\.)*(?:"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)|.""", re.S)
+#: The screen that media queries are asked for: lengths in CSS pixels, and words (fixed values).
+VIEW = {"width": 1280.0, "height": 800.0, "device-width": 1280.0, "device-height": 800.0, "aspect-ratio": 1.6, "device-aspect-ratio": 1.6, "resolution": 1.0, "device-pixel-ratio": 1.0, "color": 8.0, "color-index": 0.0, "monochrome": 0.0, "grid": 0.0}
+VIEW_WORDS = {
+    "orientation": "landscape", "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference", "prefers-contrast": "no-preference",
+    "prefers-reduced-transparency": "no-preference", "prefers-reduced-data": "no-preference", "forced-colors": "none", "inverted-colors": "none", "scripting": "enabled", "display-mode": "browser", "update": "fast",
+    "color-gamut": "srgb", "dynamic-range": "standard", "overflow-block": "scroll", "overflow-inline": "scroll",
+}
+UNITS = {"px": 1, "em": 16, "rem": 16, "ch": 8, "pt": 4 / 3, "pc": 16, "in": 96, "cm": 96 / 2.54, "mm": 96 / 25.4, "dppx": 1, "x": 1, "dpi": 1 / 96, "dpcm": 2.54 / 96, "": 1}
 _SELECTOR = re.compile(r"^([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
 
 
@@ -238,6 +248,109 @@ def declarations(style: str) -> dict[str, str]:
     return out
 
 
+def _length(s: str) -> float | None:
+    m = re.fullmatch(r"\s*([+-]?\d*\.?\d+)\s*(?:/\s*(\d*\.?\d+)|([a-z]*))\s*", s)
+    if not m or (m[3] or "") not in UNITS:
+        return None
+    return float(m[1]) / float(m[2] or 1) if not m[2] or float(m[2]) else None
+
+
+def _feature(s: str) -> bool | None:
+    """Whether the view has a media feature; None if it is not known."""
+    s = s.strip().replace("-webkit-", "").replace("-moz-", "")
+    s = re.sub(r"^(min|max)--?moz-", r"\1-", s)
+    if m := re.fullmatch(r"([a-z-]+)\s*:\s*(.+)", s):
+        name, bound = m[1], m[2].strip()
+        if name in VIEW_WORDS:
+            return VIEW_WORDS[name] == bound
+        side, name = (name[:3], name[4:]) if name[:4] in ("min-", "max-") else ("", name)
+        value = _length(bound)
+        if name not in VIEW or value is None:
+            return None
+        return VIEW[name] >= value if side == "min" else VIEW[name] <= value if side == "max" else VIEW[name] == value
+    parts = re.split(r"(<=|>=|<|>|=)", s)
+    if len(parts) > 1:
+        values = [VIEW.get(x.strip(), _length(x)) for x in parts[::2]]
+        if None in values:
+            return None
+        return all({"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b, "=": a == b}[op] for a, op, b in zip(values, parts[1::2], values[1:], strict=False))
+    return bool(VIEW[s]) if s in VIEW else VIEW_WORDS[s] not in ("none", "no-preference") if s in VIEW_WORDS else None
+
+
+def _split(s: str, word: str) -> list[str]:
+    """s cut at a word (or comma) outside parentheses."""
+    out, depth, last = [], 0, 0
+    for m in re.finditer(rf"[()]|{word}", s):
+        if m[0] in "()":
+            depth += 1 if m[0] == "(" else -1
+        elif depth <= 0:
+            out.append(s[last : m.start()])
+            last = m.end()
+    return [*out, s[last:]]
+
+
+def _condition(s: str, feature) -> bool | None:
+    s = s.strip()
+    if s.startswith(("not ", "not(")):
+        got = _condition(s[3:], feature)
+        return None if got is None else not got
+    for word, fold in ((r"\bor\b", any), (r"\band\b", all)):
+        if len(parts := _split(s, word)) > 1:
+            return fold(_condition(x, feature) for x in parts)
+    if s.startswith("(") and s.endswith(")"):
+        inner = s[1:-1].strip()
+        return _condition(inner, feature) if inner.startswith(("(", "not ", "not(")) else feature(inner)
+    return s in ("all", "screen") if re.fullmatch("[a-z-]+", s) else None
+
+
+def media_holds(query: str) -> bool:
+    """Whether a list of media queries holds for a screen of usual size."""
+    query = query.lower().strip()
+    return not query or any(_condition(re.sub(r"^only\s+", "", q.strip()), _feature) for q in _split(query, ","))
+
+
+def applies(at_rule: str) -> bool:
+    """Whether the rules in an at-rule's block hold. Names of layers are not weighed; containers are taken to be as large as the view."""
+    m = re.match(r"@([\w-]+)\s*(.*)", at_rule.strip().lower(), re.S)
+    if not m:
+        return False
+    if m[1] == "media":
+        return media_holds(m[2])
+    if m[1] == "supports":
+        return bool(_condition(m[2], lambda _: True))
+    if m[1] == "container":
+        return bool(_condition(re.sub(r"^(?!not\b)[\w-]+\s+(?=\(|not)", "", m[2]), _feature))
+    return m[1] == "layer"
+
+
+def style_rules(sheet: str):
+    """(selectors, declarations) of the rules that hold for a screen. Rules nested in rules are left out; conditions there are weighed."""
+    #: open blocks: selectors or None, whether what is in it holds, its text so far
+    blocks: list[tuple[str | None, bool, list[str]]] = [(None, True, [])]
+    for m in _CSS.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)):
+        c = m[0]
+        own, holds, text = blocks[-1]
+        if c == "{":
+            # what precedes the block since the last declaration
+            k = max((i for i, x in enumerate(text) if x == ";"), default=-1)
+            head = "".join(text[k + 1 :]).strip()
+            del text[k + 1 :]
+            if head.startswith("@"):
+                blocks.append((own, holds and applies(head), []))
+            else:
+                blocks.append((head, holds and own is None, []))
+        elif c == "}":
+            if len(blocks) > 1:
+                blocks.pop()
+                if holds and own is not None:
+                    yield own, "".join(text)
+        else:
+            text.append(c)
+    for own, holds, text in reversed(blocks[1:]):  # left open at the end
+        if holds and own is not None:
+            yield own, "".join(text)
+
+
 class Styles:
     """The page's style rules with simple selectors (element, .class, #id and their combinations), later rules first in rank."""
 
@@ -247,15 +360,16 @@ class Styles:
         while todo:
             node = todo.pop()
             if node.tag == "style":
-                sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", "".join(k for k in node.kids if isinstance(k, str)), flags=re.S)
-                for m in _RULE.finditer(sheet):
-                    own = declarations(m[2])
-                    for s in m[1].split(","):
+                sheet = "".join(k for k in node.kids if isinstance(k, str)) if media_holds(node.attrs.get("media", "")) else ""
+                for selectors, body in style_rules(sheet):
+                    own = declarations(body)
+                    for s in selectors.split(","):
                         if (x := _SELECTOR.match(s.strip())) and s.strip():
                             marks = re.findall(r"[.#][\w-]+", x[2])
                             ids = [y[1:] for y in marks if y[0] == "#"]
                             self.rules.append(((x[1] or "").lower() or None, frozenset(y[1:] for y in marks if y[0] == "."), ids[0] if ids else None, own))
-            todo.extend(k for k in node.kids if isinstance(k, Node))
+            if node.tag not in ("noscript", "template"):
+                todo.extend(k for k in node.kids if isinstance(k, Node))
 
     def of(self, node: Node) -> dict[str, str]:
         out: dict[str, str] = {}
@@ -340,6 +454,36 @@ def visible(node: Node, style: dict[str, str]) -> bool:
     return not (node.tag == "dialog" and "open" not in node.attrs)
 
 
+def shown_options(select: Node) -> list:
+    """What a select shows: a list box all its options, a menu the last selected one or else the first that is not disabled."""
+    options, todo = [], list(reversed(select.kids))
+    while todo:
+        k = todo.pop()
+        if isinstance(k, Node):
+            if k.tag == "option":
+                options.append(k)
+            else:
+                todo.extend(reversed(k.kids))
+    if "multiple" in select.attrs or re.fullmatch(r"0*([2-9]|[1-9]\d+)", select.attrs.get("size", "").strip()):
+        return select.kids
+    best = [k for k in options if "selected" in k.attrs][-1:] or [k for k in options if "disabled" not in k.attrs][:1]
+    return [" ", *(best[0].attrs.get("label") and [best[0].attrs["label"]] or best[0].kids), " "] if best else []
+
+
+def svg_shown(svg: Node, styles: Styles) -> list:
+    """The texts of a drawing, apart from each other; what it only defines or describes is not shown."""
+    out, todo = [], list(reversed(svg.kids))
+    while todo:
+        k = todo.pop()
+        if not isinstance(k, Node) or k.tag in SVG_UNSEEN or k.attrs.get("display") == "none" or k.attrs.get("visibility") in ("hidden", "collapse") or not visible(k, styles.of(k)):
+            continue
+        if k.tag in ("text", "foreignobject"):
+            out += [" ", k, " "]
+        else:
+            todo.extend(reversed(k.kids))
+    return out
+
+
 def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
     """Cells (text, columns spanned) in columns of equal width, two spaces apart."""
     width: list[int] = []
@@ -405,6 +549,12 @@ def render(root: Node, styles: Styles, depth: int = 0) -> str:
         kids = node.kids
         if tag == "details" and "open" not in node.attrs:
             kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"][:1]
+        elif tag == "select":
+            kids = shown_options(node)
+        elif tag == "svg":
+            kids = svg_shown(node, styles)
+        elif tag == "option" and node.attrs.get("label"):
+            kids = [node.attrs["label"]]
         undo = []
         if tag in ("ul", "ol", "menu", "dir"):
             margin = margin and not lists

@@ -417,6 +417,20 @@ def test_pages_keep_what_strays_in_tables():
         assert re.sub(r"(?: / )+", " / ", pages.text_of(html)[1]) == want, html
 
 
+def test_pages_style_for_a_screen():
+    hide = "{.h{display:none}}"
+    cases = {
+        **{f"<style>{q}{hide}</style>a<p class=h>b": "a\n\nb" for q in ("@media print", "@media (max-width:600px)", "@media not all", "@media screen and (max-width:37.5em), print", "@media (width<600px)", "@supports not (display:grid)", "@media (prefers-color-scheme: dark)", "@font-face", "@media (400px<=width<=700px)")},
+        **{f"<style>{q}{hide}</style>a<p class=h>b": "a" for q in ("@media screen", "@media only screen and (min-width:600px)", "@media not print", "@media print, screen", "@layer x", "@supports (display:grid)", "@media all and (orientation:landscape)", "@media (min-width:600px) and (max-width:1400px)", "@media screen{@media all", "@media (not (max-width:600px))")},
+        "<style>@import 'x';@media print{.g{display:none}}.h{display:none}</style>a<p class=h>b<p class=g>c": "a\n\nc", '<style>.x{content:"}"}.h{display:none}</style>a<p class=h>b': "a", "<style media=print>.h{display:none}</style>a<p class=h>b": "a\n\nb",
+        "<noscript><style>.h{display:none}</style></noscript>a<p class=h>b": "a\n\nb", "<style>.h{color:red;@media print{display:none}}</style>a<p class=h>b": "a\n\nb", "<style>.h{@media screen{display:none}}</style>a<p class=h>b": "a",
+        "x<select><option>A<option selected>B</select>y": "x B y", "x<select><option disabled>A<optgroup><option>B<option>C</select>y": "x B y", "<select multiple><option>A<option>B</select>": "A\nB",
+        "x<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g><text>one</text><text>t<tspan>wo</tspan></text><text display=none>no</text></g></svg>y": "x one two y",
+    }
+    for html, want in cases.items():
+        assert pages.text_of(html)[1] == want, html
+
+
 # -------------------------------------------------------------------------------------------------------------- privacy
 
 def test_surrogates(spark, docs, none):
