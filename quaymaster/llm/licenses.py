@@ -1,8 +1,9 @@
 """Licence scans by template-markup matching (operator 4).
 
 A template is wording with marked regions: `[[ ... ]]` may be absent, `{n}` stands for up to n words of any kind (a name, a year, a
-version). Templates are compiled to token automata; a text is accepted where an automaton accepts, that is where all mandatory words
-stand exactly as in the template, in their order, with nothing between them but what the regions allow.
+version), `a|b` for one of several words, `$` for the end of the text. Templates are compiled to token automata; a text is accepted
+where an automaton accepts, that is where all mandatory words stand exactly as in the template, in their order, with nothing between
+them but what the regions allow. Templates of whole licences go to the end of their conditions and disclaimers.
 
 Besides, four base phrases are counted wherever their words stand consecutively.
 
@@ -22,36 +23,58 @@ from . import common as C
 #: Base phrases and their labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+#: Wording that several licences share.
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+    [[the]] {1} to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+    distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject
+    to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be
+    included in all copies or substantial portions of the software"""
+_MIT_DISCLAIMER = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties
+    of merchantability fitness for a particular purpose and [[non]] noninfringement|infringement in no event shall {12} be liable for any
+    claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+    software or the use or other dealings in the software"""
+_ISC_DISCLAIMER = """the software is provided as is and {8} disclaims|disclaim all warranties with regard to this software including all
+    implied warranties of merchantability and fitness in no event shall {12} be liable for any special direct indirect or consequential
+    damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other
+    tortious action arising out of or in connection with the use or performance of this software"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+    conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the
+    following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the
+    following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_DISCLAIMER = """this software is provided by {12} as is and any express or implied warranties including but not limited to the implied
+    warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {12} be liable for any direct
+    indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or
+    services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract
+    strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+    possibility of such damage"""
+
 #: Templates: label and wording (fixed values: the licences' public wording, and the usual short notices).
 TEMPLATES = [
-    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-        [[the]] {1} to deal in the software without restriction including without limitation the rights to use copy modify merge publish
-        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject
-        to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be
-        included in all copies or substantial portions of the software"""),
+    ("mit", f"{_MIT} {_MIT_DISCLAIMER}"),
+    ("mit", f"{_MIT} $"),  # as a notice, with nothing after it that could change it
     ("mit", "[[is]] [[are]] released under the [[terms of the]] mit license"),
     ("mit", "licensed under the [[terms of the]] mit license"),
     ("mit", "spdx license identifier mit"),
-    ("isc", """permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted
-        provided that the above copyright notice and this permission notice appear in all copies"""),
-    ("0bsd", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
-        the software is provided as is and the author disclaims all warranties"""),
-    ("bsd-2-clause", """redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions
-        and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions
-        and the following disclaimer in the documentation and or other materials provided with the distribution [[the views and conclusions
-        contained in the software]] this software is provided"""),
-    ("bsd-3-clause", """redistribution and use in source and binary forms with or without modification are permitted provided that the
-        following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions
-        and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions
-        and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of
-        {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
-        written permission"""),
+    ("isc", f"""permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies {_ISC_DISCLAIMER}"""),
+    ("0bsd", f"""permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+        {_ISC_DISCLAIMER}"""),
+    ("bsd-2-clause", f"{_BSD} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause", f"""{_BSD} [[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products
+        derived from this software without specific prior written permission {_BSD_DISCLAIMER}"""),
     ("zlib", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any
         damages arising from the use of this software permission is granted to anyone to use this software for any purpose including
-        commercial applications and to alter it and redistribute it freely subject to the following restrictions"""),
-    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile
-        sell or distribute this software"""),
+        commercial applications and to alter it and redistribute it freely subject to the following restrictions [[1]] the origin of this
+        software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product
+        an acknowledgment|acknowledgement in the product documentation would be appreciated but is not required [[2]] altered source
+        versions must be plainly marked as such and must not be misrepresented as being the original software [[3]] this notice may not
+        be removed or altered from any source distribution"""),
+    ("unlicense", f"""this is free and unencumbered software released into the public domain anyone is free to copy modify publish use
+        compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non
+        commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any
+        and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large
+        and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of
+        all present and future rights to this software under copyright law {_MIT_DISCLAIMER}"""),
     ("apache-2.0", "licensed under the [[terms of the]] apache license [[version]] [[v2]] [[v]] 2 [[0]]"),
     ("apache-2.0", "released under the [[terms of the]] apache license [[version]] 2 [[0]]"),
     ("apache-2.0", "spdx license identifier apache 2 0"),
@@ -82,11 +105,13 @@ def normal(text: str | None) -> bytes:
 
 class Automaton:
     """A template as a non-deterministic automaton over words. States 0, 1, ... `end`; `step` has for each state the word that it
-    reads (None: any word) and the next state; `free` has moves that read nothing."""
+    reads (None: any word; a set: one of these; _LAST: the end of the text) and the next state; `free` has moves that read nothing."""
+
+    _LAST = b" "  # no word has a space
 
     def __init__(self, wording: str):
         tokens = re.findall(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+", wording)
-        self.step: dict[int, tuple[bytes | None, int]] = {}
+        self.step: dict[int, tuple[bytes | frozenset | None, int]] = {}
         self.free: dict[int, list[int]] = {}
         state, opened = 0, []
         for t in tokens:
@@ -105,7 +130,7 @@ class Automaton:
                     self.free.setdefault(state + k, []).append(state + n)
                 state += n
             else:
-                self.step[state] = (t.encode(), state + 1)
+                self.step[state] = (self._LAST if t == "$" else frozenset(t.encode().split(b"|")) if "|" in t else t.encode(), state + 1)
                 state += 1
         if opened:
             raise ValueError("an optional region is not closed")
@@ -117,7 +142,7 @@ class Automaton:
                 depth += 1 if t == "[[" else -1
                 if lead and t == "[[":
                     break
-            elif t[0] == "{":
+            elif t[0] == "{" or not depth and (t == "$" or "|" in t):
                 break
             elif not depth:
                 lead.append(t)
@@ -144,10 +169,10 @@ class Automaton:
         """Whether the template, from its first mandatory words on, stands at words[at:]. Optional regions before those change nothing."""
         now = self._closure({self.start})
         while self.end not in now:
-            if at >= len(words) or not now:
+            if at > len(words) or not now:
                 return False
-            w = words[at]
-            now = self._closure({t for s in now if s in self.step for x, t in [self.step[s]] if x is None or x == w})
+            w = words[at] if at < len(words) else self._LAST
+            now = self._closure({t for s in now if s in self.step for x, t in [self.step[s]] if x == w or (w != self._LAST if x is None else isinstance(x, frozenset) and w in x)})
             at += 1
         return True
 

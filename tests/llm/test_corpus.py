@@ -226,6 +226,19 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licences_are_compared_to_their_end():
+    disclaimer = ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+    automata = [(label, licenses.Automaton(w)) for label, w in licenses.TEMPLATES]
+    labels = lambda s: licenses.scan(s, automata)[5]
+    evil = " The Software shall be used for Good, not Evil."
+    assert labels(MIT + disclaimer + " And more.") == labels(MIT + disclaimer.replace("AND NON", "AND NON-")) == labels("(c) Ann. " + MIT) == "mit"
+    assert labels(MIT + evil + disclaimer) == labels(MIT + disclaimer.replace("SHALL THE", "MAY THE")) == labels(MIT + evil) == ""
+    for label in ("mit", "isc", "0bsd", "bsd-2-clause", "bsd-3-clause", "zlib", "unlicense"):
+        whole = next(w for k, w in licenses.TEMPLATES if k == label)
+        words = re.sub(r"\[\[.*?\]\]|(?<=\w)\|\w+", "", re.sub(r"\{\d+\}", "someone", whole)).split()
+        assert label in labels(" ".join(words)).split(",") and label not in labels(" ".join([*words[:-1], "x"])).split(",") and label not in labels(" ".join(words[:-9] + ["except", "here"] + words[-9:])).split(","), label
+
+
 def test_base_places_against_a_plain_count():
     rnd = random.Random(4)
     for _ in range(200):
