@@ -5,7 +5,8 @@ numbers, social security numbers, phone numbers, and names after a form of addre
 kind that is computed from a secret key and the entity's canonical form (case and separators do not count), so that mentions of one
 entity get the same surrogate in all documents, written as the mention was: digits stay digits, letters keep their script and case,
 separators, the keyword of a secret, the top-level domain and the country code stay, card numbers that pass the Luhn test still pass,
-addresses stay valid, and a given name is drawn from names of the gender that the form of address shows.
+addresses stay valid, and a given name is drawn from names of the gender that the form of address shows. The surrogate is drawn from
+the canonical form alone; a mention only lends it its separators and case, so what is compared for collisions is what is written.
 
 Collisions: over the distinct entities of the whole corpus, surrogates that two entities share, or that some entity has itself, are
 drawn again (a counter goes into the digest) until there are none. Where a form is so short that its surrogates run out, later draws are
@@ -46,6 +47,8 @@ KINDS = {
     "name": f"{_B}(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(KINDS.values())
+#: Country codes of telephone numbers: no code begins another.
+COUNTRY_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: No text without one of these has an entity.
 HINT = f"[0-9@]|{SECRET_WORD}|\\b(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? \\p{{Lu}}"
 
@@ -83,7 +86,8 @@ def canonical(e: Column, kind: Column) -> Column:
     return (
         F.when(kind == "secret", F.regexp_replace(e, f"^{SECRET_WORD}", ""))
         .when(kind == "email", F.lower(e))
-        .when(kind.isin("card", "ssn", "phone"), F.regexp_replace(e, "[^0-9]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(e, "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_replace(e, "[^0-9+]", ""))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "name", F.lower(F.regexp_extract(e, f"({_NAME})$", 1)))
         .otherwise(F.when(e.rlike("^[0-9a-fA-F]+$"), F.lower(e)).otherwise(e))
@@ -145,43 +149,69 @@ def luhn_kept(e: Column, new: Column) -> Column:
     return F.when(F.pmod(luhn_sum(F.regexp_replace(e, "[^0-9]", "")), F.lit(10)) == 0, F.concat(F.substring(new, F.lit(1), F.length(new) - 1), check)).otherwise(new)
 
 
-def surrogate(e: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The surrogate for a mention e of the entity (kind, canon)."""
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
+    """The surrogate for the entity (kind, canon), in canonical form."""
     stream = stream_of(key, kind, canon, attempt.cast("string"))
     more = F.greatest(attempt - (PLAIN - 1), F.lit(0))
 
     def made(s: Column) -> Column:
-        lead = F.regexp_extract(e, f"^{SECRET_WORD}", 0)
-        secret = F.concat(lead, rewritten(longer(F.substr(e, F.length(lead) + 1), more), s))
-        at = F.instr(e, "@")
-        domain = F.substr(e, at + 1)
+        at = F.instr(canon, "@")
+        domain = F.substr(canon, at + 1)
         last = F.concat(F.lit("."), F.element_at(F.split(domain, r"\."), -1))
         hosts = F.substring(domain, F.lit(1), F.length(domain) - F.length(last))
-        email = F.concat(rewritten(longer(F.substring(e, F.lit(1), at - 1), more), s), F.lit("@"), rewritten(hosts, stream_of(key, F.lit("domain"), F.lower(domain))), last)
-        ip = F.array_join(F.transform(F.split(e, r"\."), lambda _, i: (1 + F.pmod(draw(s, i), F.lit(254))).cast("string")), ".")
+        ip = F.array_join(F.transform(F.split(canon, r"\."), lambda _, i: (1 + F.pmod(draw(s, i), F.lit(254))).cast("string")), ".")
         ip = F.when(attempt < PLAIN_IP, ip).otherwise(F.concat_ws(":", F.lit("2001:db8"), *[F.substring(s, 4 * i + 1, 4) for i in range(6)]))
-        code = F.regexp_extract(e, r"^\+\d{1,3}(?=[ (.-])", 0)
-        phone = F.concat(code, rewritten(longer(F.substr(e, F.length(code) + 1), more), s))
-        address = F.regexp_extract(e, f"^(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? ", 0)
-        gender = F.when(address.rlike(f"^(?:{FEMALE})\\b"), "f").when(address.rlike(f"^(?:{MALE})\\b"), "m").otherwise("n")
-        family = F.regexp_extract(e, f"({_NAME})$", 1)
-        first = F.regexp_extract(F.substr(e, F.length(address) + 1), f"^({_NAME}) ", 1)
-        latin = family.rlike("^[A-Z]")
-        own = draw(stream_of(key, F.lit("given"), gender, F.lower(first)), F.lit(0))
-        given = F.when(first == "", "").when(latin, F.concat(F.when(gender == "f", among(GIVEN["f"], own)).when(gender == "m", among(GIVEN["m"], own)).otherwise(among(GIVEN["n"], own)), F.lit(" "))).otherwise(F.concat(rewritten(first, stream_of(key, F.lit("given"), F.lower(first))), F.lit(" ")))
         syllables = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: among(MIDDLE, draw(s, i + 3))), "")).otherwise("")
-        new = F.when(latin, F.concat(among(SYLLABLES, draw(s, F.lit(0))), among(MIDDLE, draw(s, F.lit(1))), among(MIDDLE, draw(s, F.lit(2))), syllables, among(ENDINGS, draw(s, F.lit(3))))).otherwise(rewritten(longer(family, more), s))
-        name = F.concat(address, given, F.when(F.upper(family) == family, F.upper(new)).otherwise(new))
-        long = longer(e, more)
+        latin = F.lower(F.concat(among(SYLLABLES, draw(s, F.lit(0))), among(MIDDLE, draw(s, F.lit(1))), among(MIDDLE, draw(s, F.lit(2))), syllables, among(ENDINGS, draw(s, F.lit(3)))))
+        head = F.when(kind == "phone", F.regexp_extract(canon, COUNTRY_CODE, 0)).when(kind == "iban", F.substring(canon, 1, 2)).otherwise("")
+        body = F.when(kind == "email", F.substring(canon, F.lit(1), at - 1)).otherwise(F.substr(canon, F.length(head) + 1))
         return (
-            F.when(kind == "secret", secret).when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "name", name)
-            .when(kind == "card", luhn_kept(e, rewritten(long, s))).when(kind == "iban", F.concat(F.substring(e, 1, 2), rewritten(F.substring(long, F.lit(3), F.length(long)), s)))
-            .when(kind == "ssn", F.concat(F.lit("9"), F.substring(rewritten(long, s), F.lit(2), F.length(long)))).otherwise(rewritten(long, s))
+            F.when(kind == "ip", ip).when((kind == "name") & canon.rlike("^[a-z]"), latin)
+            .otherwise(let(rewritten(longer(body, more), s), lambda new: (
+                F.when(kind == "email", F.concat(new, F.lit("@"), rewritten(hosts, stream_of(key, F.lit("domain"), domain)), last))
+                .when(kind == "card", luhn_kept(canon, new)).when(kind == "ssn", F.concat(F.lit("9"), F.substr(new, F.lit(2)))).otherwise(F.concat(head, new))
+            )))
         )
 
     return let(stream, made)
 
 
+def spaced(e: Column, new: Column) -> Column:
+    """The letters and digits of new in the places of those of e; what is left over follows."""
+    def step(acc: Column, c: Column) -> Column:
+        counts = c.rlike("[A-Za-z0-9]")
+        return F.struct(F.concat(acc["s"], F.when(counts, F.substring(new, acc["k"] + 1, F.lit(1))).otherwise(c)).alias("s"), (acc["k"] + counts.cast("int")).alias("k"))
+
+    return F.aggregate(F.split(e, ""), F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step, lambda acc: F.concat(acc["s"], F.substr(new, acc["k"] + 1)))
+
+
+def cased(e: Column, new: Column) -> Column:
+    """new with capitals where e has them."""
+    def one(c: Column, i: Column) -> Column:
+        old = F.substring(e, i + 1, F.lit(1))
+        return F.when(F.lower(old) != old, F.upper(c)).otherwise(c)
+
+    return F.array_join(F.transform(F.split(new, ""), one), "")
+
+
+def written(e: Column, kind: Column, canon: Column, new: Column, key: str) -> Column:
+    """The entity's surrogate new as its mention e is written."""
+    at, new_at = F.instr(e, "@"), F.instr(new, "@")
+    email = F.concat(cased(F.substring(e, F.lit(1), at - 1), F.substring(new, F.lit(1), new_at - 1)), F.lit("@"), cased(F.substr(e, at + 1), F.substr(new, new_at + 1)))
+    address = F.regexp_extract(e, f"^(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? ", 0)
+    gender = F.when(address.rlike(f"^(?:{FEMALE})\\b"), "f").when(address.rlike(f"^(?:{MALE})\\b"), "m").otherwise("n")
+    family = F.regexp_extract(e, f"({_NAME})$", 1)
+    first = F.regexp_extract(F.substr(e, F.length(address) + 1), f"^({_NAME}) ", 1)
+    latin = canon.rlike("^[a-z]")
+    own = draw(stream_of(key, F.lit("given"), gender, F.lower(first)), F.lit(0))
+    given = F.when(first == "", "").when(latin, F.concat(F.when(gender == "f", among(GIVEN["f"], own)).when(gender == "m", among(GIVEN["m"], own)).otherwise(among(GIVEN["n"], own)), F.lit(" "))).otherwise(F.concat(rewritten(first, stream_of(key, F.lit("given"), F.lower(first))), F.lit(" ")))
+    name = F.concat(address, given, F.when(F.upper(family) == family, F.upper(new)).when(latin, F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2)))).otherwise(cased(family, new)))
+    return (
+        F.when(kind == "secret", F.concat(F.regexp_extract(e, f"^{SECRET_WORD}", 0), new)).when(kind == "name", name).when(e == canon, new)
+        .when(kind == "email", email).when(kind.isin("card", "ssn", "phone", "iban"), spaced(e, F.ltrim(new, F.lit("+")))).when(kind == "key", cased(e, new)).otherwise(new)
+    )
+
+
 def _id(kind: Column, canon: Column) -> Column:
     return F.concat_ws("\u001f", kind, canon)
 
@@ -191,18 +221,21 @@ def resolved(docs: DataFrame, key: str) -> DataFrame | None:
     entities only are shuffled, after they are folded in each task."""
     mention = docs.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("e")).distinct()
     mention = mention.select("e", kind_of(F.col("e")).alias("kind")).select("e", "kind", canonical(F.col("e"), F.col("kind")).alias("canon"))
-    now = mention.groupBy("kind", "canon").agg(F.min("e").alias("e"), F.lit(0).alias("attempt"))
+    now = mention.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
+
+    def compared(c: Column) -> Column:
+        # numbers are told apart by their digits even if only one is written with a plus
+        return F.when(F.col("kind") == "phone", F.ltrim(c, F.lit("+"))).otherwise(c)
 
     def drawn(attempt: Column) -> Column:
-        # compared in canonical form: what a surrogate would be taken for
-        return canonical(surrogate(F.col("e"), F.col("kind"), F.col("canon"), attempt, key), F.col("kind"))
+        return compared(surrogate(F.col("kind"), F.col("canon"), attempt, key))
 
     now = C.staged(now.withColumn("s", drawn(F.col("attempt"))), "surrogates")
     first = True
     while True:  # ends: of those that share a surrogate one stays, and the others' forms grow
         shared = now.groupBy("kind", "s").agg(F.min("canon").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "s", "one")
         twice = now.join(shared, ["kind", "s"]).where("canon <> one").select("kind", "canon")
-        taken = now.join(now.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
+        taken = now.join(now.select("kind", compared(F.col("canon")).alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
         bad = C.staged(twice.unionByName(taken).distinct(), "collisions")
         if bad.isEmpty():
             return None if first else now.where("attempt > 0").select(_id(F.col("kind"), F.col("canon")).alias("id"), "attempt")
@@ -230,7 +263,7 @@ def pseudonymised(docs: DataFrame, key: str = "quaymaster", resolve: bool = True
     def one(e: Column) -> Column:
         def known(x: Column) -> Column:
             attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, _id(x["kind"], x["canon"])), F.lit(0))
-            return F.struct(surrogate(e, x["kind"], x["canon"], attempt, key).alias("s"), x["kind"].alias("kind"), x["canon"].alias("canon"))
+            return F.struct(let(surrogate(x["kind"], x["canon"], attempt, key), lambda new: written(e, x["kind"], x["canon"], new, key)).alias("s"), x["kind"].alias("kind"), x["canon"].alias("canon"))
 
         return let(let(kind_of(e), lambda k: F.struct(k.alias("kind"), canonical(e, k).alias("canon"))), known)
 

@@ -490,6 +490,18 @@ def test_surrogates_stay_distinct(spark):
         privacy.MAP_ENTRIES = limit
 
 
+def test_surrogates_do_not_depend_on_spelling(spark):
+    hexa = "0a1b2c3d4e5f60718293a4b5c6d7e8f9"
+    old = ["+33612345678", "+33 6 12 34 56 78", "+336-1234-5678", "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", hexa, hexa.upper(), hexa[:16] + hexa[16:].upper(), "Änn.B@Mail.example.com", "änn.b@mail.EXAMPLE.com", "Mr Öztürk", "Mr ÖZTÜRK", "123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    got = [r.text for r in privacy.pseudonymised(df).orderBy("doc_id").collect()]
+    shape = lambda s: re.sub(r"[^\W\d_]", "x", re.sub(r"\d", "0", s))
+    assert all(shape(a) == shape(b) and a != b for a, b in zip(got, old, strict=True))
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert digits[0] == digits[1] == digits[2] and digits[0].startswith("33") and got[3].replace(" ", "") == got[4] and got[4].startswith("GB")
+    assert got[5] == got[6].lower() == got[7].lower() and got[6] == got[6].upper() and got[8].lower() == got[9].lower() and got[8][0].isupper() and got[9].endswith(".com") and got[10].lower() == got[11].lower()
+
+
 def test_surrogates_of_full_forms(spark, monkeypatch):
     # each form is used up: one and two letters and one digit at one domain, a mask without a letter, and family names of few syllables
     monkeypatch.setattr(privacy, "SYLLABLES", privacy.SYLLABLES[:1])
