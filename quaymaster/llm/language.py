@@ -27,7 +27,7 @@ from . import common as C
 
 FIT_DOCS, FIT_WORDS, ROUNDS = 1_500, 12_000, 4
 MIN_SCORE = 0.5
-WORD_CHARS, PIECE_CHARS = 40, 12
+WORD_CHARS = 40
 #: A factor for each character, so that products of probabilities stay in range.
 SCALE = 64.0
 CACHE = 400_000
@@ -54,7 +54,7 @@ def vocabulary(path: str | None = None) -> list[str]:
         path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()))
-    return sorted(p for p in pieces if (w := p.removeprefix("▁")).isalpha() and w == w.lower() and len(p) <= PIECE_CHARS or p == "▁")
+    return sorted(p for p in pieces if (w := p.removeprefix("▁")).isalpha() and w == w.lower() or p == "▁")
 
 
 class Lattice:
@@ -62,6 +62,7 @@ class Lattice:
 
     def __init__(self, words: list[str], index: dict[str, int]):
         unknown = len(index)
+        longest = max(map(len, index), default=1)
         src, dst, pid, level = array("q"), array("q"), array("i"), array("i")
         base = 0
         self.base = np.zeros(len(words), np.int64)
@@ -72,7 +73,7 @@ class Lattice:
             n = len(s)
             self.base[k] = base
             for i in range(n):
-                for j in range(i + 1, min(i + PIECE_CHARS, n) + 1):
+                for j in range(i + 1, min(i + longest, n) + 1):
                     p = get(s[i:j])
                     if p is None:
                         if j > i + 1:

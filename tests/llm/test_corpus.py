@@ -205,6 +205,18 @@ def test_forward_sums_all_segmentations():
     assert language.Lattice([], {"a": 0}).forward(prob).shape == (0, 1)
 
 
+def test_language_uses_the_whole_vocabulary():
+    import numpy as np
+    import sentencepiece
+    from public_tokenizers import path
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    usable = {p for i in range(sp.get_piece_size()) if (w := (p := sp.id_to_piece(i)).removeprefix("▁")).isalpha() and w == w.lower() or p == "▁"}
+    assert set(language.vocabulary()) == usable and max(map(len, usable)) > 12
+    lattice = language.Lattice(["international"], {"▁international": 0})
+    assert np.isclose(lattice.forward(np.array([[0.5], [0.0]]))[lattice.end][0, 0], 0.5)
+
+
 # ------------------------------------------------------------------------------------------------------------- licences
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
