@@ -87,6 +87,22 @@ def sampled(nodes: DataFrame, k: int) -> DataFrame:
     return nodes.orderBy(F.xxhash64("node"), "node").limit(k)
 
 
+def core_nodes(cores: DataFrame, edges: DataFrame, most: int = 40_000) -> DataFrame:
+    """The nodes of the largest k-core (k of 2 or more) of `most` nodes at most; where even the innermost has more, its nodes of highest
+    degree."""
+    total, least = 0, None
+    for r in cores.where("core >= 2").groupBy("core").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("core")).collect():  # a row for each core number
+        total += r["n"]
+        if total > most:
+            break
+        least = r["core"]
+    if least is not None or not total:
+        return cores.where(F.col("core") >= (least or 2)).select("node")
+    inner = cores.where(F.col("core") == r["core"]).select("node")
+    ends = union([edges.select(F.col("src").alias("node")), edges.select(F.col("dst").alias("node"))]).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    return inner.join(ends, "node").orderBy(F.desc("deg"), "node").limit(most).select("node")
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, directed: bool = True, cutoff: int = 64) -> DataFrame:
     """node, betweenness and, for pivots, harmonic centrality (else 0). All pivots go in one loop: shortest path counts flow forward level
     by level, dependencies back; betweenness is scaled by n / pivots and by (n - 1)(n - 2)."""

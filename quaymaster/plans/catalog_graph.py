@@ -386,9 +386,8 @@ def _(spark, sf):
 
 @query("grf12_core_betweenness")
 def _(spark, sf):
-    top = cores(spark, sf).orderBy(F.desc("core"), "node").limit(500)  # the operator works on a core of bounded size
-    e = G.induced(top.select("node"), table(spark, sf, "pkgdep"))
-    return RK.betweenness(top.select("node"), e, RK.sampled(top.select("node"), 20), cutoff=4).select("node", Q(F.col("betweenness")).alias("betweenness"))
+    top = kept(spark, (sf, "core"), lambda: RK.core_nodes(cores(spark, sf), table(spark, sf, "pkgdep")))
+    return RK.betweenness(top, G.induced(top, table(spark, sf, "pkgdep")), top, cutoff=4).select("node", Q(F.col("betweenness")).alias("betweenness"))
 
 
 @query("grf13_spearman", based(_DEG + f" SELECT {q6('corr(a, b)')} AS rho FROM (SELECT row_number() OVER (ORDER BY in_degree, node)::DOUBLE AS a, row_number() OVER (ORDER BY out_degree, node)::DOUBLE AS b FROM deg)"))

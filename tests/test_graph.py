@@ -192,3 +192,13 @@ def test_running_sums_over_a_total_order(spark):
         want[i] = (k, total)
     got = {r.i: (r.k, r.s) for r in cumulative(numbered(df, ["x", "i"], "k"), ["x", "i"], {"s": F.col("x")}).collect()}
     assert got == want and numbered(df.limit(0), ["x"], "k").count() == 0
+
+
+def test_core_nodes(spark):
+    from quaymaster.operators.rank import core_nodes
+
+    cores = spark.createDataFrame([(i, 1) for i in range(5)] + [(i, 2) for i in range(5, 605)] + [(i, 3) for i in range(605, 615)], "node long, core long")
+    edges = spark.createDataFrame([(605 + i, 605 + j) for i in range(10) for j in range(i)] + [(612, 5), (607, 6)], "src long, dst long")
+    ids = lambda most: sorted(r.node for r in core_nodes(cores, edges, most).collect())
+    assert ids(40_000) == ids(610) == list(range(5, 615)) and ids(609) == ids(10) == list(range(605, 615)) and ids(2) == [607, 612]
+    assert core_nodes(cores.where("core < 2"), edges).count() == 0
