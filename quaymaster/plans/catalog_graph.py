@@ -539,7 +539,7 @@ def _(spark, sf):
 def _(spark, sf):
     v = table(spark, sf, "versions").select("ver_id", "pkg_id")
     own = dated(spark, sf).join(v.toDF("src", "a"), "src").join(v.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "t")
-    return TM.trajectory(own, nodes(spark, sf), [1997.0, 1999.0, 2001.0], victims(spark, sf, 5), rounds=10)
+    return TM.trajectory(own, nodes(spark, sf), [1997.0, 1999.0, 2001.0], victims(spark, sf, 5))
 
 
 # ------------------------------------------------------------------------------------------------------------ policy

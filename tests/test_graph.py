@@ -202,3 +202,12 @@ def test_core_nodes(spark):
     ids = lambda most: sorted(r.node for r in core_nodes(cores, edges, most).collect())
     assert ids(40_000) == ids(610) == list(range(5, 615)) and ids(609) == ids(10) == list(range(605, 615)) and ids(2) == [607, 612]
     assert core_nodes(cores.where("core < 2"), edges).count() == 0
+
+
+def test_trajectory_runs_all_rounds():
+    import inspect
+
+    from quaymaster.operators.temporal import trajectory
+    from quaymaster.plans import catalog_graph
+
+    assert inspect.signature(trajectory).parameters["rounds"].default == 25 and "rounds=10" not in inspect.getsource(catalog_graph)
