@@ -2,15 +2,19 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all ways to cut
 it into pieces, found by the forward algorithm; a text's is the product over its words (pieces never cross words, so this is the sum
-over all segmentations of the text). The pieces' probabilities are fitted by expectation-maximisation (forward-backward) on word
-counts of a bounded sample of labelled documents.
+over all segmentations of the text). The pieces' probabilities are fitted by expectation-maximisation (forward-backward) on the word
+counts of a bounded sample of labelled documents. Each round of the fit is a job over the staged word counts; the driver holds the
+probabilities only.
 
-Bounds of the fit (parameters): about FIT_DOCS documents of each language, drawn by a hash of the doc_id, and the FIT_WORDS most
-frequent words of each language in them. Prediction covers every whole text.
+The one bound of the fit: about FIT_DOCS documents of each language, drawn by a hash of the doc_id (documents with fewer labels are all
+taken); all words of these documents count. Prediction covers every word of every whole text, however long the word.
 
-Cases: null text or text without a letter is `und` with score 0, as is every text when there is no labelled document to learn from;
-runs of letters longer than WORD_CHARS are scored in stretches of that length; ties go to the language that sorts first; repeated rows
-and null doc_ids are predicted like any other (a null doc_id is not held out and not learned from); other columns are ignored.
+A word is a letter and the letters and combining marks that follow it, in lower case.
+
+Cases: null text or text without a letter (Unicode category L) is `und` with score 0, as is every text when there is no labelled document
+to learn from; words over BATCH_CHARS characters take the same sums in logarithms, one word at a time; ties go to the language that sorts
+first; rows alike in doc_id, lang and text are learned from once, and predicted each; null doc_ids are predicted like any other (a null
+doc_id is not held out and not learned from); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,30 +22,38 @@ from __future__ import annotations
 import itertools
 import re
 from array import array
+from collections import deque
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-FIT_DOCS, FIT_WORDS, ROUNDS = 1_500, 12_000, 4
+FIT_DOCS, ROUNDS = 1_500, 4
 MIN_SCORE = 0.5
-WORD_CHARS = 40
+#: Words up to this length are summed many at a time, in scaled numbers; longer ones in logarithms.
+BATCH_CHARS = 40
+#: A text's score is its posterior as if it had so many words of its average evidence, or fewer if it is shorter: with hundreds of
+#: words every posterior would be 0 or 1. All words count in the average.
+EVIDENCE_WORDS = 20
+#: Staged word counts of the fit lie in so many parts, whose sums are added in order, so the fit does not depend on the cluster.
+FIT_PARTS = 16
 #: A factor for each character, so that products of probabilities stay in range.
 SCALE = 64.0
-CACHE = 400_000
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: Words, and characters of words, that a worker remembers.
+CACHE, CACHE_CHARS = 400_000, 6_000_000
+_ASCII_WORDS = re.compile("[a-z]+").findall
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    """The text's runs of letters in lower case, cut to WORD_CHARS."""
+    """The text's words in lower case."""
     if not text:
         return []
-    found = _WORDS(text.lower())
-    if any(len(w) > WORD_CHARS for w in found):
-        found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
-    return found
+    text = text.lower()
+    return _ASCII_WORDS(text) if text.isascii() else _WORDS(text)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -121,33 +133,77 @@ class Lattice:
         return total
 
 
-def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS, smooth: float = 0.05) -> np.ndarray:
-    """Scaled probabilities (piece, language), the last row for unknown characters. counts: language -> word -> count, in order."""
-    index = {p: i for i, p in enumerate(pieces)}
-    langs = list(counts)
-    words = sorted(set(itertools.chain.from_iterable(counts.values())))
-    lattice = Lattice(words, index)
-    n = np.array([[counts[x].get(w, 0) for x in langs] for w in words], float).reshape(-1, len(langs))
+def sums_in_logs(word: str, index: dict[str, int], log_prob: np.ndarray, whole: bool = False) -> list[np.ndarray]:
+    """Logarithms of the (scaled) sums over all segmentations up to each place of one word, for each language; only the last one unless
+    `whole`."""
+    s, longest, unknown = "▁" + word, max(map(len, index), default=1), len(index)
+    at = [np.zeros(log_prob.shape[1])] if whole else deque([np.zeros(log_prob.shape[1])], maxlen=longest)
+    none = np.full(log_prob.shape[1], -np.inf)
+    for j in range(1, len(s) + 1):
+        acc = none
+        for back in range(1, min(longest, j) + 1):
+            p = index.get(s[j - back : j], unknown if back == 1 else None)
+            if p is not None:
+                acc = np.logaddexp(acc, at[-back] + log_prob[p])
+        at.append(acc)
+    return at if whole else [at[-1]]
+
+
+def expected_in_logs(word: str, index: dict[str, int], log_prob: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
+    """Adds to total how often each piece is expected in one word that is counted as often as `counts` says."""
+    s, longest, unknown = "▁" + word, max(map(len, index), default=1), len(index)
+    fore = sums_in_logs(word, index, log_prob, True)
+    back = [np.full(log_prob.shape[1], -np.inf) for _ in s] + [np.zeros(log_prob.shape[1])]
+    for j in range(len(s), 0, -1):
+        for k in range(1, min(longest, j) + 1):
+            p = index.get(s[j - k : j], unknown if k == 1 else None)
+            if p is not None:
+                through = back[j] + log_prob[p]
+                back[j - k] = np.logaddexp(back[j - k], through)
+                total[p] += counts * np.exp(np.minimum(fore[j - k] + through - fore[-1], 0))
+
+
+def first_guess(pieces: list[str], langs: int) -> np.ndarray:
     length = np.array([len(p) for p in pieces] + [1])
-    prob = np.repeat((SCALE / 1000.0) ** length[:, None] / 30.0, len(langs), axis=1)
-    for _ in range(rounds):
-        got = lattice.expected(prob, n) + smooth
-        prob = got / got.sum(axis=0) * SCALE ** length[:, None]
-    return prob
+    return np.repeat((SCALE / 1000.0) ** length[:, None] / 30.0, langs, axis=1)
+
+
+def expected_pieces(words: list[str], counts: np.ndarray, index: dict[str, int], prob: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """How often each piece is expected in the words, counted (word, language) as counts says."""
+    total = np.zeros_like(prob)
+    short = [k for k, w in enumerate(words) if len(w) <= BATCH_CHARS]
+    for i in range(0, len(short), step):
+        part = short[i : i + step]
+        total += Lattice([words[k] for k in part], index).expected(prob, counts[part])
+    if len(short) < len(words):
+        logs = np.log(np.maximum(prob, 1e-300))
+        for k, w in enumerate(words):
+            if len(w) > BATCH_CHARS:
+                expected_in_logs(w, index, logs, counts[k], total)
+    return total
+
+
+def improved(got: np.ndarray, pieces: list[str], smooth: float = 0.05) -> np.ndarray:
+    """Scaled probabilities (piece, language) from expected counts, the last row for unknown characters."""
+    length = np.array([len(p) for p in pieces] + [1])
+    return (got + smooth) / (got + smooth).sum(axis=0) * SCALE ** length[:, None]
 
 
 def training(docs: DataFrame) -> DataFrame:
     return docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def word_counts(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> dict[str, dict[str, int]]:
-    """language -> word -> count over the sample of the training documents."""
+def share_of(n: int, fit_docs: int = FIT_DOCS) -> int:
+    """The bound under which a 63-bit hash must lie so that about fit_docs of n documents are drawn, whatever n is."""
+    return min(1 << 63, fit_docs * (1 << 63) // max(n, 1)) - 1
+
+
+def word_counts(docs: DataFrame, langs: dict[str, int], fit_docs: int = FIT_DOCS) -> DataFrame:
+    """part, word, and a count for each of langs (language -> documents), over the sample of the training documents, staged."""
     own = training(docs.select("doc_id", "text", "lang"))
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1, fit_docs / n) * 1_000_000))])
-    sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    share = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(share_of(n, fit_docs)).cast("long"))])
+    sample = own.where(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)) <= share[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"])
+    number = {x: k for k, x in enumerate(langs)}
 
     def run(batches):
         from collections import Counter
@@ -158,17 +214,44 @@ def word_counts(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_
             for part in C.slices(batch):
                 total = Counter()
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    total.update((lang, w) for w in words_of(text))
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "word", "n"])
+                    k = number[lang]
+                    total.update((k, w) for w in words_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "word", "n"])
 
-    from pyspark.sql import Window as W
+    per = sample.select("lang", "text").mapInArrow(run, "lang int, word string, n long")
+    wide = per.groupBy("word").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(langs))])
+    wide = wide.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(FIT_PARTS)).cast("int"))
+    return C.staged(wide.repartition(FIT_PARTS, "part").sortWithinPartitions("part", "word").select("part", "word", F.array(*[f"n{k}" for k in range(len(langs))]).alias("n")), "words")
 
-    per = sample.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = per.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= fit_words)
-    out: dict[str, dict[str, int]] = {k: {} for k in sorted(sizes)}
-    for r in best.select("lang", "word", "n").collect():  # at most fit_words for each language
-        out[r["lang"]][r["word"]] = r["n"]
-    return out
+
+def _round(sent):
+    """One part's expected pieces under the probabilities sent."""
+    def run(key, table):
+        import pyarrow as pa
+
+        pieces, prob = sent.value
+        words = table.column("word").to_pylist()
+        order = sorted(range(len(words)), key=words.__getitem__)
+        n = np.array(table.column("n").to_pylist(), float).reshape(-1, prob.shape[1])[order]
+        got = expected_pieces([words[k] for k in order], n, {p: i for i, p in enumerate(pieces)}, prob)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "got": pa.array([got.tobytes()], pa.binary())})
+
+    return run
+
+
+def fit(counts: DataFrame, pieces: list[str], langs: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Scaled probabilities (piece, language) after some rounds of expectation-maximisation over staged word counts (part, word, n). A
+    round brings one table of the size of the probabilities from each of FIT_PARTS parts to the driver."""
+    prob = first_guess(pieces, langs)
+    sc = counts.sparkSession.sparkContext
+    dealt = counts.groupBy("part")
+    for _ in range(rounds):
+        sent = sc.broadcast((pieces, prob))
+
+        got = sorted((r["part"], bytes(r["got"])) for r in dealt.applyInArrow(_round(sent), "part int, got binary").collect())
+        prob = improved(sum((np.frombuffer(b).reshape(prob.shape) for _, b in got), np.zeros_like(prob)), pieces)
+        sent.unpersist()
+    return prob
 
 
 class Scorer:
@@ -181,27 +264,37 @@ class Scorer:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.chars = 0
         self.logs = np.zeros((1 << 12, self.prob.shape[1]), np.float64)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.at) > CACHE:
+        if len(self.at) > CACHE or self.chars > CACHE_CHARS:
             self.clear()
         new = list(words.difference(self.at))
+        long = [w for w in new if len(w) > BATCH_CHARS]
+        new = [w for w in new if len(w) <= BATCH_CHARS] if long else new
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             lattice = Lattice(part, self.index)
-            sums = np.log(np.maximum(lattice.forward(self.prob)[lattice.end], 1e-300))
-            sums -= (np.array([len(w) for w in part]) + 1)[:, None] * np.log(SCALE)
-            n = len(self.at)
-            while n + len(part) > len(self.logs):
-                self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-            self.logs[n : n + len(part)] = sums
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
+            self._keep(part, np.log(np.maximum(lattice.forward(self.prob)[lattice.end], 1e-300)))
+        if long:
+            log_prob = np.log(np.maximum(self.prob, 1e-300))
+            for w in long:
+                self._keep([w], sums_in_logs(w, self.index, log_prob)[0][None, :])
+
+    def _keep(self, part: list[str], sums: np.ndarray) -> None:
+        sums -= (np.array([len(w) for w in part]) + 1)[:, None] * np.log(SCALE)
+        n = len(self.at)
+        while n + len(part) > len(self.logs):
+            self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
+        self.logs[n : n + len(part)] = sums
+        self.at.update(zip(part, range(n, n + len(part)), strict=True))
+        self.chars += sum(map(len, part))
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's log probability by language, and its number of words."""
         chunks, number, edge = C.told_apart([(t or "").lower() for t in texts])
-        words = [(c,) if len(c) <= WORD_CHARS and c.isalpha() else words_of(c) for c in chunks]  # runs of letters never cross white space
+        words = [(c,) if c.isalpha() else words_of(c) for c in chunks]  # words never cross white space
         self.learn(set().union(*words))
         flat = np.fromiter(map(self.at.__getitem__, itertools.chain.from_iterable(words)), np.int64)
         per = np.fromiter(map(len, words), np.int64, len(words))
@@ -226,7 +319,7 @@ _SCORERS: dict[int, Scorer] = {}
 
 
 def predict(docs: DataFrame, langs: list[str], pieces: list[str], prob: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns `keep` (all by default), lang_pred and score. Score: the language's posterior when the text is weighed as at most 20 words."""
+    """docs' columns `keep` (all by default), lang_pred and score. Score: the language's posterior, weighed as EVIDENCE_WORDS says."""
     from pyspark.sql import types as T
 
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
@@ -247,7 +340,7 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], prob: np.ndarr
             for part in C.slices(batch, C.ENCODE_BYTES):
                 logs, n = scorer.score(part.column(len(keep)).to_pylist())
                 if names:
-                    mean = logs / np.maximum(n, 1)[:, None] * np.minimum(n, 20)[:, None]
+                    mean = logs / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE_WORDS)[:, None]
                     post = np.exp(mean - mean.max(axis=1, keepdims=True))
                     post /= post.sum(axis=1, keepdims=True)
                     best = logs.argmax(axis=1)
@@ -260,12 +353,17 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], prob: np.ndarr
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None, path: str | None = None, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None, path: str | None = None, fit_docs: int = FIT_DOCS) -> DataFrame:
     """Learns from docs (doc_id, text, lang) and predicts the language of each of their texts."""
-    counts = word_counts(docs, fit_docs, fit_words)
+    got = training(docs.select("doc_id", "text", "lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
+    langs = {r["lang"]: r["n"] for r in sorted(got, key=lambda r: r["lang"])}
     pieces = vocabulary(path)
-    prob = fit(counts, pieces) if counts else np.zeros((len(pieces) + 1, 0))
-    return predict(docs, list(counts), pieces, prob, keep)
+    prob = np.zeros((len(pieces) + 1, 0))
+    if langs:
+        counts = word_counts(docs, langs, fit_docs)
+        prob = fit(counts, pieces, len(langs))
+        C.drop_stage(counts)
+    return predict(docs, list(langs), pieces, prob, keep)
 
 
 def with_language(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
