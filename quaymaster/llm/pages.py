@@ -5,21 +5,23 @@ elements, stray end tags, what does not belong in a table put before it) give a
 visible; a renderer writes all visible text as a text browser would: blocks on lines of their own, a blank line where a block has
 margins, list markers and indents by nesting, tables with their cells aligned in columns, pre-formatted text as it stands.
 
-Cases: null or empty html gives the empty text; unclosed tags, comments, quotes and raw text end with the page; nesting of any depth is
-walked without recursion, but tables deeper than MAX_TABLES are written as plain blocks; repeated rows alike; an empty table gives an
-empty result; other columns are ignored.
+Cases: null or empty html gives the empty text; unclosed tags, comments, quotes and raw text end with the page; nesting of any depth,
+of tables too, is walked without recursion and without looking through all open elements; cells stand in the columns that column and row
+spans leave them; what is written is indented by MOST_INDENT columns at most; what one may type into a form field (textarea, input) is
+not the page's text and not written; repeated rows alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
 
-MAX_TABLES = 16
+MOST_INDENT = 80
 #: Element classes of the HTML standard (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -39,13 +41,18 @@ CLOSES = {
     **{k: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for k in ("thead", "tbody", "tfoot", "caption", "colgroup")},
     "h1": ({"h1", "h2", "h3", "h4", "h5", "h6"}, BLOCKS - {"h1", "h2", "h3", "h4", "h5", "h6"}),
 }
-for _k in ("h2", "h3", "h4", "h5", "h6"):
-    CLOSES[_k] = CLOSES["h1"]
+CLOSES = {k: (frozenset(a), frozenset(b)) for k, (a, b) in CLOSES.items()} | {k: (frozenset(CLOSES["h1"][0]), CLOSES["h1"][1]) for k in ("h2", "h3", "h4", "h5", "h6")}
 #: What a table, its sections and rows hold themselves; all else in them goes before the table, as in browsers.
 TABULAR = frozenset("table thead tbody tfoot tr".split())
 IN_TABLE = frozenset("caption colgroup col thead tbody tfoot tr td th style script template".split())
 #: An end tag does not reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
+TABLE_END = frozenset("body table".split())
+SCOPE_END = SCOPE | TABLE_END
+#: Cells hide the table around them; these end tags pass cells.
+CELLS = frozenset("td th caption template".split())
+TABLE_TAGS = frozenset("table tr td th thead tbody tfoot caption".split())
+_P, _P_STOPS = frozenset({"p"}), SCOPE | {"button"}
 
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<odd>[!?][^>]*(?:>|\Z))|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|/(?P<bogus>[^a-zA-Z>][^>]*)?(?:>|\Z))""", re.S)
 _LOOSE = re.compile(r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)")
@@ -69,6 +76,55 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
+class Open:
+    """The open elements from the root on; for each the nearest one, itself included, that end tags of some kinds do not pass; and where
+    the elements of each tag stand."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[Node] = []
+        self.block: list[int] = []
+        self.scope: list[int] = []
+        self.table: list[int] = []
+        self.where: dict[str, list[int]] = {}
+        self.push(root)
+
+    def push(self, node: Node) -> None:
+        k, tag = len(self.nodes), node.tag
+        self.nodes.append(node)
+        self.where.setdefault(tag, []).append(k)
+        for own, tags in ((self.block, BLOCKS), (self.scope, SCOPE_END), (self.table, TABLE_END)):
+            own.append(k if tag in tags else own[-1] if own else 0)
+
+    def cut(self, k: int) -> None:
+        """Ends the k-th element and all in it."""
+        for node in self.nodes[k:]:
+            self.where[node.tag].pop()
+        for own in (self.nodes, self.block, self.scope, self.table):
+            del own[k:]
+
+    def last(self, tags) -> int:
+        """The place of the nearest open element among tags; 0 if none but the root."""
+        return max((at[-1] for x in tags if (at := self.where.get(x))), default=0)
+
+    def outermost(self, tags, stops) -> int:
+        """The place of the outermost open element among tags above the nearest stop; 0 if none."""
+        floor, found = self.last(stops - tags), 0
+        for x in tags:
+            at = self.where.get(x)
+            if at and at[-1] > floor:
+                k = at[bisect_right(at, floor)]
+                found = min(found or k, k)
+        return found
+
+    def ended_by(self, tag: str) -> int:
+        """The place of the element that an end tag ends; 0 if none."""
+        k = self.last((tag,))
+        bound = self.table if tag in TABLE_TAGS else self.scope
+        if k and bound[-1] <= k and (tag in BLOCKS or tag in ("select", "template") or self.block[-1] <= k):
+            return k
+        return 0
+
+
 def tokens(page: str):
     """("text", s), ("start", tag, attrs, self-closing) and ("end", tag)."""
     at, n = 0, len(page)
@@ -113,65 +169,47 @@ def tokens(page: str):
 def parse(page: str) -> Node:
     """The page's tree under a root element html."""
     root = Node("html", {})
-    stack = [root]
+    stack = Open(root)
     body: Node | None = None
 
-    def close_to(k: int) -> None:
-        del stack[k:]
-
-    def opened(names, stops) -> int:
-        """The place of the outermost open element among names above the nearest stop; -1 if none."""
-        found = -1
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                found = k
-            elif stack[k].tag in stops:
-                break
-        return found
-
     def put(kid: Node | str) -> None:
         """Into the open element; before the table, if it is one or a part of one that cannot hold this."""
-        if stack[-1].tag in TABULAR and (isinstance(kid, str) or kid.tag not in IN_TABLE) and (k := max((k for k in range(1, len(stack)) if stack[k].tag == "table"), default=0)):
-            kids = stack[k - 1].kids  # an open table is the last of them
+        top = stack.nodes[-1]
+        if top.tag in TABULAR and (isinstance(kid, str) or kid.tag not in IN_TABLE) and (k := stack.last(("table",))):
+            kids = stack.nodes[k - 1].kids  # an open table is the last of them
             kids.insert(len(kids) - 1, kid)
         else:
-            stack[-1].kids.append(kid)
-
-    def tabular() -> int:
-        """The place of the nearest open table, section or row that no cell or caption inside it hides; -1 if none."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in TABULAR:
-                return k
-            if stack[k].tag in ("td", "th", "caption", "template"):
-                break
-        return -1
+            top.kids.append(kid)
 
     def add(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         put(node)
-        stack.append(node)
+        stack.push(node)
 
     def need_body() -> None:
         nonlocal body
         if body is None:
-            close_to(1)
+            stack.cut(1)
             add("body", {})
-            body = stack[-1]
+            body = stack.nodes[-1]
+
+    def top() -> str:
+        return stack.nodes[-1].tag
 
     for t in tokens(page):
         kind = t[0]
         if kind in ("text", "raw"):
             s = t[1] if kind == "raw" else _html.unescape(t[1]) if "&" in t[1] else t[1]
-            if kind == "text" and body is None and stack[-1].tag in ("html", "head"):
+            if kind == "text" and body is None and top() in ("html", "head"):
                 if not s.strip():
                     continue
                 need_body()
-            if kind == "text" and stack[-1].tag in ("table", "thead", "tbody", "tfoot", "tr", "colgroup") and not s.strip():
+            if kind == "text" and top() in ("table", "thead", "tbody", "tfoot", "tr", "colgroup") and not s.strip():
                 continue
-            if kind == "text" and stack[-1].tag == "colgroup":
-                stack.pop()
+            if kind == "text" and top() == "colgroup":
+                stack.cut(len(stack.nodes) - 1)
             if kind == "raw":
-                stack[-1].kids.append(s)
+                stack.nodes[-1].kids.append(s)
             else:
                 put(s)
             continue
@@ -179,29 +217,24 @@ def parse(page: str) -> Node:
         if kind == "end":
             if tag in ("html", "body", "head"):
                 if tag == "head" and body is None:
-                    close_to(1)
+                    stack.cut(1)
                 continue
             if tag == "br":
                 need_body()
                 put(Node("br", {}))
                 continue
-            if tag == "p" and opened({"p"}, SCOPE) < 0:
+            if tag == "p" and not stack.outermost(_P, SCOPE):
                 need_body()
                 put(Node("p", {}))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close_to(k)
-                    break
-                if stack[k].tag in SCOPE and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption") or stack[k].tag in ("body", "table") or (tag not in BLOCKS and tag not in ("select", "template") and stack[k].tag in BLOCKS):
-                    break
+            elif k := stack.ended_by(tag):
+                stack.cut(k)
             continue
         attrs = t[2]
         if tag == "html":
             root.attrs = {**attrs, **root.attrs}
             continue
         if tag == "head":
-            if body is None and stack[-1] is root:
+            if body is None and stack.nodes[-1] is root:
                 add("head", attrs)
             continue
         if tag == "body":
@@ -209,33 +242,37 @@ def parse(page: str) -> Node:
             body.attrs = {**attrs, **body.attrs}
             continue
         if body is None:
-            if tag in HEAD_ONLY or tag in ("noscript", "template") or stack[-1].tag in ("noscript", "template"):
-                if stack[-1] is root:
+            if tag in HEAD_ONLY or tag in ("noscript", "template") or top() in ("noscript", "template"):
+                if stack.nodes[-1] is root:
                     add("head", {})
             else:
                 need_body()
-        if tag in ENDS_P and (k := opened({"p"}, SCOPE | {"button"})) > 0:
-            close_to(k)
-        if tag in CLOSES and (k := opened(*CLOSES[tag])) > 0:
-            close_to(k)
-        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
-            stack.pop()
-        if (tag in IN_TABLE and tag not in HEAD_ONLY and tag != "template" or tag == "table") and (k := tabular()) > 0:
-            while tag == "table" and stack[k].tag != "table":
-                k -= 1
-            close_to(k if tag == "table" else k + 1)  # a table straight in a table ends it
-        if tag == "form" and stack[-1].tag in TABULAR:
+        if tag in ENDS_P and (k := stack.outermost(_P, _P_STOPS)):
+            stack.cut(k)
+        if tag == "select" and (k := stack.ended_by(tag)):
+            stack.cut(k)  # one select in another only ends it
+            continue
+        if tag in CLOSES and (k := stack.outermost(*CLOSES[tag])):
+            stack.cut(k)
+        if top() == "colgroup" and tag not in ("col", "template"):
+            stack.cut(len(stack.nodes) - 1)
+        if (tag in IN_TABLE and tag not in HEAD_ONLY and tag != "template" or tag == "table") and (k := stack.last(TABULAR)) > stack.last(CELLS):
+            if tag != "table":
+                stack.cut(k + 1)
+            elif (k := stack.last(("table",))) > stack.last(CELLS):
+                stack.cut(k)  # a table straight in a table ends it
+        if tag == "form" and top() in TABULAR:
             continue  # holds nothing there: cells and text go on in the row
-        if tag == "tr" and stack[-1].tag == "table":
+        if tag == "tr" and top() == "table":
             add("tbody", {})
         if tag in ("td", "th"):
-            if stack[-1].tag == "table":
+            if top() == "table":
                 add("tbody", {})
-            if stack[-1].tag in ("tbody", "thead", "tfoot"):
+            if top() in ("tbody", "thead", "tfoot"):
                 add("tr", {})
         add(tag, attrs)
         if tag in VOID:
-            stack.pop()
+            stack.cut(len(stack.nodes) - 1)
     return root
 
 
@@ -332,7 +369,7 @@ def style_rules(sheet: str):
         own, holds, text = blocks[-1]
         if c == "{":
             # what precedes the block since the last declaration
-            k = max((i for i, x in enumerate(text) if x == ";"), default=-1)
+            k = next((i for i in range(len(text) - 1, -1, -1) if text[i] == ";"), -1)
             head = "".join(text[k + 1 :]).strip()
             del text[k + 1 :]
             if head.startswith("@"):
@@ -352,11 +389,12 @@ def style_rules(sheet: str):
 
 
 class Styles:
-    """The page's style rules with simple selectors (element, .class, #id and their combinations), later rules first in rank."""
+    """The page's style rules with simple selectors (element, .class, #id and their combinations), later rules first in rank. A rule is
+    found by its id, else one of its classes, else its element."""
 
     def __init__(self, root: Node):
-        self.rules: list[tuple[str | None, frozenset, str | None, dict[str, str]]] = []
-        todo = [root]
+        self.rules: dict[str, list[tuple]] = {}
+        todo, n = [root], 0
         while todo:
             node = todo.pop()
             if node.tag == "style":
@@ -366,17 +404,21 @@ class Styles:
                     for s in selectors.split(","):
                         if (x := _SELECTOR.match(s.strip())) and s.strip():
                             marks = re.findall(r"[.#][\w-]+", x[2])
-                            ids = [y[1:] for y in marks if y[0] == "#"]
-                            self.rules.append(((x[1] or "").lower() or None, frozenset(y[1:] for y in marks if y[0] == "."), ids[0] if ids else None, own))
+                            ids = [y for y in marks if y[0] == "#"]
+                            classes = frozenset(y[1:] for y in marks if y[0] == ".")
+                            tag = (x[1] or "").lower() or None
+                            n += 1
+                            self.rules.setdefault(ids[0] if ids else f".{min(classes)}" if classes else tag, []).append((n, tag, classes, ids[0][1:] if ids else None, own))
             if node.tag not in ("noscript", "template"):
                 todo.extend(k for k in node.kids if isinstance(k, Node))
 
     def of(self, node: Node) -> dict[str, str]:
         out: dict[str, str] = {}
         if self.rules:
-            classes = set(node.attrs.get("class", "").split())
-            for tag, cls, i, own in self.rules:
-                if (tag is None or tag == node.tag) and cls <= classes and (i is None or i == node.attrs.get("id")):
+            classes, i = set(node.attrs.get("class", "").split()), node.attrs.get("id")
+            met = [r for key in (node.tag, f"#{i}", *(f".{c}" for c in classes)) for r in self.rules.get(key, ())]
+            for _, tag, cls, own_id, own in sorted(met, key=lambda r: r[0]):
+                if (tag is None or tag == node.tag) and cls <= classes and (own_id is None or own_id == i):
                     out |= own
         if "style" in node.attrs:
             out |= declarations(node.attrs["style"])
@@ -389,7 +431,7 @@ class Writer:
         self.now: list[str] = []
         self.space = False
         self.blank = False
-        self.indent: list[str] = []
+        self.indent = 0
         self.marker = ""
 
     def text(self, s: str, pre: bool) -> None:
@@ -419,7 +461,7 @@ class Writer:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            self.now.append("".join(self.indent))
+            self.now.append(" " * min(MOST_INDENT, self.indent))
             if self.marker:
                 self.now.append(self.marker)
                 self.marker = ""
@@ -448,12 +490,19 @@ class Writer:
         return "\n".join(self.lines).strip("\n")
 
 
-def visible(node: Node, style: dict[str, str]) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs or style.get("display") == "none" or style.get("visibility") in ("hidden", "collapse"):
+def laid_out(node: Node, style: dict[str, str]) -> bool:
+    """Whether the element takes any place; if not, neither does what is in it."""
+    if node.tag in HIDDEN or style.get("display") == "none" or "hidden" in node.attrs and "display" not in style:
         return False
     return not (node.tag == "dialog" and "open" not in node.attrs)
 
 
+def seen(style: dict[str, str], before: bool) -> bool:
+    """Whether the element's own text shows, given whether its parent's does."""
+    own = style.get("visibility", "inherit")
+    return own == "visible" if own in ("visible", "hidden", "collapse") else before
+
+
 def shown_options(select: Node) -> list:
     """What a select shows: a list box all its options, a menu the last selected one or else the first that is not disabled."""
     options, todo = [], list(reversed(select.kids))
@@ -475,7 +524,7 @@ def svg_shown(svg: Node, styles: Styles) -> list:
     out, todo = [], list(reversed(svg.kids))
     while todo:
         k = todo.pop()
-        if not isinstance(k, Node) or k.tag in SVG_UNSEEN or k.attrs.get("display") == "none" or k.attrs.get("visibility") in ("hidden", "collapse") or not visible(k, styles.of(k)):
+        if not isinstance(k, Node) or k.tag in SVG_UNSEEN or k.attrs.get("display") == "none" or k.attrs.get("visibility") in ("hidden", "collapse") or not laid_out(k, own := styles.of(k)) or not seen(own, True):
             continue
         if k.tag in ("text", "foreignobject"):
             out += [" ", k, " "]
@@ -484,60 +533,97 @@ def svg_shown(svg: Node, styles: Styles) -> list:
     return out
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Cells (text, columns spanned) in columns of equal width, two spaces apart."""
-    width: list[int] = []
+def placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+    """Cells (text, columns spanned, rows spanned) of one section as (text, first column, end): each in the first columns that cells of the rows
+    above have left free."""
+    out, held = [], []  # held: (first column, end, rows left)
+    for row in rows:
+        busy, i, at, cells, new = sorted(held), 0, 0, [], []
+        for s, columns, down in row:
+            while i < len(busy) and busy[i][0] <= at:
+                at = max(at, busy[i][1])
+                i += 1
+            cells.append((s, at, at + columns))
+            if down > 1:
+                new.append((at, at + columns, down))
+            at += columns
+        held = [(a, b, n - 1) for a, b, n in [*held, *new] if n > 1]
+        out.append(cells)
+    return out
+
+
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Cells (text, first column, end) in columns of equal width, two spaces apart. Only columns where a cell begins count."""
+    edges = sorted({c[1] for row in rows for c in row} | {c[2] for row in rows for c in row})
+    number = {x: k for k, x in enumerate(edges)}
+    rows = [[(s, number[a], number[b]) for s, a, b in row] for row in rows]
+    width = [0] * len(edges)
     for row in rows:
-        at = 0
-        for s, span in row:
-            width.extend([0] * (at + span - len(width)))
-            if span == 1:
-                width[at] = max(width[at], len(s))
-            at += span
+        for s, a, b in row:
+            if b == a + 1:
+                width[a] = max(width[a], len(s))
     for row in rows:  # what spans several columns widens the last of them
-        at = 0
-        for s, span in row:
-            if span > 1 and (lack := len(s) - sum(width[at : at + span]) - 2 * (span - 1)) > 0:
-                width[at + span - 1] += lack
-            at += span
+        for s, a, b in row:
+            if b > a + 1 and (lack := len(s) - sum(width[a:b]) - 2 * (b - a - 1)) > 0:
+                width[b - 1] += lack
     out = []
     for row in rows:
         at, cells = 0, []
-        for s, span in row:
-            cells.append(s.ljust(sum(width[at : at + span]) + 2 * (span - 1)))
-            at += span
+        for s, a, b in row:
+            if a > at:
+                cells.append(" " * (sum(width[at:a]) + 2 * (a - at - 1)))
+            cells.append(s.ljust(sum(width[a:b]) + 2 * (b - a - 1)))
+            at = b
         out.append("  ".join(cells).rstrip())
     return out
 
 
-def render(root: Node, styles: Styles, depth: int = 0) -> str:
+def render(root: Node, styles: Styles) -> str:
+    """The text of a tree. Cells are rendered by runs of their own, which wait for each other in a list, not in recursion."""
+    runs, got = [_rendering(root, styles, True)], None
+    while runs:
+        try:
+            runs.append(_rendering(*runs[-1].send(got)))
+            got = None
+        except StopIteration as end:
+            runs.pop()
+            got = end.value
+    return got
+
+
+def _rendering(root: Node, styles: Styles, shown: bool):
+    """A run over one tree: yields what is to be rendered by itself, is sent its text, and returns its own."""
     w = Writer()
-    #: (node or text, pre-formatted, the closing step to run)
-    todo: list = [(root, False, None)]
+    #: (node or text, whether it shows, pre-formatted, the closing step to run)
+    todo: list = [(root, shown, False, None)]
     lists: list[list] = []
     while todo:
-        node, pre, close = todo.pop()
+        node, shown, pre, close = todo.pop()
         if close:
             close()
             continue
         if isinstance(node, str):
-            w.text(node, pre)
+            if shown:
+                w.text(node, pre)
             continue
         tag = node.tag
         style = styles.of(node)
-        if node is not root and not visible(node, style):
-            continue
+        if node is not root:
+            if not laid_out(node, style):
+                continue
+            shown = seen(style, shown)
         if tag == "br":
-            w.newline(force=True)
+            w.newline(force=shown)
             continue
         if tag == "hr":
             w.block(True)
-            w.line("---")
+            if shown:
+                w.line("---")
             w.blank = True
             continue
-        if tag == "table" and depth < MAX_TABLES and node is not root:
+        if tag == "table" and node is not root:
             w.block(True)
-            for s in table_lines(node, styles, depth + 1):
+            for s in (yield from table_lines(node, styles, shown)):
                 w.line(s)
             w.blank = True
             continue
@@ -565,17 +651,16 @@ def render(root: Node, styles: Styles, depth: int = 0) -> str:
             w.block(margin)
         if tag == "li":
             own = lists[-1] if lists else [False, 1]
-            mark = f"{own[1]}. " if own[0] else "* "
+            if shown:
+                w.marker = f"{own[1]}. " if own[0] else "* "
             own[1] += 1
-            w.marker = mark
-            w.indent.append("")
-            undo.append(lambda: (w.indent.pop(), setattr(w, "marker", "")))
-            if len(lists) > 1:
-                w.indent[-1] = "  "
+            more = 2 if len(lists) > 1 else 0
+            w.indent += more
+            undo.append(lambda more=more: (setattr(w, "indent", w.indent - more), setattr(w, "marker", "")))
         elif tag in ("dd", "blockquote"):
-            w.indent.append("  ")
-            undo.append(w.indent.pop)
-        elif tag == "q":
+            w.indent += 2
+            undo.append(lambda: setattr(w, "indent", w.indent - 2))
+        elif tag == "q" and shown:
             w._put('"')
             undo.append(lambda: w._put('"', keep=True))
         if tag == "img" or tag in VOID:
@@ -587,33 +672,47 @@ def render(root: Node, styles: Styles, depth: int = 0) -> str:
             for f in reversed(undo):
                 f()
 
-        todo.append((None, pre, closing))
+        todo.append((None, shown, pre, closing))
         if tag == "pre" and kids and isinstance(kids[0], str):
             kids = [kids[0].removeprefix("\n"), *kids[1:]]
-        todo.extend((k, pre, None) for k in reversed(kids))
+        todo.extend((k, shown, pre, None) for k in reversed(kids))
     return w.done()
 
 
-def table_lines(table: Node, styles: Styles, depth: int) -> list[str]:
-    head, rows, parts = [], [], [table]
+def _spanned(cell: Node, name: str, most: int) -> int:
+    """How many columns or rows a cell spans (0 rows: all that follow)."""
+    s = cell.attrs.get(name, "1").strip()
+    if not re.fullmatch(r"\d{1,6}", s):
+        return 1
+    return most if int(s) == 0 and name == "rowspan" else min(most, max(1, int(s)))
+
+
+def table_lines(table: Node, styles: Styles, shown: bool):
+    """The table's lines: what is no row, then the rows of each section; a generator as _rendering is."""
+    head, sections = [], []
+    parts = [(table, shown)]
     while parts:
-        part = parts.pop(0)
+        part, shown = parts.pop(0)
+        rows = []
         for k in part.kids:
-            if isinstance(k, str) or not visible(k, styles.of(k)):
+            if isinstance(k, str) or not laid_out(k, style := styles.of(k)):
                 continue
+            own = seen(style, shown)
             if k.tag in ("thead", "tbody", "tfoot"):
-                parts.append(k)
+                parts.append((k, own))
             elif k.tag == "tr":
                 row = []
                 for c in k.kids:
-                    if isinstance(c, Node) and c.tag in ("td", "th") and visible(c, styles.of(c)):
-                        span = c.attrs.get("colspan", "1")
-                        row.append((re.sub(r"\s*\n\s*", " / ", render(c, styles, depth)), min(1000, max(1, int(span))) if re.fullmatch(r"\d{1,6}", span) else 1))
+                    if isinstance(c, Node) and c.tag in ("td", "th") and laid_out(c, style := styles.of(c)):
+                        text = yield c, styles, seen(style, own)
+                        row.append((" / ".join(x.strip() for x in text.split("\n") if x.strip()), _spanned(c, "colspan", 1000), _spanned(c, "rowspan", 65_534)))
                 if row:
                     rows.append(row)
             elif k.tag not in ("colgroup", "col"):
-                head += render(k, styles, depth).split("\n")
-    return [x for x in head if x] + aligned(rows)
+                text = yield k, styles, own
+                head += text.split("\n")
+        sections += placed(rows)
+    return [x for x in head if x] + [x for x in aligned(sections) if x]
 
 
 def text_of(page: str | None) -> tuple[str, str]:
