@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaymaster.llm import language
+from quaymaster.llm import language, leaks
 
 
 # ------------------------------------------------------------------------------------------------------------- language
@@ -125,3 +125,55 @@ def test_pages_take_time_in_proportion(page):
     began = time.process_time()
     assert "deep" in pages.text_of(page)[1]
     assert time.process_time() - began < 8
+
+
+# ---------------------------------------------------------------------------------------------------------------- leaks
+
+def test_tiles_are_those_of_all_pairs():
+    from test_corpus import slow_tiles
+
+    rnd = random.Random(18)
+    for n in range(300):
+        words = rnd.choice([1, 2, 4])
+        item = [rnd.randrange(words) for _ in range(rnd.randint(1, 30))]
+        doc = [rnd.randrange(-1, words) for _ in range(rnd.randint(1, 40))]
+        got = leaks.tiles(np.array(doc), np.array(item), 3)
+        assert [tuple(map(int, x)) for x in got] == slow_tiles(doc, item, 3), (doc, item)
+
+
+def test_hits_against_tiles_of_the_whole_text():
+    rnd = random.Random(19)
+    words = [f"w{i}" for i in range(12)]
+    items = [" ".join(rnd.choice(words) for _ in range(rnd.randint(3, 40))) for _ in range(12)]
+    index = leaks.Index(list(enumerate(items)))
+    met = 0
+    for _ in range(120):
+        parts = rnd.choice(items).split()
+        cut = rnd.randrange(1, len(parts))
+        doc = " ".join([*parts[cut:], *(rnd.choice([*words, "x"]) for _ in range(rnd.randint(0, 30))), *parts[:cut]])
+        want = []
+        ids = np.array([index.vocabulary.get(w, -1) for w in doc.split()])
+        for item_id, own in index.items:
+            got = leaks.tiles(ids, own)
+            if (covered := sum(x[2] for x in got)) >= 0.5 * len(own):
+                want.append((item_id, len(own), covered, len(got), max(x[2] for x in got)))
+        assert sorted(index.hits(doc)) == sorted(want)
+        met += len(want)
+    assert met > 50
+
+
+def test_repeated_words_take_time_in_proportion():
+    began = time.process_time()
+    index = leaks.Index([(1, "spam " * 1000), (2, "spam " * 500 + "eggs " * 500), (3, " ".join(["a b"] * 700))])
+    got = {r[0]: r for r in index.hits("spam " * 20_000)}
+    assert got[1][2] == 1000 and got[2][2] == 500 and 3 not in got
+    assert {r[0]: r[2] for r in index.hits("a b " * 5000 + "eggs " * 300)} == {3: 1400}
+    assert time.process_time() - began < 3
+
+
+def test_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "blocks", lambda b, f=leaks.blocks: f(b, 8))
+    bench = spark.createDataFrame([(i, " ".join(f"q{i}w{k}" for k in range(7))) for i in range(5)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"q{i}w{k}" for k in range(7)) + " more") for i in range(7)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leaks.leaked(docs, bench).collect()) == [(i, i) for i in range(5)]
+    assert sorted(r.doc_id for r in leaks.without_leaks(docs, bench).collect()) == [5, 6]
