@@ -60,6 +60,21 @@ def ranked(df: DataFrame, group: list[str], order: list[str], blocks: int, name:
     return own.join(counts, cond, "left").select(*kept, (F.col("_rn") + F.col("_before")).cast("long").alias(name))
 
 
+#: A key with more than one HOT-th of all rows is hot; there are fewer than HOT such keys.
+HOT = 1000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with what `table` says of their key. table has one row for each key of rows, and in `count` how many rows have it. Hot keys,
+    fewer than HOT, are broadcast; no other key has more than a HOT-th of the rows. Both are read twice and should be staged."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.where(F.col(count) * HOT > F.lit(total)).drop(count)
+    if hot.isEmpty():
+        return rows.join(table.drop(count), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count) * HOT <= F.lit(total)).drop(count), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def slices(batch, size: int = SLICE_BYTES):
     """An Arrow batch in pieces whose buffers hold about `size` bytes."""
     n = max(1, -(-batch.nbytes // size))

@@ -3,13 +3,20 @@
 A fingerprint has a bit for each bit of XXH64 that is set in over half of the text's word shingles. Fingerprints within `RADIUS`
 differing bits are linked, and linked documents form components.
 
-How links are found, on distinct fingerprints only (copies are folded before): the 64 bits are eight blocks of eight; two
-differing bits leave at least six blocks equal, so each fingerprint is dealt out under the 28 choices of six blocks. Fingerprints
-dealt together differ in 16 given bits at most, so a group has at most 65,536 of them whatever the corpus holds. In a task the groups
-are sorted by the distance to the first of PIVOTS reference fingerprints; for each the table of its distances to all of them is
-computed, pairs are discarded where any coordinate differs by more than the radius (the triangle inequality), and what survives is
-verified. Each group gives at most one link a member, to the smallest fingerprint that it reaches in the group, so links do not grow
-with the square of a group. Components come from alternating large and small stars, each round in a checkpoint.
+How links are found, on distinct fingerprints only (copies are folded before), from a table of each one's Hamming distances to fixed
+reference fingerprints, the pivots. Pivots come in families: a base, and the base with one of eight blocks of bits inverted. The
+difference of the distances to a base and to such a variant counts the disagreements with the base in that block alone, and the block's
+profile is these differences over all families. Two differing bits leave the profiles of six blocks equal at least, so each fingerprint
+is dealt out under the profiles of each choice of six blocks, 28 ways. The families' bases are the rows of a Hadamard matrix, so a
+profile tells its block: a group has 65,536 fingerprints at most, whatever the corpus holds, and unrelated ones hardly meet. (Grid cells
+of plain pivot distances would have to be dealt to all neighbouring cells, and random fingerprints all lie within a few units of 32 from
+any pivot: at ten million fingerprints that is thousands of times as many pairs or rows.)
+
+In a task each group is sorted by the distance to its first pivot; pairs are discarded where any coordinate of the table differs by
+more than the radius (the triangle inequality), and what survives is verified. Each group gives at most one link a member, to the
+smallest fingerprint that it reaches in the group, so links do not grow with the square of a group. Components come from alternating
+large and small stars, each round in a checkpoint. Rows get their component by a join on the fingerprint, except for fingerprints of more
+than a HOT-th of all rows, which are HOT at most and broadcast.
 
 Cases: null and wordless texts have fingerprint zero and are linked like any other; fewer words than a shingle make one shingle of
 all; very long texts are counted in stretches; repeated rows are linked; a null doc_id never is a component_id unless its component
@@ -21,14 +28,16 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cohesion import stars
 from . import common as C
 
 RADIUS = 2
-PIVOTS = 16
+BLOCKS = 8
+#: So many coordinates are compared in a group, those of the bases and of the first variants.
+TABLE = 24
 CHUNK = 1 << 18
 
 
@@ -65,17 +74,35 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    return np.random.default_rng(20).integers(0, 1 << 64, n, dtype=np.uint64)
+def families(blocks: int = BLOCKS) -> list[list[int]]:
+    """The pivots: families of a base and its variants with one block inverted. The bases repeat a row of the Hadamard matrix of the
+    blocks' size (a bit is the parity of the common ones of its place and the row's number)."""
+    size = 64 // blocks
+    out = []
+    for row in range(size):
+        base = sum((((k % size) & row).bit_count() & 1) << k for k in range(64))
+        out.append([base, *(base ^ ((1 << size) - 1) << size * b for b in range(blocks))])
+    return out
 
 
-def masks(blocks: int = 8, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """For each choice of the `radius` blocks left out: the mask of the other bits, and the lowest bit left out."""
-    size = 64 // blocks
+def pivots() -> np.ndarray:
+    """All pivots, one of each family first."""
+    own = families()
+    return np.array([f[k] for k in range(len(own[0])) for f in own], np.uint64)
+
+
+def profiles(fp: Column, blocks: int = BLOCKS) -> list[Column]:
+    """For each block: the differences of the pivot distances that tell it, a byte for each family."""
+    def distance(p: int) -> Column:
+        return F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("long")
+
+    own, size = families(blocks), 64 // blocks
     out = []
-    for gone in itertools.combinations(range(blocks), radius):
-        free = sum(((1 << size) - 1) << (size * b) for b in gone)
-        out.append((~free & (1 << 64) - 1, size * gone[0]))
+    for b in range(blocks):
+        at = F.lit(0).cast("long")
+        for k, f in enumerate(own):  # the difference is even, from -size to size
+            at = at.bitwiseOR(F.shiftleft(F.shiftright(distance(f[0]) - distance(f[b + 1]) + size, 1), 64 // size * k))
+        out.append(at)
     return out
 
 
@@ -86,7 +113,8 @@ def _signed(x: int) -> int:
 def group_links(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, a smaller one that it reaches in its group). Rows of a key stand together, by their distance to the first pivot."""
     n = len(key)
-    table = np.stack([np.bitwise_count(fp ^ p) for p in pivots()]).astype(np.int16)
+    all_pivots = pivots()
+    table = np.stack([np.bitwise_count(fp ^ p) for p in all_pivots[:TABLE]]).astype(np.int16)
     label = np.arange(n)
 
     def contract(a: np.ndarray, b: np.ndarray) -> None:
@@ -107,6 +135,8 @@ def group_links(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[
         i = i[(key[i] == key[i + s]) & (table[0, i + s] - table[0, i] <= radius)]
         a, b = i, i + s
         for row in table[1:]:
+            if not len(a):
+                break
             keep = np.abs(row[a] - row[b]) <= radius
             a, b = a[keep], b[keep]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
@@ -129,9 +159,11 @@ def group_links(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[
 
 def links(fps: DataFrame) -> DataFrame:
     """Links a > b between distinct fingerprints (column fp) within the radius, enough to connect all that are."""
-    masked = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))).bitwiseOR(F.lit(_signed((k + 1 << low) & (1 << 64) - 1))) for k, (m, low) in enumerate(masks())])
+    told = fps.select("fp", *[p.alias(f"p{b}") for b, p in enumerate(profiles(F.col("fp")))])
+    choices = itertools.combinations(range(BLOCKS), BLOCKS - RADIUS)
+    keys = F.array(*[F.xxhash64(F.lit(k), *[f"p{b}" for b in own]) for k, own in enumerate(choices)])
     first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(int(pivots()[0])))))
-    dealt = fps.select("fp", F.explode(masked).alias("key")).repartition("key").withColumn("d", first).sortWithinPartitions("key", "d").select("key", "fp")
+    dealt = told.select("fp", F.explode(keys).alias("key")).repartition("key").withColumn("d", first).sortWithinPartitions("key", "d").select("key", "fp")
 
     def run(batches):
         import pyarrow as pa
@@ -165,13 +197,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) for each row of docs (doc_id, text)."""
     rows = C.staged(fingerprints(docs, words), "fps")
-    fps = C.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    fps = C.staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(fps.select("fp")))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     linked = named.where(F.col("root") != F.col("fp")).select("root").distinct()
     best = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("first").alias("component"))
-    table = C.staged(named.join(best, "root", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "components")
-    return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    table = C.staged(named.join(best, "root", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id")), "components")
+    C.drop_stage(fps)
+    return C.joined(rows, table, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
