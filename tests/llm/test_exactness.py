@@ -177,3 +177,61 @@ def test_several_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"q{i}w{k}" for k in range(7)) + " more") for i in range(7)], "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in leaks.leaked(docs, bench).collect()) == [(i, i) for i in range(5)]
     assert sorted(r.doc_id for r in leaks.without_leaks(docs, bench).collect()) == [5, 6]
+
+
+# -------------------------------------------------------------------------------------------------------------- simhash
+
+def test_profiles_tell_their_block_and_nothing_else(spark):
+    from quaymaster.llm import simhash
+
+    assert len(set(simhash.pivots().tolist())) == 72
+    rnd = random.Random(4)
+    base = [rnd.getrandbits(64) for _ in range(6)]
+    rows = [(i, b, x) for i, f in enumerate(base) for b in range(8) for x in range(256)]
+    fps = [f & ~(255 << 8 * b) & (1 << 64) - 1 | x << 8 * b for f, (_, b, x) in ((base[r[0]], r) for r in rows)]
+    df = spark.createDataFrame([(*r, simhash._signed(f)) for r, f in zip(rows, fps, strict=True)], "base int, block int, x int, fp long")
+    told = {}
+    for r in df.select("*", *[p.alias(f"p{k}") for k, p in enumerate(simhash.profiles(F.col("fp")))]).collect():
+        for k in range(8):
+            byte = r.fp >> 8 * k & 255
+            assert told.setdefault((k, byte), r[f"p{k}"]) == r[f"p{k}"]  # the profile depends on the block alone
+    assert len(set(told.items())) == len({(k, v) for (k, _), v in told.items()})  # and tells it
+
+
+def test_links_of_all_pairs_in_reach(spark):
+    from quaymaster.llm import simhash
+
+    rnd, fps = random.Random(5), set()
+    for _ in range(300):
+        x = rnd.getrandbits(64)
+        a, b = rnd.sample(range(64), 2)
+        fps |= {x, x ^ 1 << a ^ 1 << b, x ^ rnd.choice([1 << a, 7 << 20, 1 << 63 | 1 | 2])}
+    df = spark.createDataFrame([(simhash._signed(x),) for x in sorted(fps)], "fp long")
+    got = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    near = Counter()
+    fps = sorted(fps)
+    parent = {x: x for x in fps}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 2:
+                near[(x ^ y).bit_count()] += 1
+                parent[top(x)] = top(y)
+    assert near[1] > 50 and near[2] > 250
+    root = lambda x: got.get(simhash._signed(x), simhash._signed(x))
+    assert all((root(x) == root(y)) == (top(x) == top(y)) for x in fps for y in fps)
+
+
+def test_hot_keys_join_like_others(spark):
+    from quaymaster.llm import common as C
+
+    rows = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(4000)], "k long, x long")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("y", -F.col("k"))
+    got = C.joined(rows, table, "k", "n")
+    assert sorted(tuple(r) for r in got.select("k", "x", "y").collect()) == sorted((k, i, -k) for k, i in ((0 if i % 2 else i, i) for i in range(4000)))
+    assert C.joined(rows.limit(0), table.limit(0), "k", "n").count() == 0
