@@ -43,8 +43,8 @@ def blocks_for(spark: SparkSession, rows: int, per_block: int) -> int:
 
 def ranked(df: DataFrame, group: list[str], order: list[str], blocks: int, name: str = "rank") -> DataFrame:
     """Adds a gapless rank from 0 in each group without bringing a group together: rows are dealt to blocks by a hash of the order
-    columns, ranked in (group, block), and moved up by what the group has in earlier blocks. Ties are rows equal in all of `order`.
-    df is read twice, so it must be a staged table or cheap."""
+    columns, ranked in (group, block), and moved up by what the group has in earlier blocks. Rows equal in all of `order` would share a
+    block, so where rows may repeat in masses its last column tells them apart. df is read twice, so it must be a staged table."""
     df = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
     from pyspark.sql import Window as W
 

@@ -173,16 +173,20 @@ def plan(spark: SparkSession, supply: dict[int, int], capacity: int, islands: in
         return first
     pops = [[_dump(first)] for _ in range(islands)]
     for epoch in range(epochs):
-        def run(it, epoch=epoch):
-            import pandas as pd
+        sent = spark.sparkContext.broadcast((supply, pops))
 
-            for pdf in it:
-                for k, pop in zip(pdf["island"], pdf["population"], strict=True):
-                    best = evolve(supply, capacity, [_load(bytes(x)) for x in pop], generations, size, 1000 * epoch + int(k))
-                    yield pd.DataFrame({"island": [k], "population": [[_dump(c) for c in best]]})
+        def run(batches, epoch=epoch, sent=sent):
+            import pyarrow as pa
 
-        df = spark.createDataFrame(list(enumerate(pops)), "island int, population array<binary>").repartition(islands, "island")
-        got = dict(df.mapInPandas(run, df.schema).collect())
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    own, populations = sent.value
+                    best = evolve(own, capacity, [_load(x) for x in populations[k]], generations, size, 1000 * epoch + k)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([[_dump(c) for c in best]], pa.list_(pa.binary()))], names=["island", "population"])
+
+        # a partition for each island, dealt out without a hash, so that all run side by side
+        got = dict(spark.range(0, islands, 1, islands).mapInArrow(run, "island long, population array<binary>").collect())
+        sent.unpersist()
         pops = [[bytes(x) for x in got[k]] for k in range(islands)]
         best = min((_load(p[0]) for p in pops), key=lambda c: cost(c, capacity))
         if sum(best.values()) == floor:
@@ -236,10 +240,10 @@ def pieces(docs: DataFrame, spec: str, capacity: int, end_id: int) -> DataFrame:
 def pack(docs: DataFrame, spec: str | None = None, capacity: int = 4096, end_id: int = 1, islands: int = 4, epochs: int = 3) -> DataFrame:
     """Packs the documents (doc_id, text) into as few sequences of `capacity` ids as it can."""
     spark = docs.sparkSession
-    rows = C.staged(pieces(docs, spec or C.tokenizer_spec(), capacity, end_id), "pieces")
+    rows = C.staged(pieces(docs, spec or C.tokenizer_spec(), capacity, end_id).withColumn("_tie", F.monotonically_increasing_id()), "pieces")  # rows alike in all else do not share a block
     supply = {int(r["length"]): r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     at = places(plan(spark, supply, capacity, islands, epochs))
-    got = C.ranked(rows, ["length"], ["doc_id", "piece", "ids_crc32"], C.blocks_for(spark, sum(supply.values()), 200_000))
+    got = C.ranked(rows, ["length"], ["doc_id", "piece", "ids_crc32", "_tie"], C.blocks_for(spark, sum(supply.values()), 200_000))
     schema = C.schema_of(docs, "doc_id", piece=C.INT, start=C.LONG, length=C.LONG, ids_crc32=C.LONG, sequence_id=C.LONG, offset=C.LONG)
 
     def place(batches):

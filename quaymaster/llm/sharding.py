@@ -117,13 +117,15 @@ def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = C.staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), C.crc_of_text().cast("long").alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("key")), "sizes")
-    groups = C.staged(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
-    placed = C.staged(rows.join(shard_groups(groups, shards), "key").select("doc_id", "size", "text_crc32", "shard"), "sharded")
-    C.drop_stage(rows)
+    rows = C.staged(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), C.crc_of_text().cast("long").alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("key"), F.monotonically_increasing_id().alias("_tie")), "sizes")
+    groups = C.staged(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
+    shard_of = C.staged(shard_groups(groups, shards).join(groups.select("key", "n"), "key"), "group-shards")
     C.drop_stage(groups)
+    placed = C.staged(C.joined(rows, shard_of, "key", "n").select("doc_id", "size", "text_crc32", "shard", "_tie"), "sharded")
+    C.drop_stage(rows)
+    C.drop_stage(shard_of)
     n = placed.count()
-    return C.ranked(placed, ["shard"], ["doc_id", "text_crc32", "size"], C.blocks_for(spark, n, 500_000), "slot")
+    return C.ranked(placed, ["shard"], ["doc_id", "text_crc32", "size", "_tie"], C.blocks_for(spark, n, 500_000), "slot").drop("_tie")
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
