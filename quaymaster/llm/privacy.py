@@ -1,18 +1,25 @@
 """Surrogates for personal data (operator 9), in DataFrame functions only.
 
 Entities are found by one pattern: assigned secrets, e-mail addresses, IBANs, keys and long hexadecimal tokens, IP addresses, card
-numbers, social security numbers, phone numbers, and names after a form of address. Each is replaced by a surrogate of the same
+numbers that pass the Luhn test, social security numbers, phone numbers, and names beside a form of address. Each is replaced by a surrogate of the same
 kind that is computed from a secret key and the entity's canonical form (case and separators do not count), so that mentions of one
 entity get the same surrogate in all documents, written as the mention was: digits stay digits, letters keep their script and case,
-separators, the keyword of a secret, the top-level domain and the country code stay, card numbers that pass the Luhn test still pass,
-addresses stay valid, and a given name is drawn from names of the gender that the form of address shows. The surrogate is drawn from
-the canonical form alone; a mention only lends it its separators and case, so what is compared for collisions is what is written.
+separators, the keyword of a secret, the top-level domain and the country code stay, card numbers, and IBANs that pass the mod-97 test,
+still pass, and addresses stay valid. A name is two entities, the family name and what stands before it; the
+latter is drawn from names of the gender that the form of address shows, so `Mr John Smith` and `Mr Peter Smith` stay two persons of one
+family, and `Mr Smith` has their family name. The surrogate is drawn from the canonical form alone; a mention only lends it its
+separators and case, so what is compared for collisions is what is written.
 
-Collisions: over the distinct entities of the whole corpus, surrogates that two entities share, or that some entity has itself, are
-drawn again (a counter goes into the digest) until there are none. Where a form is so short that its surrogates run out, later draws are
-longer: from the PLAIN-th on, each has a letter, digit or syllable more than the one before, so that however many entities share a form,
-all get one; IP addresses become IPv6 addresses of the documentation's prefix then. Those drawn again are few; up to MAP_ENTRIES of them
-travel as a literal, more are joined.
+The key comes from the caller or from `spark.quaymaster.surrogateKey` of the session. Where neither is set, it is drawn at random once
+for each application: nobody can tell an original from its surrogate by trying all, and another run gives other surrogates.
+
+Collisions: over the distinct entities of the whole corpus, surrogates that two entities share, or that some entity has itself (given
+names, which many persons share anyway, may be another's), are drawn again (a counter goes into the digest) until there are none. Where
+a form is so short that its surrogates run out, later draws are longer: from the PLAIN-th on, each has a letter, digit or syllable more
+than the one before, so that however many entities share a form, all get one; IP addresses become IPv6 addresses of the documentation's
+prefix then. Those drawn again are few; up to MAP_ENTRIES of them travel as a literal, more are joined.
+
+Names in scripts without case are found by a form of address before (Arabic, Hebrew, Devanagari) or after them (Han, Kana, Hangul).
 
 Cases: null text stays null with no entities; long texts are searched whole; repeated rows alike; empty tables give an empty result;
 a doc_id may be null or repeated; other columns are kept by `pseudonymised` (its own names win).
@@ -20,6 +27,8 @@ a doc_id may be null or repeated; other columns are kept by `pseudonymised` (its
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +44,8 @@ SECRET_WORD = r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)
 #: Forms of address by gender (fixed values).
 FEMALE, MALE, NEUTRAL = r"Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra", r"Mr|Herr|Monsieur|Señor|Sr", r"Dr|Prof"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Forms of address in scripts without case, before or after a name (fixed values).
+BEFORE, AFTER = r"السيدة|السيد|الدكتورة|الدكتور|גברת|מר|श्रीमती|श्री", r"先生|女士|小姐|太太|さん|様|氏|씨|님"
 KINDS = {
     "secret": f"{_B}{SECRET_WORD}[^\\s\"'<>,;]{{6,}}",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+",
@@ -43,14 +54,17 @@ KINDS = {
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
     "card": _B + r"(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})" + _A,
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+(?:[ .()-]{0,2}\d){8,15}|0\d(?:[ .-]\d{2}){4}|(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})" + _A,
-    "name": f"{_B}(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? {_NAME}(?: {_NAME})?",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?:[ .()-]{0,2}\d){8,15}(?!\.\d)|0\d(?:[ .-]\d{2}){4}|(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})" + _A,
+    "name": f"{_B}(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? (?:(?:\\p{{Lu}}\\. ?){{1,3}})?{_NAME}(?: {_NAME}){{0,2}}",
+    "uncased": f"{_B}(?:(?:{BEFORE}) [\\p{{L}}\\p{{M}}]{{2,}}|[\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}\\p{{IsHangul}}]{{1,6}}? ?(?:{AFTER})){_A}",
 }
 PATTERN = "|".join(KINDS.values())
+#: What looks like an entity and is none.
+NONE = "none"
 #: Country codes of telephone numbers: no code begins another.
 COUNTRY_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: No text without one of these has an entity.
-HINT = f"[0-9@]|{SECRET_WORD}|\\b(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? \\p{{Lu}}"
+HINT = f"[0-9@]|{SECRET_WORD}|\\b(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? \\p{{Lu}}|(?:{BEFORE}) |{AFTER}"
 
 #: Letters by script and case; names by gender; syllables of family names (fixed values).
 LETTERS = {
@@ -58,6 +72,9 @@ LETTERS = {
     "[ß-öø-ɏ]": "àáâäçèéêëíîïñóôöúûü", "[À-ÖØ-Þ]": "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÚÛÜ",
     "[α-ω]": "αβγδεζηθικλμνξοπρστυφχψω", "[Α-Ω]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
     "[а-яё]": "абвгдежзиклмнопрстуфхцчшюя", "[А-ЯЁ]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЮЯ",
+    "[ء-ي]": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "[א-ת]": "אבגדהוזחטיכלמנסעפצקרשת", "[अ-ह]": "कखगघचछजटठडतथदधनपफबभमयरलवसह",
+    "[ぁ-ん]": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふほまみむめもやゆよらりるれろ", "[ァ-ヶ]": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフホマミムメモヤユヨラリルレロ",
+    "[가-힣]": "가나다라마바사아자차카타파하고노도로모보소오조",
 }
 OTHER_LETTERS = "一人天山水月日木火土金花風雨雪石田川林森竹海空星"
 GIVEN = {
@@ -66,6 +83,8 @@ GIVEN = {
     "n": ["Alex", "Andrea", "Charlie", "Dominique", "Kim", "Kai", "Luca", "Noa", "Robin", "Sam", "Sascha", "Toni"],
 }
 SYLLABLES = ["Bal", "Bren", "Cor", "Dal", "Dor", "Fal", "Gar", "Hal", "Jor", "Kel", "Lan", "Mar", "Nor", "Pel", "Ros", "Sol", "Tor", "Val", "Wen", "Zel"]
+#: Endings of given names that are put together once the list is used up.
+GIVEN_ENDINGS = {"f": ["a", "ia", "ina", "ella", "ette", "ana", "issa", "elle"], "m": ["o", "us", "an", "er", "ard", "in", "ik", "eo"], "n": ["is", "y", "el", "u", "en", "i", "ey", "ael"]}
 MIDDLE, ENDINGS = ["a", "be", "da", "fi", "go", "ki", "lo", "mi", "no", "po", "ra", "se", "ti", "vo"], ["berg", "dale", "feld", "ford", "lin", "man", "mont", "nell", "rano", "rez", "son", "stein", "ton", "var", "ville", "wick"]
 
 
@@ -74,11 +93,13 @@ def entities(text: Column) -> Column:
 
 
 def kind_of(e: Column) -> Column:
-    """The first kind whose whole pattern the entity is, as in the alternation (look-around does not matter on the entity alone)."""
+    """The first kind whose whole pattern the entity is, as in the alternation (look-around does not matter on the entity alone). Numbers
+    like those of cards that fail the Luhn test are none and stay."""
     out = None
     for k, p in KINDS.items():
-        out = F.when(e.rlike(f"^(?:{p})$"), k) if out is None else out.when(e.rlike(f"^(?:{p})$"), k)
-    return out.otherwise("other")
+        own = F.when(F.pmod(luhn_sum(F.regexp_replace(e, "[^0-9]", "")), F.lit(10)) == 0, k).otherwise(NONE) if k == "card" else F.lit(k)
+        out = F.when(e.rlike(f"^(?:{p})$"), own) if out is None else out.when(e.rlike(f"^(?:{p})$"), own)
+    return out.otherwise(NONE)
 
 
 def canonical(e: Column, kind: Column) -> Column:
@@ -90,10 +111,24 @@ def canonical(e: Column, kind: Column) -> Column:
         .when(kind == "phone", F.regexp_replace(e, "[^0-9+]", ""))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "name", F.lower(F.regexp_extract(e, f"({_NAME})$", 1)))
+        .when(kind == "uncased", F.regexp_replace(e, f"^(?:{BEFORE}) | ?(?:{AFTER})$", ""))
         .otherwise(F.when(e.rlike("^[0-9a-fA-F]+$"), F.lower(e)).otherwise(e))
     )
 
 
+ADDRESS = f"^(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? "
+
+
+def given_kind(e: Column) -> Column:
+    """The kind of the given name in a mention of a name: the gender that its form of address shows."""
+    return F.when(e.rlike(f"^(?:{FEMALE})\\b"), "given-f").when(e.rlike(f"^(?:{MALE})\\b"), "given-m").otherwise("given-n")
+
+
+def given(e: Column, kind: Column) -> Column:
+    """What stands between the form of address and the family name, in lower case; empty for other kinds."""
+    return F.when(kind == "name", F.lower(F.trim(F.regexp_replace(F.regexp_replace(e, ADDRESS, ""), f"{_NAME}$", "")))).otherwise("")
+
+
 def stream_of(key: str, *parts: Column) -> Column:
     """256 hexadecimal digits that only the holder of the key can tell."""
     seed = F.concat_ws("\u001f", F.lit(key), *parts)
@@ -149,6 +184,18 @@ def luhn_kept(e: Column, new: Column) -> Column:
     return F.when(F.pmod(luhn_sum(F.regexp_replace(e, "[^0-9]", "")), F.lit(10)) == 0, F.concat(F.substring(new, F.lit(1), F.length(new) - 1), check)).otherwise(new)
 
 
+def mod_97(s: Column) -> Column:
+    """The remainder of an IBAN, its first four characters moved to the end."""
+    moved = F.concat(F.substr(s, F.lit(5)), F.substring(s, 1, 4))
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.pmod(F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55), F.lit(97)))
+
+
+def iban_kept(e: Column, new: Column) -> Column:
+    """new with the check digits that make it valid if e is."""
+    check = F.lpad((98 - mod_97(F.concat(F.substring(new, 1, 2), F.lit("00"), F.substr(new, F.lit(5))))).cast("string"), 2, "0")
+    return F.when(mod_97(e) == 1, F.concat(F.substring(new, 1, 2), check, F.substr(new, F.lit(5)))).otherwise(new)
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The surrogate for the entity (kind, canon), in canonical form."""
     stream = stream_of(key, kind, canon, attempt.cast("string"))
@@ -163,13 +210,18 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         ip = F.when(attempt < PLAIN_IP, ip).otherwise(F.concat_ws(":", F.lit("2001:db8"), *[F.substring(s, 4 * i + 1, 4) for i in range(6)]))
         syllables = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: among(MIDDLE, draw(s, i + 3))), "")).otherwise("")
         latin = F.lower(F.concat(among(SYLLABLES, draw(s, F.lit(0))), among(MIDDLE, draw(s, F.lit(1))), among(MIDDLE, draw(s, F.lit(2))), syllables, among(ENDINGS, draw(s, F.lit(3)))))
+        made_up = F.lower(F.concat(among(SYLLABLES, draw(s, F.lit(0))), among(MIDDLE, draw(s, F.lit(1))), syllables))
+        first = None
+        for g, names in GIVEN.items():
+            one = F.when(attempt == 0, among([x.lower() for x in names], draw(s, F.lit(0)))).otherwise(F.concat(made_up, among(GIVEN_ENDINGS[g], draw(s, F.lit(2)))))
+            first = F.when(kind == f"given-{g}", one) if first is None else first.when(kind == f"given-{g}", one)
         head = F.when(kind == "phone", F.regexp_extract(canon, COUNTRY_CODE, 0)).when(kind == "iban", F.substring(canon, 1, 2)).otherwise("")
         body = F.when(kind == "email", F.substring(canon, F.lit(1), at - 1)).otherwise(F.substr(canon, F.length(head) + 1))
         return (
-            F.when(kind == "ip", ip).when((kind == "name") & canon.rlike("^[a-z]"), latin)
+            F.when(kind == "ip", ip).when((kind == "name") & canon.rlike("^[a-z]"), latin).when(kind.startswith("given") & canon.rlike("^[a-z][^.]"), first)
             .otherwise(let(rewritten(longer(body, more), s), lambda new: (
                 F.when(kind == "email", F.concat(new, F.lit("@"), rewritten(hosts, stream_of(key, F.lit("domain"), domain)), last))
-                .when(kind == "card", luhn_kept(canon, new)).when(kind == "ssn", F.concat(F.lit("9"), F.substr(new, F.lit(2)))).otherwise(F.concat(head, new))
+                .when(kind == "card", luhn_kept(canon, new)).when(kind == "ssn", F.concat(F.lit("9"), F.substr(new, F.lit(2)))).when(kind == "iban", iban_kept(canon, F.concat(head, new))).otherwise(F.concat(head, new))
             )))
         )
 
@@ -194,34 +246,50 @@ def cased(e: Column, new: Column) -> Column:
     return F.array_join(F.transform(F.split(new, ""), one), "")
 
 
-def written(e: Column, kind: Column, canon: Column, new: Column, key: str) -> Column:
-    """The entity's surrogate new as its mention e is written."""
+def written(e: Column, kind: Column, canon: Column, new: Column, new_given: Column) -> Column:
+    """The entity's surrogate new (and for a name that of what stands before it) as its mention e is written."""
     at, new_at = F.instr(e, "@"), F.instr(new, "@")
     email = F.concat(cased(F.substring(e, F.lit(1), at - 1), F.substring(new, F.lit(1), new_at - 1)), F.lit("@"), cased(F.substr(e, at + 1), F.substr(new, new_at + 1)))
-    address = F.regexp_extract(e, f"^(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? ", 0)
-    gender = F.when(address.rlike(f"^(?:{FEMALE})\\b"), "f").when(address.rlike(f"^(?:{MALE})\\b"), "m").otherwise("n")
+    address = F.regexp_extract(e, ADDRESS, 0)
     family = F.regexp_extract(e, f"({_NAME})$", 1)
-    first = F.regexp_extract(F.substr(e, F.length(address) + 1), f"^({_NAME}) ", 1)
-    latin = canon.rlike("^[a-z]")
-    own = draw(stream_of(key, F.lit("given"), gender, F.lower(first)), F.lit(0))
-    given = F.when(first == "", "").when(latin, F.concat(F.when(gender == "f", among(GIVEN["f"], own)).when(gender == "m", among(GIVEN["m"], own)).otherwise(among(GIVEN["n"], own)), F.lit(" "))).otherwise(F.concat(rewritten(first, stream_of(key, F.lit("given"), F.lower(first))), F.lit(" ")))
-    name = F.concat(address, given, F.when(F.upper(family) == family, F.upper(new)).when(latin, F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2)))).otherwise(cased(family, new)))
+    first = F.substring(e, F.length(address) + 1, F.length(e) - F.length(address) - F.length(family))  # with the space after it
+
+    def like(old: Column, own: Column) -> Column:
+        capital = F.concat(F.upper(F.substring(own, 1, 1)), F.substr(own, F.lit(2)))
+        return F.when((F.upper(old) == old) & (F.length(old) > 2), F.upper(own)).when(own.rlike("^[a-z][^.]"), capital).otherwise(cased(old, own))
+
+    name = F.concat(address, F.when(first == "", "").otherwise(F.concat(like(F.trim(first), new_given), F.regexp_extract(first, " *$", 0))), like(family, new))
+    uncased = F.concat(F.regexp_extract(e, f"^(?:{BEFORE}) ", 0), new, F.regexp_extract(e, f" ?(?:{AFTER})$", 0))
     return (
-        F.when(kind == "secret", F.concat(F.regexp_extract(e, f"^{SECRET_WORD}", 0), new)).when(kind == "name", name).when(e == canon, new)
+        F.when(kind == "secret", F.concat(F.regexp_extract(e, f"^{SECRET_WORD}", 0), new)).when(kind == "name", name).when(kind == "uncased", uncased).when(e == canon, new)
         .when(kind == "email", email).when(kind.isin("card", "ssn", "phone", "iban"), spaced(e, F.ltrim(new, F.lit("+")))).when(kind == "key", cased(e, new)).otherwise(new)
     )
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's key, or one drawn at random for the application."""
+    if key := spark.conf.get("spark.quaymaster.surrogateKey", None):
+        return key
+    return spark.sparkContext.__dict__.setdefault("_qm_surrogate_key", secrets.token_hex(32))
+
+
 def _id(kind: Column, canon: Column) -> Column:
     return F.concat_ws("\u001f", kind, canon)
 
 
+#: Entities whose surrogates one task draws.
+ENTITIES = 20_000
+
+
 def resolved(docs: DataFrame, key: str) -> DataFrame | None:
     """The entities (id, attempt) whose first surrogate collides, with the attempt that does not; None if there is none. Distinct
     entities only are shuffled, after they are folded in each task."""
     mention = docs.select(F.explode(F.array_distinct(entities(F.col("text")))).alias("e")).distinct()
-    mention = mention.select("e", kind_of(F.col("e")).alias("kind")).select("e", "kind", canonical(F.col("e"), F.col("kind")).alias("canon"))
-    now = mention.select("kind", "canon").distinct().withColumn("attempt", F.lit(0))
+    mention = mention.select("e", kind_of(F.col("e")).alias("kind")).where(F.col("kind") != NONE).select("e", "kind", canonical(F.col("e"), F.col("kind")).alias("canon"), given(F.col("e"), F.col("kind")).alias("given"))
+    one, two = F.struct("kind", "canon"), F.struct(given_kind(F.col("e")).alias("kind"), F.col("given").alias("canon"))
+    told = C.staged(mention.select(F.explode(F.when(F.col("given") == "", F.array(one)).otherwise(F.array(one, two))).alias("x")).select("x.*").distinct(), "entities")
+    # drawing takes a fraction of a millisecond each, far more than its bytes tell
+    now = told.repartition(max(C.shuffle_parts(docs.sparkSession), told.count() // ENTITIES), "kind", "canon").withColumn("attempt", F.lit(0))
 
     def compared(c: Column) -> Column:
         # numbers are told apart by their digits even if only one is written with a plus
@@ -235,7 +303,8 @@ def resolved(docs: DataFrame, key: str) -> DataFrame | None:
     while True:  # ends: of those that share a surrogate one stays, and the others' forms grow
         shared = now.groupBy("kind", "s").agg(F.min("canon").alias("one"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "s", "one")
         twice = now.join(shared, ["kind", "s"]).where("canon <> one").select("kind", "canon")
-        taken = now.join(now.select("kind", compared(F.col("canon")).alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
+        taken = now.where(~F.col("kind").startswith("given")).join(now.select("kind", compared(F.col("canon")).alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
+        taken = taken.unionByName(now.where(F.col("kind").startswith("given") & (F.col("s") == F.col("canon"))).select("kind", "canon"))
         bad = C.staged(twice.unionByName(taken).distinct(), "collisions")
         if bad.isEmpty():
             return None if first else now.where("attempt > 0").select(_id(F.col("kind"), F.col("canon")).alias("id"), "attempt")
@@ -244,9 +313,10 @@ def resolved(docs: DataFrame, key: str) -> DataFrame | None:
         now = C.staged(moved.withColumn("s", F.when(F.col("again").isNotNull(), drawn(F.col("attempt"))).otherwise(F.col("s"))).drop("again"), "surrogates")
 
 
-def pseudonymised(docs: DataFrame, key: str = "quaymaster", resolve: bool = True) -> DataFrame:
-    """docs with the entities in `text` replaced, and n_entities, n_distinct and kinds (of the original text)."""
+def pseudonymised(docs: DataFrame, key: str | None = None, resolve: bool = True) -> DataFrame:
+    """docs with the entities in `text` replaced, and n_entities, n_distinct and kinds (of the original text). key: see surrogate_key."""
     text = F.col("text")
+    key = key or surrogate_key(docs.sparkSession)
     again = resolved(docs, key) if resolve else None
     attempts: Column | None = None
     own = [c for c in docs.columns if c not in ("n_entities", "n_distinct", "kinds", "_attempts", "_digest")]
@@ -254,26 +324,34 @@ def pseudonymised(docs: DataFrame, key: str = "quaymaster", resolve: bool = True
     if again is not None and len(few := again.limit(MAP_ENTRIES + 1).collect()) <= MAP_ENTRIES:
         attempts = F.create_map(*[F.lit(x) for r in few for x in (r["id"], r["attempt"])])
     elif again is not None:
-        docs = docs.withColumn("_digest", F.sha2(text, 256))
-        met = docs.select("_digest", F.explode(entities(text)).alias("e")).withColumn("kind", kind_of(F.col("e"))).select("_digest", _id(F.col("kind"), canonical(F.col("e"), F.col("kind"))).alias("id")).distinct()
+        # texts that cannot have an entity get digests that meet nothing, and no two the same
+        docs = docs.withColumn("_digest", F.when(text.rlike(HINT), F.sha2(text, 256)).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id())))
+        e, kind = F.col("e"), F.col("kind")
+        met = docs.where(text.rlike(HINT)).select(F.sha2(text, 256).alias("_digest"), F.explode(entities(text)).alias("e")).withColumn("kind", kind_of(e))
+        met = met.select("_digest", F.explode(F.array(_id(kind, canonical(e, kind)), _id(given_kind(e), given(e, kind)))).alias("id")).distinct()
         maps = met.join(again, "id").groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("id", "attempt"))).alias("_attempts"))
         docs = docs.join(maps, "_digest", "left")
         attempts = F.col("_attempts")
 
     def one(e: Column) -> Column:
+        def drawn(kind: Column, canon: Column) -> Column:
+            attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, _id(kind, canon)), F.lit(0))
+            return surrogate(kind, canon, attempt, key)
+
         def known(x: Column) -> Column:
-            attempt = F.lit(0) if attempts is None else F.coalesce(F.element_at(attempts, _id(x["kind"], x["canon"])), F.lit(0))
-            return F.struct(let(surrogate(x["kind"], x["canon"], attempt, key), lambda new: written(e, x["kind"], x["canon"], new, key)).alias("s"), x["kind"].alias("kind"), x["canon"].alias("canon"))
+            first = F.when(x["given"] == "", "").otherwise(let(F.struct(given_kind(e).alias("kind"), x["given"].alias("canon")), lambda g: drawn(g["kind"], g["canon"])))
+            new = let(F.struct(drawn(x["kind"], x["canon"]).alias("new"), first.alias("first")), lambda d: written(e, x["kind"], x["canon"], d["new"], d["first"]))
+            return F.struct(F.when(x["kind"] == NONE, e).otherwise(new).alias("s"), x["kind"].alias("kind"), x["canon"].alias("canon"))
 
-        return let(let(kind_of(e), lambda k: F.struct(k.alias("kind"), canonical(e, k).alias("canon"))), known)
+        return let(let(kind_of(e), lambda k: F.struct(k.alias("kind"), canonical(e, k).alias("canon"), given(e, k).alias("given"))), known)
 
     def woven(found: Column) -> Column:
-        parts = F.split(text, PATTERN, -1)
+        parts, real = F.split(text, PATTERN, -1), F.filter(found, lambda x: x["kind"] != NONE)
         return F.struct(
             F.when(F.size(found) == 0, text).otherwise(F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.coalesce(b["s"], F.lit("")))), "")).alias("text"),
-            F.size(found).cast("long").alias("n_entities"),
-            F.size(F.array_distinct(F.transform(found, lambda x: _id(x["kind"], x["canon"])))).cast("long").alias("n_distinct"),
-            F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["kind"]))), ",").alias("kinds"),
+            F.size(real).cast("long").alias("n_entities"),
+            F.size(F.array_distinct(F.transform(real, lambda x: _id(x["kind"], x["canon"])))).cast("long").alias("n_distinct"),
+            F.array_join(F.array_sort(F.array_distinct(F.transform(real, lambda x: x["kind"]))), ",").alias("kinds"),
         )
 
     done = let(F.transform(F.coalesce(entities(text), F.array().cast("array<string>")), one), woven)
