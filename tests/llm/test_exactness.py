@@ -325,3 +325,111 @@ def test_differencing_against_all_partitions():
         assert abs(total[0] - total[1]) == own[0] >= best
         off += own[0] - best
     assert off < 40 * 4
+
+
+# -------------------------------------------------------------------------------------------------------------- privacy
+
+def valid_iban(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_names_have_two_parts(spark):
+    from quaymaster.llm import privacy
+
+    old = ["Mr John Smith", "Mr Peter Smith", "Mr Smith", "Mrs Anna Smith", "Mr John Miller", "Dr Anna Maria Smith", "Mr J. R. Smith", "Mr. J. R. Smith", "Mr SMITH", "Mr JOHN SMITH", "Herr Ötzi Jäger", "Mr O'Neil"]
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    got = [r.text for r in privacy.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    tail = [x.split()[-1] for x in got]
+    assert tail[0] == tail[1] == tail[2] == tail[3] == tail[5] == tail[6] == tail[7] != tail[4]
+    assert len(set(got)) == len(got) and got[0].split()[1] == got[4].split()[1] != got[1].split()[1]
+    assert got[9].split()[1:] == [got[0].split()[1].upper(), tail[0].upper()] and got[6].removeprefix("Mr") == got[7].removeprefix("Mr.")
+    assert re.fullmatch(r"Mr [A-Z]\. [A-Z]\. \w+", got[6]) and all(not set(a.split()[1:]) & set(b.split()[1:]) for a, b in zip(got, old, strict=True))
+
+
+def test_many_names_stay_distinct(spark):
+    from quaymaster.llm import privacy
+
+    syl = ["ka", "lo", "mi", "ne", "ru", "sa", "to", "vi", "ze", "bo", "da", "fu"]
+    names = ["".join(x).capitalize() for x in itertools.product(syl, repeat=3)]
+    rnd = random.Random(1)
+    old = sorted({f"{rnd.choice(['Mr', 'Mrs', 'Dr'])} {rnd.choice(names)} {rnd.choice(names)}" for _ in range(6000)})
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    got = [r.text for r in privacy.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(old)
+    family, first = {}, {}
+    for a, b in zip(old, got, strict=True):  # each part is replaced one to one
+        (t, f, n), (t2, f2, n2) = a.split(), b.split()
+        assert t == t2 and family.setdefault(n, n2) == n2 and first.setdefault((t, f), f2) == f2
+    assert len(set(family.values())) == len(family) and len({(k[0], v) for k, v in first.items()}) == len(first)
+
+
+def test_ibans_stay_valid(spark):
+    from quaymaster.llm import privacy
+
+    old = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR1420041010050500013M02606", "GB00WEST12345698765432"]
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    got = [r.text for r in privacy.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    for a, b in zip(old, got, strict=True):
+        assert a != b and a[:2] == b[:2] and [c == " " for c in a] == [c == " " for c in b]
+        assert valid_iban(b.replace(" ", "")) == valid_iban(a.replace(" ", ""))
+
+
+def test_names_without_case(spark):
+    from quaymaster.llm import privacy
+
+    old = ["السيد محمد", "גברת כהן", "श्री मोहन", "王小明先生", "田中さん", "김철수 씨", "见面 王小明先生, 你好"]
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    got = [r.text for r in privacy.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    assert all(a != b and len(a) == len(b) for a, b in zip(old, got, strict=True))
+    assert got[0].startswith("السيد ") and got[3].endswith("先生") and got[4].endswith("さん") and got[5].endswith(" 씨") and got[6] == f"见面 {got[3]}, 你好"
+
+
+def test_keys_come_from_the_caller_the_session_or_chance(spark):
+    from quaymaster.llm import privacy
+
+    df = spark.createDataFrame([(1, "me@mail.example.com")], "doc_id long, text string")
+    one = lambda *a: privacy.pseudonymised(df, *a).first().text
+    drawn = one()
+    assert drawn == one() != one("k") and len(privacy.surrogate_key(spark)) == 64
+    spark.conf.set("spark.quaymaster.surrogateKey", "k")
+    try:
+        assert one() == one("k")
+    finally:
+        spark.conf.unset("spark.quaymaster.surrogateKey")
+
+
+def test_replacement_against_a_plain_one(spark):
+    """What is replaced, by a plain scan of the whole text; what stands around it stays."""
+    import regex
+
+    from quaymaster.llm import privacy
+
+    rnd = random.Random(6)
+    bits = ["me@mail.example.com", "Mr John Smith", "call +33 6 12 34 56 78", "10.2.3.4", "4111 1111 1111 1111", "123-45-6789", "password: hunter22x", "plain words", "in 2020", "and", "a@b", "É. Dupont", "\n", "«", "DE89370400440532013000"]
+    texts = [" | ".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in privacy.pseudonymised(df, "k").collect()}
+    pattern = regex.compile(privacy.PATTERN.replace(r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}", r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}"))
+    new = {}
+    for i, t in enumerate(texts):
+        assert got[i].n_entities == len(pattern.findall(t))
+        for a, b in zip(t.split(" | "), got[i].text.split(" | "), strict=True):
+            if m := pattern.search(a):
+                head, tail = a[: m.start()], a[m.end() :]
+                assert b.startswith(head) and b.endswith(tail)
+                own = b[len(head) : len(b) - len(tail)]
+                assert new.setdefault(m[0], own) == own != m[0]
+            else:
+                assert a == b
+    assert len(set(new.values())) == len(new) == 8
+
+
+def test_numbers_that_are_none(spark):
+    from quaymaster.llm import privacy
+
+    old = ["order 9807915762804490 of 2020", "9807 9157 6280 4490", "+1 (843) 555-7672 170.106.47.218", "+33 6 12 34 56 78 10.2.3.4", "+1 843 555 7672 17 apples"]
+    df = spark.createDataFrame(list(enumerate(old)), "doc_id long, text string")
+    got = [(r.text, r.n_entities, r.kinds) for r in privacy.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    assert got[0] == (old[0], 0, "") and got[1] == (old[1], 0, "")
+    assert [x[1:] for x in got[2:]] == [(2, "ip,phone"), (2, "ip,phone"), (1, "phone")] and got[4][0].endswith(" 17 apples")
+    assert all(re.fullmatch(r"\+\d+ .* \d+\.\d+\.\d+\.\d+", x[0]) for x in got[2:4])
