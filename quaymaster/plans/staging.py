@@ -2,27 +2,60 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LEFT: set[str] = set()
+_HOOK: list[bool] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where none is set (tests)."""
+    """The session's spark.checkpoint.dir, else the context's checkpoint folder. Where none is set, a folder of our own on a local master
+    (tests); on a cluster, whose executors share no local folder, an error."""
     if at := spark.conf.get("spark.checkpoint.dir", None):
         return at.rstrip("/")
     sc = spark.sparkContext
-    if not (at := getattr(sc, "_qm_shared", None)):
-        at = "file://" + tempfile.mkdtemp(prefix="qm-shared-")
-        sc._qm_shared = at
-        sc.setCheckpointDir(at)
-    return at
+    if (at := sc._jsc.sc().getCheckpointDir()).isDefined():
+        return at.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="qm-shared-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, deleted when Python ends if not before."""
+    path = f"{shared_dir(spark)}/qm-{name}-{uuid.uuid4().hex}"
+    if not _HOOK:
+        _HOOK.append(True)
+        atexit.register(_clear, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    _LEFT.add(path)
+    return path
+
+
+def _delete(path: str, jvm, conf) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def _clear(jvm, conf) -> None:
+    """What results still read at the end of the application."""
+    for path in list(_LEFT):
+        try:
+            _delete(path, jvm, conf)
+        except Exception:  # noqa: BLE001 - the JVM may have gone before
+            return
+    _LEFT.clear()
 
 
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet in the shared folder and read again."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/qm-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._qm_path = path
@@ -32,9 +65,9 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
     if path := getattr(df, "_qm_path", None):
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        spark = df.sparkSession
+        _delete(path, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+        _LEFT.discard(path)
 
 
 def kept(spark: SparkSession, key: tuple, make) -> DataFrame:
