@@ -8,7 +8,6 @@ import json
 import os
 import re
 import struct
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.staging import drop as drop_stage
-from ..plans.staging import shared_dir, staged
+from ..plans.staging import new_path, staged
 
 #: Arrow batches are cut to about so many bytes of text before Python strings are made of them.
 SLICE_BYTES = 4 << 20
@@ -28,10 +27,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/qm-{name}-{uuid.uuid4().hex}"
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,6 +13,11 @@ ids), about BLOCK_IDS ids. The *codebook* is one byte for each id of the vocabul
 the container, so that Spark's commit protocol, any store and lost executors are taken care of. Shards hold ranges of doc_id in
 ascending order.
 
+Cases: null or empty text is a document of the end id alone; a text of any length is one document of one block; documents alike are each
+written, and any order among them is the same; a doc_id may be null or repeated, and must be a whole number of 64 bits at most (other types
+raise an error); an empty table gives a codebook without codes and no blocks, and reads as an empty table; other columns are ignored.
+What the driver holds is the ids' counts and, in `read`, a number for each shard of SHARD_IDS ids.
+
 Decoding is table-driven, and all checkpoints of a block are decoded side by side: one step of the loop decodes one id at each.
 """
 
@@ -233,10 +238,12 @@ def write(docs: DataFrame, path: str, spec: str | None = None, end_id: int = 1,
     """Encodes the documents (doc_id, text) and writes the data set `path`: tables `blocks` and `codebook`."""
     import json
 
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("doc_id must be a whole number")
     spark, spec = docs.sparkSession, spec or C.tokenizer_spec()
     form = json.loads(spec)
     vocabulary = 1 + max([end_id, *form["model"]["vocab"].values(), *(x["id"] for x in form.get("added_tokens", []))])
-    rows = C.staged(token_rows(docs, spec, end_id), "ids", "snappy")
+    rows = C.staged(token_rows(docs, spec, end_id).withColumn("_tie", F.monotonically_increasing_id()), "ids", "snappy")  # rows alike in all else may lie in two ranges
     counts = id_counts(rows, vocabulary)
     lengths = code_lengths(counts, limit)
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id)], "lengths binary, end_id int").coalesce(1).write.parquet(f"{path}/codebook")
@@ -268,7 +275,8 @@ def write(docs: DataFrame, path: str, spec: str | None = None, end_id: int = 1,
             yield out()
 
     shards = shards or max(C.shuffle_parts(spark), -(-int(counts.sum()) // SHARD_IDS))
-    rows.where("seen is null").select("doc_id", "ids_crc32", "ids").repartitionByRange(shards, "doc_id", "ids_crc32").sortWithinPartitions("doc_id", "ids_crc32").select("doc_id", "ids").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    own = rows.where("seen is null").select("doc_id", "ids_crc32", "_tie", "ids").repartitionByRange(shards, "doc_id", "ids_crc32", "_tie").sortWithinPartitions("doc_id", "ids_crc32", "_tie")
+    own.select("doc_id", "ids").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     C.drop_stage(rows)
 
 

@@ -11,7 +11,8 @@ A document is rejected if the lines removed hold more than half of its words, or
 more than half of the words in repeated three-word windows).
 
 Everything is found row by row; no text is shuffled. Cases: null text is empty (no words, base rules fail); long texts cost n log n;
-repeated rows alike; an empty table gives an empty result; other columns are ignored by the query and kept by `clean`.
+repeated rows alike; an empty table gives an empty result; other columns are ignored by the query and kept by `clean`, whatever their
+names; in `judged` the operator's own names win.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     lines = F.transform(F.split(text, "\n"), lambda x: let(count_of(x, f"[^{WS}]+"), lambda n: F.struct(x.alias("line"), n.alias("n"), line_fails(x, n).alias("bad"))))
     of_words = let(words_of(text), lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
-    return docs.select("*", F.struct(of_words.alias("w"), let(lines, of_lines).alias("l"), count_of(text, f"[{SYMBOLS}]").alias("n_symbols")).alias("_q"))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "_q"], F.struct(of_words.alias("w"), let(lines, of_lines).alias("l"), count_of(text, f"[{SYMBOLS}]").alias("n_symbols")).alias("_q"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def judged(docs: DataFrame) -> DataFrame:
     n = F.col("_q.w.n_words").cast("long")
     failed = (n < MIN_WORDS) | (100 * F.col("_q.w.n_repeat_words") > MAX_REPEAT * n)
     return q.select(
-        *[c for c in docs.columns if c not in NAMES], n.alias("n_words"), F.col("_q.w.word_chars").cast("long").alias("word_chars"), F.col("_q.n_symbols").cast("long").alias("n_symbols"),
+        *[F.col(f"`{c}`") for c in docs.columns if c not in (*NAMES, "_q")], n.alias("n_words"), F.col("_q.w.word_chars").cast("long").alias("word_chars"), F.col("_q.n_symbols").cast("long").alias("n_symbols"),
         F.col("_q.l.n_dup_lines").cast("long").alias("n_dup_lines"), F.col("_q.w.n_repeat_words").cast("long").alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & (100 * F.col("_q.l.n_lost") <= MAX_LOST * n)).alias("kept"), F.col("_q.l.cleaned").alias("cleaned"),
     )
@@ -107,7 +108,8 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents kept, with the lines that failed removed from their text."""
-    return judged(docs).where("kept").select(*[F.col("cleaned").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    aside = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # so that no name can clash with the operator's own
+    return judged(aside).where("kept").select(*[F.col("cleaned").alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

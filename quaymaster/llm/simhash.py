@@ -208,11 +208,13 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id. Rows of one doc_id are one document; rows without a
-    doc_id stay, as nothing tells them apart."""
+    """docs with one document of each component, the one with the smallest doc_id. Rows of one doc_id are one document, of which the row
+    with the smallest hash stays; rows without a doc_id stay, as nothing tells them apart."""
     kept = near_duplicates(docs, words).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    told = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    one = named.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*told)).alias("_row"))
+    return one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
