@@ -433,3 +433,37 @@ def test_numbers_that_are_none(spark):
     assert got[0] == (old[0], 0, "") and got[1] == (old[1], 0, "")
     assert [x[1:] for x in got[2:]] == [(2, "ip,phone"), (2, "ip,phone"), (1, "phone")] and got[4][0].endswith(" 17 apples")
     assert all(re.fullmatch(r"\+\d+ .* \d+\.\d+\.\d+\.\d+", x[0]) for x in got[2:4])
+
+
+# ------------------------------------------------------------------------------------------------------------- clashes
+
+def test_quality_keeps_columns_of_any_name(spark):
+    from quaymaster.llm import quality
+
+    good = "\n".join(" ".join(f"word{i}n{k}" for k in range(20)) + "." for i in range(4))
+    df = spark.createDataFrame([(1, good + "\nHome | About | Contact | Help")], "doc_id long, text string").select("*", *[F.lit("own").alias(c) for c in ("_q", "kept", "n_words", "cleaned", "_row", "a.b")])
+    r = quality.clean(df)
+    assert r.columns == df.columns and tuple(r.first()) == (1, good, *["own"] * 6)
+    assert quality.judged(df.drop("a.b")).first().kept is True
+
+
+def test_one_row_of_each_document(spark):
+    from quaymaster.llm import simhash
+
+    rows = [(1, "some words of a text", "b"), (1, "some words of a text", "a"), (1, "other words than those", "c"), (2, "quite another thing it is", "d"), (None, "some words of a text", "e"), (None, None, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `x.y` string").withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    first = None
+    for k in range(3):
+        got = simhash.one_of_each(df.repartition(k + 1))
+        assert got.columns == df.columns
+        own = sorted((str(r.doc_id), str(r.text), r["x.y"]) for r in got.collect())
+        assert first in (None, own)
+        first = own
+    assert len(first) == 4
+
+
+def test_token_files_want_whole_numbers(spark):
+    from quaymaster.llm import common as C, huffman
+
+    with pytest.raises(TypeError):
+        huffman.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), C.new_path(spark, "t"))
