@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.staging import drop, staged
+from ..plans.staging import drop, staged, staged_by
 from .graph import undirected
 from .iterate import fixpoint, levels, union
+from .order import numbered
 
 
 def stars(edges: DataFrame, keys: list[str], rounds: int = 100) -> DataFrame:
@@ -82,7 +83,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> D
 def coreness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, core on the multigraph of edges in and out: each node's estimate falls to the h-index of its neighbours' estimates until
     nothing changes (Lü et al. 2016). The h-index comes from counts by estimate, so no neighbour list is ever gathered."""
-    both = staged(undirected(edges, distinct=False), "core-edges")
+    both = staged_by(undirected(edges, distinct=False), "core-edges", "dst")
     start = both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("core"))
 
     def step(now: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def coreness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node, label after so many synchronous rounds: each node takes its neighbours' most frequent label, the smallest of those."""
-    both = staged(undirected(edges, distinct=False), "lpa-edges")
+    both = staged_by(undirected(edges, distinct=False), "lpa-edges", "dst")
     now = nodes.select("node", F.col("node").alias("label"))
     for k in range(rounds):
         counts = both.join(now, both["dst"] == now["node"]).groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -116,71 +117,102 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return per.crossJoin(total).agg(F.sum(F.col("own") / F.col("total") - (F.col("out") / F.col("total")) * (F.col("out") / F.col("total"))).alias("q"))
 
 
-def spanning_forest(nodes: DataFrame, both: DataFrame) -> DataFrame:
-    """node, parent, depth, tree: breadth-first trees from each component's smallest node; the parent is the smallest one."""
-    comp = staged(weak_components(nodes, both), "forest-comp")
-    start = comp.where("node = component").select("node", F.lit(None).cast(comp.schema["node"].dataType).alias("parent"), F.lit(0).alias("depth"))
-
-    def step(last: DataFrame, done: DataFrame) -> DataFrame:
-        nxt = last.join(both, last["node"] == both["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.min(F.col("depth") + 1).alias("depth"))
-        return nxt.join(done.select("node"), "node", "left_anti").select("node", "parent", "depth")
-
-    return staged(union(levels(start, step, "forest", 100_000)), "forest")
+def spanning_forest(both: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Tree edges (src, dst), src < dst, of a spanning forest, and the tables (c, p) that, one after the other, bring each node to the node
+    that its tree is named by. Each component takes the first of its edges, in the order of a hash, to another (Boruvka); components that
+    hang together by that become one by pointer jumping. The number of components falls to half or less in a round."""
+    live = staged(both.where("src < dst").select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b"), F.xxhash64("src", "dst").alias("h")), "forest-live")
+    trees, maps = [], []
+    while not live.isEmpty():
+        ends = live.select("h", "src", "dst", F.col("a").alias("c"), F.col("b").alias("o")).unionAll(live.select("h", "src", "dst", F.col("b").alias("c"), F.col("a").alias("o")))
+        pick = staged(ends.groupBy("c").agg(F.min(F.struct("h", "src", "dst", "o")).alias("m")).select("c", "m.src", "m.dst", "m.o"), "forest-pick")
+        trees.append(pick.select("src", "dst").distinct())
+        back = pick.select(F.col("c").alias("o"), F.col("o").alias("c"), F.lit(True).alias("mutual"))  # two that take the same edge: the smaller leads
+        start = pick.join(back, ["c", "o"], "left").select("c", F.when(F.col("mutual") & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("p"))
+
+        def jump(now: DataFrame) -> DataFrame:
+            return now.join(now.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p").select("c", F.col("pp").alias("p"))
+
+        led = fixpoint(start, jump, "forest-lead")
+        maps.append(led)
+        moved = live.join(led.select(F.col("c").alias("a"), F.col("p").alias("pa")), "a").join(led.select(F.col("c").alias("b"), F.col("p").alias("pb")), "b")
+        last, live = live, staged(moved.where("pa <> pb").select("src", "dst", F.col("pa").alias("a"), F.col("pb").alias("b"), "h"), "forest-live")
+        drop(last)
+    return (union(trees) if trees else both.select("src", "dst").limit(0)), maps
+
+
+def tree_order(tree: DataFrame, maps: list[DataFrame]) -> DataFrame:
+    """node, parent (null for roots), pre and size for all nodes of a forest: a preorder number from 0 over all trees, and how many nodes the
+    subtree has, so that it holds the numbers from pre to pre + size - 1. Found by an Euler tour of each tree, whose arcs are put in order by
+    pointer jumping: nothing depends on the depth of a tree, and no node's neighbours are gathered."""
+    arcs = tree.select("src", "dst").unionAll(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    arcs = staged(numbered(arcs, ["src", "dst"], "i"), "euler-arcs")
+    first = arcs.groupBy("src").agg(F.min("i").alias("first"))
+    succ = arcs.join(arcs.select((F.col("i") - 1).alias("i"), F.col("src").alias("same"), F.col("i").alias("next")), "i", "left").join(first, "src")
+    succ = succ.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.when(F.col("same") == F.col("src"), F.col("next")).otherwise(F.col("first")).alias("to"))  # of the arc back
+    named = first.select("src", F.col("src").alias("root"))
+    for m in maps:
+        named = named.join(m.select(F.col("c").alias("root"), F.col("p").alias("up")), "root", "left").select("src", F.coalesce("up", "root").alias("root"))
+    named = staged(named, "euler-roots")
+    start = first.join(named.where("src = root"), "src").select(F.col("first").alias("to"), F.lit(True).alias("start"))
+    # an arc before the first of its tree is the last one
+    ring = arcs.join(succ, ["src", "dst"]).join(start, "to", "left").select("i", F.when(F.col("start"), F.col("i")).otherwise(F.col("to")).alias("to"), F.when(F.col("start"), 0).otherwise(1).cast("long").alias("d"))
+
+    def jump(now: DataFrame) -> DataFrame:
+        ahead = now.select(F.col("i").alias("to"), F.col("to").alias("then"), F.col("d").alias("more"))
+        return now.join(ahead, "to").select("i", F.col("then").alias("to"), (F.col("d") + F.col("more")).alias("d"))
+
+    left = fixpoint(ring, jump, "euler-rank").select("i", "d")
+    at = staged(arcs.join(left, "i").join(named, "src").select("src", "dst", "root", "d"), "euler-at")
+    up = at.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("d").alias("d_up"))
+    down = at.join(up, ["src", "dst"]).where("d > d_up").select(F.col("dst").alias("node"), F.col("src").alias("parent"), "root", "d", ((F.col("d") - F.col("d_up") + 1) / 2).cast("long").alias("size"))
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    tops = sizes.select(F.col("root").alias("node"), F.lit(None).cast(tree.schema["src"].dataType).alias("parent"), "root", F.lit(2**62).alias("d"), "size")
+    return numbered(tops.unionByName(down), ["root", F.desc("d")], "pre").select("node", "parent", "pre", "size")
+
+
+def over_subtrees(forest: DataFrame) -> DataFrame:
+    """forest (node, pre, size, low, high) -> node and the least `low` and the greatest `high` in each node's subtree: intervals of the
+    preorder are covered by two stretches of a power of two, and stretches come from two of half their length."""
+    now = staged(forest.select("pre", "low", "high"), "range-0")
+    asked = staged(forest.select("node", "pre", "size", F.floor(F.log2(F.col("size") + F.lit(0.5))).cast("int").alias("k")), "range-asked")
+    deepest = asked.agg(F.max("k")).first()[0] or 0
+    out = []
+    for k in range(deepest + 1):
+        own = asked.where(F.col("k") == k)
+        end = own.withColumn("at", F.col("pre") + F.col("size") - (1 << k)).join(now.select(F.col("pre").alias("at"), F.col("low").alias("low2"), F.col("high").alias("high2")), "at")
+        out.append(end.join(now, "pre").select("node", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high")))
+        if k < deepest:
+            other = now.select((F.col("pre") - (1 << k)).alias("pre"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+            now = staged(now.join(other, "pre", "left").select("pre", F.least("low", "low2").alias("low"), F.greatest("high", "high2").alias("high")), f"range-{k + 1}")
+    return union(out)
 
 
 def bridges_and_cuts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bridges (a, b), a < b, and articulation points (node) of the simple undirected graph.
-
-    On a breadth-first forest each other edge gets a random label; a subtree's label is the XOR of the labels of the edges that leave
-    it (those inside cancel out). A tree edge is a bridge if its subtree's label is zero. A node cuts if among its children, joined
-    where another edge has them as its two sides below their common ancestor, a group's labels cancel out, or if it is a root with
-    more than one group. Two 64-bit labels make a wrong zero less likely than 2^-100 a tree edge."""
+    """Bridges (a, b), a < b, and articulation points (node) of the simple undirected graph, after Tarjan and Vishkin: on any spanning forest
+    in preorder, a tree edge is a bridge if no other edge leaves the subtree below it; tree edges are of one block if they are joined by
+    another edge between subtrees, or by one that leaves the parent's subtree; a node cuts if its tree edges are of more than one block.
+    The number of rounds grows with the logarithm of the graph, whatever its diameter."""
     both = staged(undirected(edges), "cut-edges")
-    forest = spanning_forest(nodes, both)
-    # bookkeeping: tree edges child -> parent, the others once
-    at = forest.select("node", "parent", "depth")
-    a, b = at.select(*[F.col(c).alias(f"a_{c}") for c in at.columns]), at.select(*[F.col(c).alias(f"b_{c}") for c in at.columns])
-    other = both.where("src < dst").join(a, F.col("src") == F.col("a_node")).join(b, F.col("dst") == F.col("b_node")).where("NOT (a_parent <=> dst) AND NOT (b_parent <=> src)")
-    other = staged(other.select("src", "dst", "a_depth", "b_depth", F.xxhash64("src", "dst").alias("x"), F.xxhash64("dst", "src", F.lit("second")).alias("y")), "cut-other")
-    own = other.select(F.col("src").alias("node"), "x", "y").unionAll(other.select(F.col("dst").alias("node"), "x", "y")).groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    labels = staged(forest.join(own, "node", "left").select("node", "parent", "depth", F.coalesce("x", F.lit(0)).cast("long").alias("x"), F.coalesce("y", F.lit(0)).cast("long").alias("y")), "cut-own")
-    deepest = labels.agg(F.max("depth")).first()[0] or 0
-    done: list[DataFrame] = []
-    below = None
-    for d in range(deepest, -1, -1):  # subtree labels, level by level from the leaves
-        level = labels.where(F.col("depth") == d)
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x").alias("ux"), F.bit_xor("y").alias("uy"))
-            level = level.join(up, "node", "left").select("node", "parent", "depth", F.col("x").bitwiseXOR(F.coalesce("ux", F.lit(0).cast("long"))).alias("x"), F.col("y").bitwiseXOR(F.coalesce("uy", F.lit(0).cast("long"))).alias("y"))
-        below = staged(level, "cut-sub")
-        done.append(below)
-    sub = union(done)
-    bridges = sub.where("x = 0 AND y = 0 AND parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
-    # climb both ends of the other edges to the children of their lowest common ancestor
-    parent = at.select(F.col("node").alias("n"), F.col("parent").alias("p"))
-    now = staged(other.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("a_depth").alias("du"), F.col("b_depth").alias("dv")), "cut-climb")
-    met: list[DataFrame] = []
-    while not now.isEmpty():
-        two = now.join(parent.select(F.col("n").alias("u"), F.col("p").alias("pu")), "u").join(parent.select(F.col("n").alias("v"), F.col("p").alias("pv")), "v")
-        same = F.col("pu").eqNullSafe(F.col("pv")) & (F.col("du") == F.col("dv"))
-        met.append(staged(two.where(same).select(F.col("u").alias("src"), F.col("v").alias("dst")).distinct(), "cut-met"))
-        climb = two.where(~same).select(
-            F.when(F.col("du") >= F.col("dv"), F.col("pu")).otherwise(F.col("u")).alias("u"), F.when(F.col("dv") >= F.col("du"), F.col("pv")).otherwise(F.col("v")).alias("v"),
-            F.when(F.col("du") >= F.col("dv"), F.col("du") - 1).otherwise(F.col("du")).alias("du"), F.when(F.col("dv") >= F.col("du"), F.col("dv") - 1).otherwise(F.col("dv")).alias("dv"),
-        )
-        last, now = now, staged(climb.distinct(), "cut-climb")
-        drop(last)
-    children = sub.where("parent IS NOT NULL").select("node", "parent", "x", "y")
-    if met:
-        groups = weak_components(children.select("node"), union(met))
-    else:
-        groups = children.select("node", F.col("node").alias("component"))
-    per = children.join(groups, "node").groupBy("parent", "component").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-    top = forest.where("parent IS NULL").select(F.col("node").alias("parent"), F.lit(True).alias("top"))
-    per = per.join(top, "parent", "left")
-    inner = per.where("top IS NULL AND x = 0 AND y = 0").select(F.col("parent").alias("node")).distinct()
-    outer = per.where("top").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    return staged(bridges, "bridges"), staged(inner.unionByName(outer), "cuts")
+    tree, maps = spanning_forest(both)
+    tree = staged(tree, "cut-tree")
+    at = staged(tree_order(tree, maps), "cut-order")
+    a, b = at.select(F.col("node").alias("src"), F.col("pre").alias("pa"), F.col("size").alias("sa")), at.select(F.col("node").alias("dst"), F.col("pre").alias("pb"), F.col("size").alias("sb"))
+    other = staged(both.where("src < dst").join(tree, ["src", "dst"], "left_anti").join(a, "src").join(b, "dst"), "cut-other")
+    ends = other.select(F.col("src").alias("node"), F.col("pb").alias("p")).unionAll(other.select(F.col("dst").alias("node"), F.col("pa").alias("p"))).groupBy("node").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    own = at.join(ends, "node", "left").select("node", "pre", "size", F.least("pre", "lo").alias("low"), F.greatest("pre", "hi").alias("high"))
+    full = staged(at.join(over_subtrees(own), "node"), "cut-full")
+    leaves = lambda p, n: (F.col("low") < p) | (F.col("high") >= p + n)
+    below = full.where("parent IS NOT NULL")
+    bridges = below.where(~leaves(F.col("pre"), F.col("size"))).select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
+    # tree edges, named by their lower ends, that are of one block
+    apart = other.where("(pa < pb AND pb >= pa + sa) OR (pb < pa AND pa >= pb + sb)").select("src", "dst")
+    above = below.select(F.col("node").alias("parent"), F.col("pre").alias("pp"), F.col("size").alias("ps"))
+    joined = below.join(above, "parent").where(leaves(F.col("pp"), F.col("ps"))).select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    block = staged(weak_components(below.select("node"), apart.unionAll(joined)), "cut-blocks")
+    met = below.join(block, "node").select(F.col("parent").alias("node"), "component").unionAll(block.select("node", "component"))
+    cuts = met.distinct().groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    return staged(bridges, "bridges"), staged(cuts, "cuts")
 
 
 def dag_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

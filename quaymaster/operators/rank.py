@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import staged, staged_by
 from .graph import undirected
 from .iterate import levels, union
 from .order import cumulative, numbered
@@ -20,7 +20,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     if direction == "dependents":
         edges = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
     out = edges.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("deg"))
-    e = staged(edges.join(out, [*keys, "src"]).select(*keys, "src", "dst", "deg"), "pr-edges")
+    e = staged_by(edges.join(out, [*keys, "src"]).select(*keys, "src", "dst", "deg"), "pr-edges", *keys, "src")
     sizes = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else nodes.agg(F.count(F.lit(1)).alias("n"))
     base = nodes.join(sizes, keys) if keys else nodes.crossJoin(sizes)
     base = staged(base.join(out.withColumnRenamed("src", "node"), [*keys, "node"], "left").select(*keys, "node", "n", F.col("deg").isNull().alias("dangling")), "pr-nodes")
@@ -44,9 +44,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
 
 
 def gini(df: DataFrame, column: str) -> DataFrame:
-    """One row: the Gini coefficient of a column."""
-    x = numbered(df.select(F.col(column).cast("double").alias("x")), ["x"], "k")
-    s = x.agg(F.sum(F.col("x") * (F.col("k") + 1)).alias("weighted"), F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
+    """One row: the Gini coefficient of a column. Equal values are folded first: c of them whose last has rank k hold the ranks k - c + 1
+    to k."""
+    x = df.groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    x = cumulative(x, ["x"], {"k": F.col("c")})
+    s = x.agg(F.sum(F.col("x") * F.col("c") * (2 * F.col("k") - F.col("c") + 1) / 2).alias("weighted"), F.sum(F.col("x") * F.col("c")).alias("total"), F.sum("c").alias("n"))
     return s.select(F.when(F.col("total") == 0, 0.0).otherwise(2 * F.col("weighted") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
 
 
@@ -73,13 +75,28 @@ def lorenz(df: DataFrame, column: str) -> DataFrame:
 
 
 def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Tau-b of two columns of a short list (its pairs are counted)."""
-    x = df.select(F.monotonically_increasing_id().alias("i"), F.col(a).alias("a"), F.col(b).alias("b")).coalesce(1)
-    y = x.select(F.col("i").alias("j"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    pairs = x.join(y, F.col("i") < F.col("j"))
-    s = F.signum(F.col("a") - F.col("a2")) * F.signum(F.col("b") - F.col("b2"))
-    c = pairs.agg(F.sum(s).alias("s"), F.sum((F.col("a") != F.col("a2")).cast("double")).alias("na"), F.sum((F.col("b") != F.col("b2")).cast("double")).alias("nb"))
-    return c.select((F.col("s") / F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+    """One row: tau-b of two columns. Discordant pairs are counted as inversions, bit by bit of the ranks: two rows whose ranks in a and in
+    b first part at some bit of the b-rank are compared in the group that shares the higher bits, with counts in order of a. So rows are
+    dealt out once for each bit, and no pair is ever made."""
+    x = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    ra = numbered(x.select("a").distinct(), ["a"], "ra")
+    rb = numbered(x.select("b").distinct(), ["b"], "rb")
+    x = staged(x.join(ra, "a").join(rb, "b").select("ra", "rb", "c"), "tau")
+    n, most = x.agg(F.sum("c"), F.max("rb")).first()
+    bits = max(1, int(most or 0).bit_length())
+    pairs = lambda c: c * (c - 1) / 2
+    tie = lambda *k: x.groupBy(*k).agg(F.sum("c").cast("double").alias("c")).agg(F.sum(pairs(F.col("c"))).alias("t"))
+    # rows of one (bit, higher bits): the upper half before the lower one in a is a discordant pair; rows equal in a go together
+    each = x.select("ra", "rb", "c", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("k"))
+    each = each.select("ra", "c", "k", F.expr("shiftright(rb, k + 1)").alias("head"), (F.expr("shiftright(rb, k)") % 2).alias("upper"))
+    g = each.groupBy("k", "head", "ra").agg(F.sum(F.when(F.col("upper") == 1, F.col("c")).otherwise(0)).alias("up"), F.sum(F.when(F.col("upper") == 0, F.col("c")).otherwise(0)).alias("low"))
+    at = cumulative(g, ["k", "head", "ra"], {"all_up": F.col("up")})
+    first = at.groupBy("k", "head").agg(F.min(F.col("all_up") - F.col("up")).alias("before"))
+    bad = at.join(first, ["k", "head"]).agg(F.sum((F.col("all_up") - F.col("up") - F.col("before")).cast("double") * F.col("low")).alias("d"))
+    t = tie("ra").select(F.col("t").alias("ta")).crossJoin(tie("rb").select(F.col("t").alias("tb"))).crossJoin(tie("ra", "rb").select(F.col("t").alias("tab"))).crossJoin(bad)
+    total = F.lit(float(n or 0)) * (float(n or 0) - 1) / 2
+    concordant_less = total - F.col("ta") - F.col("tb") + F.col("tab") - 2 * F.coalesce("d", F.lit(0.0))
+    return t.select((concordant_less / F.sqrt((total - F.col("ta")) * (total - F.col("tb")))).alias("tau"))
 
 
 def sampled(nodes: DataFrame, k: int) -> DataFrame:

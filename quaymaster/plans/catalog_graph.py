@@ -220,10 +220,9 @@ def _(spark, sf):
     return r.agg(F.expr("percentile(abs(a - b), 0.5)").alias("shift"), F.sum(((F.col("a") < 50) & (F.col("b") < 50)).cast("long")).alias("overlap"))
 
 
-@query("ord10_kendall_tau", based(_DEG + ", t AS (SELECT * FROM deg ORDER BY in_degree DESC, node LIMIT 200) SELECT " + q6("sum(sign(a.in_degree - b.in_degree) * sign(a.out_degree - b.out_degree))::DOUBLE / sqrt(sum(CASE WHEN a.in_degree <> b.in_degree THEN 1 ELSE 0 END)::DOUBLE * sum(CASE WHEN a.out_degree <> b.out_degree THEN 1 ELSE 0 END)::DOUBLE)") + " AS tau FROM t a JOIN t b ON a.node < b.node"))
+@query("ord10_kendall_tau", based(_DEG + " SELECT " + q6("sum(sign(a.in_degree - b.in_degree) * sign(a.out_degree - b.out_degree))::DOUBLE / sqrt(sum(CASE WHEN a.in_degree <> b.in_degree THEN 1 ELSE 0 END)::DOUBLE * sum(CASE WHEN a.out_degree <> b.out_degree THEN 1 ELSE 0 END)::DOUBLE)") + " AS tau FROM deg a JOIN deg b ON a.node < b.node"))
 def _(spark, sf):
-    # two orderings of a top-200 report are compared
-    return RK.kendall_tau(RK.top_k(degrees(spark, sf), "in_degree", "node", 200), "in_degree", "out_degree").select(Q(F.col("tau")).alias("tau"))
+    return RK.kendall_tau(degrees(spark, sf), "in_degree", "out_degree").select(Q(F.col("tau")).alias("tau"))
 
 
 @query("ord13_lorenz", based(_DEG + f", h AS (SELECT in_degree::DOUBLE AS value, count(*) AS c FROM deg GROUP BY 1) SELECT value, {q6('sum(c) OVER w / (SELECT sum(c) FROM h)::DOUBLE')} AS share_nodes, {q6('sum(value * c) OVER w / (SELECT sum(value * c) FROM h)')} AS share_value FROM h WINDOW w AS (ORDER BY value)"))
@@ -345,16 +344,39 @@ def _(spark, sf):
 
 
 def _cuts(spark, sf):
-    r, v = tables(spark, sf, "resolved", "versions")
-    return C.bridges_and_cuts(v.select(F.col("ver_id").alias("node")), T.resolved_edges(r))
-
-
-@query("grf08_bridges")
+    """Bridges and articulation points, found together once for each application and folder."""
+    have = spark.sparkContext.__dict__.setdefault("_qm_cuts", {})
+    if sf not in have:
+        r, v = tables(spark, sf, "resolved", "versions")
+        have[sf] = C.bridges_and_cuts(v.select(F.col("ver_id").alias("node")), T.resolved_edges(r))
+    return have[sf]
+
+
+#: A breadth-first forest by levels; edges beside it get random labels, and a tree edge is a bridge if the labels of the edges that end below it
+#: cancel out. A node cuts if it is a root with more than one group of children, or has a group that no edge leaves; children are of one
+#: group if an edge beside the tree joins their subtrees.
+_CUTS = _WAYS + _min_label("ways", "SELECT ver_id AS node FROM versions", 400) + """, walkd AS (SELECT node, 0 AS d FROM lab WHERE i = 400 AND node = label AND node IN (SELECT src FROM ways) UNION SELECT w.dst, b.d + 1 FROM walkd b JOIN ways w ON w.src = b.node WHERE b.d < 200),
+far AS MATERIALIZED (SELECT node, min(d) AS d FROM walkd GROUP BY node),
+par AS MATERIALIZED (SELECT f.node, f.d, min(w.src) AS parent FROM far f LEFT JOIN (SELECT w.src, w.dst, g.d FROM ways w JOIN far g ON w.src = g.node) w ON w.dst = f.node AND w.d = f.d - 1 GROUP BY f.node, f.d),
+beside AS MATERIALIZED (SELECT w.src, w.dst, hash(w.src, w.dst) AS x FROM ways w JOIN par a ON w.src = a.node JOIN par b ON w.dst = b.node WHERE w.src < w.dst AND a.parent IS DISTINCT FROM w.dst AND b.parent IS DISTINCT FROM w.src),
+up AS (SELECT node, node AS above, d, parent FROM par UNION ALL SELECT u.node, p.node, p.d, p.parent FROM up u JOIN par p ON u.parent = p.node), anc AS MATERIALIZED (SELECT node, above, d FROM up),
+mark AS (SELECT node, bit_xor(x) AS x FROM (SELECT src AS node, x FROM beside UNION ALL SELECT dst, x FROM beside) GROUP BY node),
+sub AS MATERIALIZED (SELECT a.above AS node, bit_xor(coalesce(m.x, 0::UBIGINT)) AS x FROM anc a LEFT JOIN mark m ON a.node = m.node GROUP BY a.above)"""
+_GROUPS = """, ea AS MATERIALIZED (SELECT e.src, e.dst, a.above, a.d FROM beside e JOIN anc a ON a.node = e.src), eb AS MATERIALIZED (SELECT e.src, e.dst, b.above, b.d FROM beside e JOIN anc b ON b.node = e.dst),
+lca AS MATERIALIZED (SELECT a.src, a.dst, max(a.d) AS d FROM ea a JOIN eb b ON a.src = b.src AND a.dst = b.dst AND a.above = b.above GROUP BY a.src, a.dst),
+la AS MATERIALIZED (SELECT l.src, l.dst, a.above FROM lca l JOIN ea a ON l.src = a.src AND l.dst = a.dst AND a.d = l.d + 1), lb AS MATERIALIZED (SELECT l.src, l.dst, b.above FROM lca l JOIN eb b ON l.src = b.src AND l.dst = b.dst AND b.d = l.d + 1),
+side AS MATERIALIZED (SELECT a.above AS src, b.above AS dst FROM la a JOIN lb b ON a.src = b.src AND a.dst = b.dst), both_sides AS MATERIALIZED (SELECT src, dst FROM side UNION SELECT dst, src FROM side),
+grp AS (SELECT 0 AS i, src AS node, src AS label FROM (SELECT DISTINCT src FROM both_sides) UNION ALL SELECT i + 1, node, min(label) FROM (SELECT i, node, label FROM grp UNION ALL SELECT r.i, e.dst, r.label FROM grp r JOIN both_sides e ON e.src = r.node) WHERE i < 60 GROUP BY i, node),
+per AS (SELECT p.parent, coalesce(g.label, p.node) AS g, bit_xor(s.x) AS x FROM par p JOIN sub s ON p.node = s.node LEFT JOIN grp g ON p.node = g.node AND g.i = 60 WHERE p.parent IS NOT NULL GROUP BY 1, 2)
+SELECT q.parent AS node FROM per q JOIN par p ON q.parent = p.node GROUP BY q.parent, p.parent HAVING (p.parent IS NULL AND count(*) > 1) OR (p.parent IS NOT NULL AND count(*) FILTER (q.x = 0) > 0)"""
+
+
+@query("grf08_bridges", based(_CUTS + " SELECT least(p.node, p.parent) AS a, greatest(p.node, p.parent) AS b FROM par p JOIN sub s ON p.node = s.node WHERE p.parent IS NOT NULL AND s.x = 0"))
 def _(spark, sf):
     return _cuts(spark, sf)[0]
 
 
-@query("grf08_articulation_points")
+@query("grf08_articulation_points", based(_CUTS + _GROUPS))
 def _(spark, sf):
     return _cuts(spark, sf)[1]
 
@@ -535,11 +557,22 @@ def _(spark, sf):
     return TM.attachment_exponent(TM.attachment(dated(spark, sf), 1998.5))
 
 
-@query("tmp05_pagerank_trajectory")
+_TRAJECTORY = _DATED.rsplit(", cuts AS", 1)[0] + f""", cuts AS (SELECT unnest([1997.0, 1999.0, 2001.0])::DOUBLE AS cut), {_VICTIMS.replace('LIMIT 10', 'LIMIT 5')},
+own AS MATERIALIZED (SELECT DISTINCT c.cut, a.pkg_id AS dst, b.pkg_id AS src FROM dated d JOIN cuts c ON d.t <= c.cut JOIN versions a ON d.src = a.ver_id JOIN versions b ON d.dst = b.ver_id WHERE a.pkg_id <> b.pkg_id),
+e AS MATERIALIZED (SELECT cut, src, dst, count(*) OVER (PARTITION BY cut, src) AS deg FROM own), size AS (SELECT count(*)::DOUBLE AS n FROM packages),
+nd AS MATERIALIZED (SELECT c.cut, p.pkg_id AS node, NOT EXISTS (SELECT 1 FROM e WHERE e.cut = c.cut AND e.src = p.pkg_id) AS loose FROM cuts c, packages p),
+pr AS (SELECT 0 AS i, cut, node, 1.0::DOUBLE / (SELECT n FROM size) AS rank FROM nd UNION ALL
+SELECT i + 1, cut, node, sum(got) FROM (
+    SELECT r.i, r.cut, e.dst AS node, 0.85::DOUBLE * r.rank / e.deg AS got FROM pr r JOIN e ON e.src = r.node AND e.cut = r.cut
+    UNION ALL SELECT r.i, r.cut, r.node, (0.15::DOUBLE + 0.85::DOUBLE * coalesce(l.mass, 0)) / (SELECT n FROM size) FROM pr r LEFT JOIN (SELECT x.cut, sum(x.rank) AS mass FROM pr x JOIN nd ON x.cut = nd.cut AND x.node = nd.node AND nd.loose GROUP BY x.cut) l ON r.cut = l.cut) WHERE i < 25 GROUP BY i, cut, node)
+SELECT cut, node, {q6('1000 * rank / total')} AS rank FROM (SELECT *, sum(rank) OVER (PARTITION BY cut) AS total FROM pr WHERE i = 25) WHERE node IN (SELECT node FROM victims)"""
+
+
+@query("tmp05_pagerank_trajectory", based(_TRAJECTORY))
 def _(spark, sf):
     v = table(spark, sf, "versions").select("ver_id", "pkg_id")
     own = dated(spark, sf).join(v.toDF("src", "a"), "src").join(v.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "t")
-    return TM.trajectory(own, nodes(spark, sf), [1997.0, 1999.0, 2001.0], victims(spark, sf, 5))
+    return TM.trajectory(own, nodes(spark, sf), [1997.0, 1999.0, 2001.0], victims(spark, sf, 5)).withColumn("rank", Q(1000 * F.col("rank")))
 
 
 # ------------------------------------------------------------------------------------------------------------ policy
@@ -633,7 +666,10 @@ def _(spark, sf):
     return got.groupBy("root").agg(F.count(F.lit(1)).alias("bumps_or_failures"), F.sum(F.col("reason").isNull().cast("long")).alias("bumps"), F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n_adv"))), F.lit(0)).alias("cleared"))
 
 
-@query("pol14_coordinated")
+_COORD = _FIRST.format(cond="NOT e.withdrawn AND NOT (e.depth >= 4 AND e.severity < 5) AND e.rank = (SELECT min(x.rank) FROM paths x WHERE x.root = e.root AND x.advisory = e.advisory AND NOT x.withdrawn)")
+
+
+@query("pol14_coordinated", walked(_COORD + _GREEDY + ", broken AS (SELECT DISTINCT root FROM fixes WHERE is_major AND (root * 31 + pkg_id * 17) % 10 < 4), o AS (SELECT f.root, b.root IS NOT NULL AS refined, f.reason IS NULL AND NOT (b.root IS NOT NULL AND f.is_major) AS fixed FROM fixes f LEFT JOIN broken b ON f.root = b.root) SELECT root, refined, count(*) FILTER (fixed) AS bumps, count(*) FILTER (NOT fixed) AS escalated FROM o GROUP BY root, refined"))
 def _(spark, sf):
     v, p, av = tables(spark, sf, "versions", "packages", "affected_versions")
     first = live(spark, sf).withColumn("f", F.min("rank").over(W.partitionBy("root", "advisory"))).where("rank = f")
@@ -793,7 +829,20 @@ def questions(spark, sf) -> DataFrame:
     return p.select(F.col("pkg_id").alias("qid"), text.alias("question"), "ecosystem", "name")
 
 
-@query("pol02_ground")
+_SQUASH = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+#: Each wording has one way to name a package: its name, a package URL of a kept type, an advisory id, or the name without its dashes.
+_GROUND = f""", idx AS (SELECT id, v.pkg_id FROM (SELECT upper(a.osv_id) AS id, a.adv_id FROM advisories a UNION SELECT upper(coalesce(l.alias, a.osv_id)), a.adv_id FROM advisories a LEFT JOIN aliases l ON a.osv_id = l.osv_id) k JOIN affected_versions av ON k.adv_id = av.adv_id JOIN versions v ON av.ver_id = v.ver_id),
+real AS (SELECT p.pkg_id, p.ecosystem, p.name, {_SQUASH.format('p.name')} AS sq FROM packages p WHERE p.pkg_id IN (SELECT pkg_id FROM versions)),
+found AS (SELECT q.pkg_id AS qid, 0 AS o, 0 AS o2, r.ecosystem, r.name, lower(q.name) AS surface, 'name' AS via FROM packages q JOIN real r ON lower(r.name) = lower(q.name) WHERE q.pkg_id % 5 = 0
+    UNION ALL SELECT q.pkg_id, 0, 1, r.ecosystem, r.name, lower(q.name), 'name-squashed' FROM packages q JOIN real r ON r.sq = {_SQUASH.format('q.name')} AND lower(r.name) <> lower(q.name) WHERE q.pkg_id % 5 = 0 AND length(r.sq) >= 4
+    UNION ALL SELECT q.pkg_id, 0, 0, q.ecosystem, q.name, concat('pkg:', q.ecosystem, '/', q.name, '@1.0.0'), 'purl' FROM packages q WHERE q.pkg_id % 5 = 1 AND q.ecosystem <> 'rubygems'
+    UNION ALL SELECT DISTINCT q.pkg_id, 0, 0, p.ecosystem, p.name, i.id, 'advisory' FROM packages q JOIN idx i ON i.id = concat('CVE-2024-', CAST(1000 + q.pkg_id % 40 AS STRING)) JOIN packages p ON i.pkg_id = p.pkg_id WHERE q.pkg_id % 5 = 2
+    UNION ALL SELECT q.pkg_id, 0, 1, r.ecosystem, r.name, lower(replace(q.name, '-', '')), 'name-squashed' FROM packages q JOIN real r ON r.sq = {_SQUASH.format('q.name')} WHERE q.pkg_id % 5 = 3 AND length(r.sq) >= 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o, o2, ecosystem, name) AS pos FROM found)
+SELECT qid, pos, ecosystem, name, surface, via FROM ranked WHERE pos <= 8"""
+
+
+@query("pol02_ground", based(_GROUND))
 def _(spark, sf):
     p, v, av, a, l = tables(spark, sf, "packages", "versions", "affected_versions", "advisories", "aliases")
     from ..operators.advisories import id_index
@@ -858,20 +907,55 @@ def _(spark, sf):
     return audit(spark, sf).groupBy("root").agg(F.sum((a & (F.col("min_depth") == 0)).cast("long")).alias("direct"), F.sum((a & (F.col("min_depth") > 0)).cast("long")).alias("transitive"))
 
 
-@query("snk04_markdown")
+_ROWS = f""", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY root, advisory ORDER BY depth, severity DESC, rank) AS k FROM paths) WHERE k = 1),
+hop AS (SELECT root, rank, unnest(hops) AS hop, generate_subscripts(hops, 1) AS k FROM best), chain AS (SELECT h.root, h.rank, string_agg(concat(p.name, '@', v.version), ' -> ' ORDER BY h.k) AS chain FROM hop h JOIN versions v ON h.hop = v.ver_id JOIN packages p ON v.pkg_id = p.pkg_id GROUP BY h.root, h.rank),
+rep AS MATERIALIZED (SELECT b.root, b.advisory, b.severity, {_BAND.replace('severity', 'b.severity')} AS band, b.depth, concat('[', b.advisory, '  cvss=', printf('%.1f', b.severity), '] ', c.chain, CASE WHEN b.withdrawn THEN '  !! WITHDRAWN' ELSE '' END) AS path,
+    concat(p.ecosystem, '/', p.name, '@', v.version) AS terminal, d.verdict AS reason, d.alert
+    FROM best b JOIN chain c ON b.root = c.root AND b.rank = c.rank JOIN verdicts d ON b.root = d.root AND b.advisory = d.advisory JOIN versions v ON b.node = v.ver_id JOIN packages p ON v.pkg_id = p.pkg_id)"""
+_MARKDOWN = """, todo AS (SELECT f.*, concat(p.ecosystem, '/', p.name) AS package FROM fixes f JOIN packages p ON f.pkg_id = p.pkg_id),
+n AS (SELECT root, count(*) AS n_all, count(*) FILTER (alert) AS n_alert, count(*) FILTER (alert AND depth = 0) AS n_direct FROM rep GROUP BY root),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY root, alert, depth = 0 ORDER BY severity DESC, depth, advisory) AS k, row_number() OVER (PARTITION BY root, alert ORDER BY advisory) AS q, concat(upper(band), ' (', printf('%.1f', severity), ')') AS head FROM rep),
+parts AS (SELECT root, string_agg(concat('- **', advisory, '**  ', head, '  -  `', terminal, '`'), chr(10) ORDER BY k) FILTER (alert AND depth = 0 AND k <= 12) AS direct,
+    string_agg(concat('### ', advisory, '  -  ', head, '  -  depth ', CAST(depth AS STRING), chr(10), '```', chr(10), path, chr(10), '```', chr(10)), chr(10) ORDER BY k) FILTER (alert AND depth > 0 AND k <= 12) AS trans,
+    string_agg(concat('| ', advisory, ' (', band, ') | `', reason, '` |'), chr(10) ORDER BY q) FILTER (NOT alert AND q <= 40) AS quiet FROM ranked GROUP BY root),
+fix AS (SELECT root, string_agg(concat('- `', package, '`  ', from_version, ' → **', to_version, '**', CASE WHEN is_major THEN '  **(MAJOR - review breaking changes)**' ELSE '' END), chr(10) ORDER BY package) FILTER (reason IS NULL) AS bumps,
+    string_agg(concat('- `', package, '`  ⚠️ **no safe fix**: ', reason), chr(10) ORDER BY package) FILTER (reason IS NOT NULL) AS bad, coalesce(sum(n_adv) FILTER (reason IS NULL), 0) AS cleared, count(*) FILTER (reason IS NULL) AS n_bumps FROM todo GROUP BY root)
+SELECT n.root, concat_ws(chr(10), concat('# Supply-chain exposure - `', p.ecosystem, '/', p.name, '@', v.version, '`', chr(10), '_generated 2024-02-01_', chr(10)),
+    concat('**', CAST(n_alert AS STRING), ' exposures** need action - ', CAST(n_all - n_alert AS STRING), ' findings suppressed (with reason) - an audit that lists everything would show all ', CAST(n_all AS STRING), '.', chr(10)),
+    CASE WHEN direct IS NOT NULL THEN concat('## Direct exposures (', CAST(n_direct AS STRING), ') - a vulnerable version is a direct dependency', chr(10), chr(10), direct, CASE WHEN n_direct > 12 THEN concat(chr(10), '- _... and ', CAST(n_direct - 12 AS STRING), ' more direct_') ELSE '' END, chr(10)) END,
+    CASE WHEN trans IS NOT NULL THEN concat('## Transitive exposures (each carries the path that proves it)', chr(10), chr(10), trans) END,
+    CASE WHEN fix.root IS NOT NULL THEN concat_ws(chr(10), concat('## Minimal remediation', chr(10)), bumps, bad, concat(chr(10), '_', CAST(cleared AS STRING), '/', CAST(n_alert AS STRING), ' exposures cleared by ', CAST(n_bumps AS STRING), ' bump(s)._', chr(10))) END,
+    CASE WHEN quiet IS NOT NULL THEN concat('## Suppressed (present in the tree, not actioned)', chr(10), chr(10), '| finding | why not an alert |', chr(10), '|---|---|', chr(10), quiet) END) AS markdown
+FROM n JOIN parts ON n.root = parts.root LEFT JOIN fix ON n.root = fix.root JOIN versions v ON n.root = v.ver_id JOIN packages p ON v.pkg_id = p.pkg_id"""
+
+
+@query("snk04_markdown", walked(verdict_sql(None, 0.0, False) + _FIRST.format(cond="EXISTS (SELECT 1 FROM verdicts d WHERE d.root = e.root AND d.advisory = e.advisory AND d.alert)") + _GREEDY + _ROWS + _MARKDOWN))
 def _(spark, sf):
     v, p, av = tables(spark, sf, "versions", "packages", "affected_versions")
     rows = report_rows(spark, sf)
     return RP.markdown(rows, RP.alerted_fixes(paths(spark, sf), rows, v, p, av), v, p, "2024-02-01")
 
 
-@query("snk05_cyclonedx")
+_BOM = """, comp AS (SELECT x.root, string_agg(concat('{"type":"library","name":"', p.name, '","version":"', v.version, '","purl":"pkg:', p.ecosystem, '/', p.name, '@', v.version, '"}'), ',' ORDER BY x.depth, x.node) AS components FROM reached x JOIN versions v ON x.node = v.ver_id JOIN packages p ON v.pkg_id = p.pkg_id GROUP BY x.root),
+vuln AS (SELECT root, string_agg(concat('{"id":"', advisory, '","source":{"name":"OSV"},"ratings":[{"score":', CAST(severity AS STRING), ',"severity":"', band, '","method":"CVSSv3"}],"affects":[{"ref":"', terminal, '"}],"description":"exposure path: ', path, '"}'), ',' ORDER BY severity DESC, depth, advisory) AS vulns FROM rep WHERE alert GROUP BY root)
+SELECT c.root, concat('{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"metadata":{"timestamp":"2024-02-01","component":{"type":"application","name":"', p.name, '","version":"', v.version, '"}},"components":[', components, '],"vulnerabilities":[', coalesce(vulns, ''), ']}') AS bom
+FROM comp c LEFT JOIN vuln ON c.root = vuln.root JOIN versions v ON c.root = v.ver_id JOIN packages p ON v.pkg_id = p.pkg_id"""
+
+
+@query("snk05_cyclonedx", walked(verdict_sql(None, 0.0, False) + _ROWS + _BOM))
 def _(spark, sf):
     v, p = tables(spark, sf, "versions", "packages")
     return RP.cyclonedx(reached(spark, sf), report_rows(spark, sf), v, p, "2024-02-01")
 
 
-@query("snk06_lock_files")
+_LOCK = """, met AS (SELECT x.root, p.name, v.version, row_number() OVER (PARTITION BY x.root ORDER BY x.depth, x.hops) AS k FROM reached x JOIN versions v ON x.node = v.ver_id JOIN packages p ON v.pkg_id = p.pkg_id),
+pin AS (SELECT root, name, arg_max(version, k) AS version, min(k) AS first FROM met GROUP BY root, name),
+ln AS (SELECT root, string_agg(concat(name, '==', version), chr(10) ORDER BY concat(name, '==', version)) AS pip, string_agg(concat('"node_modules/', name, '":{"version":"', version, '"}'), ',' ORDER BY first) AS npm FROM pin GROUP BY root)
+SELECT l.root, CASE p.ecosystem WHEN 'pypi' THEN concat(pip, chr(10)) WHEN 'npm' THEN concat('{"name":"generated","version":"0.0.0","lockfileVersion":3,"requires":true,"packages":{"":{"name":"generated","version":"0.0.0"},', npm, '}}') ELSE '' END AS lock
+FROM ln l JOIN versions v ON l.root = v.ver_id JOIN packages p ON v.pkg_id = p.pkg_id"""
+
+
+@query("snk06_lock_files", walked(_LOCK))
 def _(spark, sf):
     v, p = tables(spark, sf, "versions", "packages")
     return RP.lock_files(reached(spark, sf), v, p)
@@ -919,7 +1003,7 @@ def scored(spark, sf, graph: bool) -> DataFrame:
     f, names = features(spark, sf), list(_NAMES)
     if graph:
         f = L.neighbour_means(f, table(spark, sf, "pkgdep"), _NAMES, 2)
-        names += [f"{c}_1" for c in _NAMES] + [f"{c}_1_2" for c in _NAMES]
+        names += [f"{c}_{k}" for k in (1, 2) for c in _NAMES]
     return kept(spark, (sf, f"scored-{graph}"), lambda: L.trained(split(spark, sf).join(f, "pkg_id"), names))
 
 
@@ -945,7 +1029,7 @@ def _(spark, sf):
 def _(spark, sf):
     a, b = scored(spark, sf, True), scored(spark, sf, False)
     pairs = a.where("split = 'test'").select("pkg_id", "label", F.col("p").alias("a")).join(b.select("pkg_id", F.col("p").alias("b")), "pkg_id")
-    return L.bootstrap_delta(pairs.select("label", "a", "b"), 100)
+    return L.bootstrap_delta(pairs, 100)
 
 
 @query("evl01_resolver_fidelity", based(", w AS (SELECT DISTINCT v.pkg_id, v.version, v.vkey, v.ver_id FROM resolved r JOIN versions v ON r.res_ver_id = v.ver_id), g AS (SELECT w.ver_id AS theirs, max(v.ver_id) AS ours FROM w JOIN versions v ON v.pkg_id = w.pkg_id AND v.vkey >= w.vkey AND floor(v.vkey / 25.0) = floor(w.vkey / 25.0) GROUP BY w.ver_id) SELECT count(*) FILTER (theirs = ours) AS \"match\", count(*) FILTER (theirs <> ours) AS different, CAST(0 AS BIGINT) AS unresolved FROM g"))

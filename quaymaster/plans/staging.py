@@ -62,10 +62,25 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def staged_by(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df staged in as many buckets of its keys as there are shuffle partitions: joins and groups on the keys need no exchange of it,
+    however often it is read."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "qm_" + path.rsplit("-", 1)[-1]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._qm_path, out._qm_table = path, table
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a staged table that nothing reads any more."""
     if path := getattr(df, "_qm_path", None):
         spark = df.sparkSession
+        if table := getattr(df, "_qm_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         _delete(path, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration())
         _LEFT.discard(path)
 
