@@ -1,7 +1,7 @@
 """Licence scans by template-markup matching (operator 4).
 
-A template is wording with marked regions: `[[ ... ]]` may be absent, `{n}` stands for up to n words of any kind (a name, a year, a
-version), `a|b` for one of several words, `$` for the end of the text. Templates are compiled to token automata; a text is accepted
+A template is wording with marked regions: `[[ ... ]]` may be absent, `{n}` may be replaced by up to n words of any kind (a name, a year,
+a version), `((one wording/another wording))` by one of the wordings given, `a|b` by one of several words; `$` is the end of the text. Templates are compiled to token automata; a text is accepted
 where an automaton accepts, that is where all mandatory words stand exactly as in the template, in their order, with nothing between
 them but what the regions allow. Templates of whole licences go to the end of their conditions and disclaimers.
 
@@ -48,6 +48,11 @@ _BSD_DISCLAIMER = """this software is provided by {12} as is and any express or
     strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
     possibility of such damage"""
 
+_GNU = """this|the program|file|library|software is free software you can redistribute it and or modify it under the terms of the gnu {} public license
+    as published by the free software foundation [[either]]"""
+_GNU_END = """this|the program|file|library|software is distributed in the hope that it will be useful but without any warranty without even the implied
+    warranty of merchantability or fitness for a particular purpose see the gnu {} public license for more details"""
+
 #: Templates: label and wording (fixed values: the licences' public wording, and the usual short notices).
 TEMPLATES = [
     ("mit", f"{_MIT} {_MIT_DISCLAIMER}"),
@@ -75,6 +80,30 @@ TEMPLATES = [
         and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large
         and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of
         all present and future rights to this software under copyright law {_MIT_DISCLAIMER}"""),
+    ("apache-2.0", """licensed under the apache license version 2 0 [[the license]] you may not use this file|software|work except in compliance with the
+        license you may obtain a copy of the license at [[https]] [[http]] [[www]] apache org licenses license 2 0 [[html]] [[txt]] unless required by
+        applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties
+        or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations
+        under the license"""),
+    ("gpl-2.0", f"""{_GNU.format("general")} version 2 of the license [[or at your option any later version]] {_GNU_END.format("general")}"""),
+    ("gpl-3.0", f"""{_GNU.format("general")} version 3 of the license [[or at your option any later version]] {_GNU_END.format("general")}"""),
+    ("agpl-3.0", f"""{_GNU.format("affero general")} version 3 of the license [[or at your option any later version]] {_GNU_END.format("affero general")}"""),
+    ("lgpl", f"""{_GNU.format("lesser general")} version {{1}} [[1]] of the license [[or at your option any later version]] {_GNU_END.format("lesser general")}"""),
+    ("mpl-2.0", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this
+        file you can obtain one at [[https]] [[http]] [[www]] mozilla org mpl 2 0"""),
+    ("bsl-1.0", f"""permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to
+        prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the
+        following the copyright notices in the software and this entire statement including the above license grant this restriction and the
+        following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software
+        unless such copies or derivative works are solely in the form of machine executable object code generated by a source language
+        processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties
+        of merchantability fitness for a particular purpose title and ((non infringement/noninfringement)) in no event shall the copyright holders or anyone
+        distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of
+        or in connection with the software or the use or other dealings in the software"""),
+    ("wtfpl", """everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as
+        the name is changed do what the fuck you want to public license terms and conditions for copying distribution and modification 0 you just
+        do what the fuck you want to"""),
     ("apache-2.0", "licensed under the [[terms of the]] apache license [[version]] [[v2]] [[v]] 2 [[0]]"),
     ("apache-2.0", "released under the [[terms of the]] apache license [[version]] 2 [[0]]"),
     ("apache-2.0", "spdx license identifier apache 2 0"),
@@ -110,44 +139,64 @@ class Automaton:
     _LAST = b" "  # no word has a space
 
     def __init__(self, wording: str):
-        tokens = re.findall(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+", wording)
+        tokens = re.findall(r"\[\[|\]\]|\(\(|\)\)|/|\{\d+\}|[^\s\[\]{}()/]+", wording)
         self.step: dict[int, tuple[bytes | frozenset | None, int]] = {}
         self.free: dict[int, list[int]] = {}
-        state, opened = 0, []
+        state, opened, forks = 0, [], []
+
+        def move(a: int, b: int) -> None:
+            self.free.setdefault(a, []).append(b)
+
         for t in tokens:
             if t == "[[":
                 opened.append(state)
-                self.free.setdefault(state, []).append(state + 1)
+                move(state, state + 1)
                 state += 1
             elif t == "]]":
-                self.free.setdefault(opened.pop(), []).append(state + 1)
-                self.free.setdefault(state, []).append(state + 1)
+                move(opened.pop(), state + 1)
+                move(state, state + 1)
+                state += 1
+            elif t == "((":
+                forks.append((state, []))
+                move(state, state + 1)
+                state += 1
+            elif t == "/":  # another wording begins where the region does
+                forks[-1][1].append(state)
+                state += 1
+                move(forks[-1][0], state)
+            elif t == "))":
+                for end in forks.pop()[1]:
+                    move(end, state + 1)
+                move(state, state + 1)
                 state += 1
             elif t[0] == "{":
                 n = int(t[1:-1])
                 for k in range(n):
                     self.step[state + k] = (None, state + k + 1)
-                    self.free.setdefault(state + k, []).append(state + n)
+                    move(state + k, state + n)
                 state += n
             else:
                 self.step[state] = (self._LAST if t == "$" else frozenset(t.encode().split(b"|")) if "|" in t else t.encode(), state + 1)
                 state += 1
-        if opened:
-            raise ValueError("an optional region is not closed")
+        if opened or forks:
+            raise ValueError("a region is not closed")
         self.end = state
-        # where an attempt begins: the longest run of mandatory words that comes first
+        # where an attempt begins: the run of mandatory words that comes first
         depth, lead = 0, []
         for t in tokens:
-            if t in ("[[", "]]"):
-                depth += 1 if t == "[[" else -1
-                if lead and t == "[[":
+            if t in ("[[", "]]", "((", "))"):
+                if lead and t in ("[[", "(("):
+                    break
+                depth += 1 if t in ("[[", "((") else -1
+            elif not depth and (t[0] == "{" or t == "$" or "|" in t):
+                if lead:
                     break
-            elif t[0] == "{" or not depth and (t == "$" or "|" in t):
-                break
             elif not depth:
                 lead.append(t)
         self.lead = f" {' '.join(lead)} ".encode()
-        self.start = next(s for s in range(state) if self.step.get(s, (None,))[0] == lead[0].encode() and self._plain_from(s, lead))
+        at = next(s for s in range(state) if self.step.get(s, (None,))[0] == lead[0].encode() and self._plain_from(s, lead))
+        #: words of choice before the first mandatory ones; what else stands before them changes nothing
+        self.start, self.back = (0, at) if all(isinstance(self.step.get(k, (None,))[0], frozenset) for k in range(at)) else (at, 0)
 
     def _plain_from(self, s: int, lead: list[str]) -> bool:
         for w in lead:
@@ -166,8 +215,11 @@ class Automaton:
         return out
 
     def accepts(self, words: list[bytes], at: int) -> bool:
-        """Whether the template, from its first mandatory words on, stands at words[at:]. Optional regions before those change nothing."""
+        """Whether the template stands at words[at:], where its first mandatory words are. Optional regions before those change nothing."""
         now = self._closure({self.start})
+        at -= self.back
+        if at < 0:
+            return False
         while self.end not in now:
             if at > len(words) or not now:
                 return False
