@@ -467,3 +467,66 @@ def test_token_files_want_whole_numbers(spark):
 
     with pytest.raises(TypeError):
         huffman.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), C.new_path(spark, "t"))
+
+
+# ------------------------------------------------------------------------------------------------------------- licences
+
+def expression(wording):
+    """The template as a regular expression over words with a space before each."""
+    out = []
+    for t in re.findall(r"\[\[|\]\]|\(\(|\)\)|/|\{\d+\}|[^\s\[\]{}()/]+", wording):
+        out.append({"[[": "(?:", "]]": ")?", "((": "(?:", "))": ")", "/": "|", "$": "$"}.get(t) or (rf"(?: \S+){{0,{t[1:-1]}}}" if t[0] == "{" else f" (?:{t})(?= |$)" if "|" in t else f" {re.escape(t)}(?= |$)"))
+    return re.compile("".join(out))
+
+
+def drawn(wording, rnd):
+    """Words that the template accepts."""
+    out, todo = [], re.findall(r"\[\[|\]\]|\(\(|\)\)|/|\{\d+\}|[^\s\[\]{}()/]+", wording)
+    keep, skip = [True], 0
+    fork = []
+    for t in todo:
+        if t == "[[":
+            keep.append(keep[-1] and rnd.random() < 0.5)
+        elif t == "]]":
+            keep.pop()
+        elif t == "((":
+            fork.append(rnd.random() < 0.5)
+            keep.append(keep[-1] and fork[-1])
+        elif t == "/":
+            keep[-1] = keep[-2] and not fork[-1]
+        elif t == "))":
+            keep.pop()
+            fork.pop()
+        elif keep[-1] and t != "$":
+            out += [f"name{k}" for k in range(rnd.randint(0, int(t[1:-1])))] if t[0] == "{" else [rnd.choice(t.split("|"))]
+    return out
+
+
+def test_templates_against_regular_expressions():
+    from quaymaster.llm import licenses
+
+    rnd = random.Random(13)
+    hits = misses = 0
+    for label, wording in licenses.TEMPLATES:
+        one, automaton = expression(wording), licenses.Automaton(wording)
+        for k in range(24):
+            words = drawn(wording, rnd)
+            if k >= 4:  # a word lost, changed, added, doubled or two changed over
+                at = rnd.randrange(len(words))
+                words = [words[:at] + words[at + 1 :], [*words[:at], "other", *words[at + 1 :]], [*words[:at], "not", *words[at:]], [*words[: at + 1], *words[at:]], [*words[:at], *words[at : at + 2][::-1], *words[at + 2 :]]][k % 5]
+            text = " ".join([*(["some", "text"] if k % 2 else []), *words, *(["and", "more"] if k % 3 == 0 and "$" not in wording else [])])
+            want = bool(one.search(" " + text))
+            got = label in licenses.scan(text, [(label, automaton)])[5].split(",") if label not in licenses.PHRASES.values() else licenses.scan(text, [(label, automaton)])[6] == 1.0
+            assert got == want, (label, text)
+            assert want or k >= 4
+            hits, misses = hits + want, misses + (not want)
+    assert hits > 150 and misses > 400
+
+
+def test_one_wording_for_another():
+    from quaymaster.llm import licenses
+
+    a = licenses.Automaton("this|that work is ((free/without any cost [[at all]])) for {1} use")
+    ok = lambda s: licenses.scan(s, [("x", a)])[5] == "x"
+    assert all(map(ok, ("This work is free for use", "that work is without any cost for home use", "x that work is without any cost at all for use y")))
+    assert not any(map(ok, ("a work is free for use", "this work is free at all for use", "this work is for use", "this work is without any for use", "this work is free without any cost for use")))
