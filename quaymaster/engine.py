@@ -56,7 +56,11 @@ class ExposureGraph:
         adv = readers.tables_of_advisories(staged(readers.advisory_archives(spark, advisories), "records"))
         known = adv["affected"].join(deps["packages"].select("pkg_id"), "pkg_id", "left_semi")
         own = {**deps, **adv, "affected": known}
-        return cls(**{k: staged(own[k], k) for k in TABLES[:6]})
+        made = {k: staged(own[k], k) for k in TABLES[:6]}
+        for name, number, keys in (("packages", "pkg_id", ["ecosystem", "name"]), ("versions", "ver_id", ["pkg_id", "version"]), ("advisories", "adv_id", ["osv_id"])):
+            if two := readers.collisions(made[name], number, *keys).first():
+                raise ValueError(f"{name}: {two['one']} and {two['other']} have one hash; rename one of them")
+        return cls(**made)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> ExposureGraph:

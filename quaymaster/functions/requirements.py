@@ -104,18 +104,20 @@ def pep440_satisfies(version: pd.Series, requirement: pd.Series) -> pd.Series:
     from packaging.specifiers import SpecifierSet
     from packaging.version import Version
 
-    known: dict[str, object] = {}
-
-    def one(v: str, part: str) -> bool:
-        part = (part or "").strip()
-        if part in ANY:
-            return True
+    def read(kind, text: str):
         try:
-            if part not in known:
-                known[part] = SpecifierSet(part, prereleases=True)
-            return Version(v) in known[part]
+            return kind(text)
         except Exception:  # an invalid version or specifier says nothing against the version
-            return True
+            return None
+
+    # each distinct text is parsed once
+    parts = {p.strip() for r in requirement.unique() for p in (r or "").split("||")}
+    sets = {p: None if p in ANY else read(lambda x: SpecifierSet(x, prereleases=True), p) for p in parts}
+    parsed = {v: read(Version, v) for v in version.unique() if v is not None}
+
+    def one(v: str, part: str) -> bool:
+        spec, own = sets[part.strip()], parsed[v]
+        return True if spec is None or own is None else own in spec
 
     return pd.Series([None if v is None else any(one(v, p) for p in (r or "").split("||")) for v, r in zip(version, requirement, strict=True)], dtype="object")
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 PART = "struct<r:int,n:decimal(38,0),s:string>"
 PARTS = f"array<{PART}>"
-MAVEN_TOKENS = 24
 #: Maven's order of qualifiers (fixed values).
 QUALIFIERS = {"alpha": -6, "beta": -5, "milestone": -4, "rc": -3, "cr": -3, "snapshot": -2, "": -1, "final": 0, "ga": 0, "release": 0, "sp": 1}
 SEMVER = r"^[vV]?(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?"
@@ -62,7 +61,17 @@ def maven_parts(v: Column) -> Column:
     rank = F.create_map(*[F.lit(x) for k, n in QUALIFIERS.items() for x in (k, n)])
     tokens = F.regexp_extract_all(F.lower(strip(v)), F.lit(r"\d+|[^\d.-]+"), F.lit(0))
     own = F.transform(tokens, lambda t: F.when(t.rlike(r"^\d"), part(1, t)).when(rank[t].isNotNull(), part(1, rank[t])).otherwise(part(0, 0, t)))
-    return let(own, lambda a: F.concat(a, F.array_repeat(part(1), F.greatest(F.lit(0), F.lit(MAVEN_TOKENS) - F.size(a)))))
+
+    # A version goes on with zeros without end. The end of the array is (1, 0, "m"); zeros before another part are one element that stands
+    # before the end if that part is less than zero, the nearer the more zeros there are, and after it if it is greater.
+    def step(acc: Column, x: Column) -> Column:
+        zero = (x["r"] == 1) & (x["n"] == 0)
+        less = (x["r"] == 0) | (x["n"] < 0)
+        k = F.lpad(F.when(less, acc["zeros"]).otherwise(999_999_999 - acc["zeros"]).cast("string"), 9, "0")
+        run = F.when(acc["zeros"] > 0, F.array(part(1, 0, F.concat(F.when(less, "l").otherwise("n"), k)))).otherwise(F.array().cast(PARTS))
+        return F.when(zero, F.struct(acc["out"].alias("out"), (acc["zeros"] + 1).alias("zeros"))).otherwise(F.struct(F.concat(acc["out"], run, F.array(x)).alias("out"), F.lit(0).alias("zeros")))
+
+    return F.aggregate(own, F.struct(F.array().cast(PARTS).alias("out"), F.lit(0).alias("zeros")), step, lambda acc: F.concat(acc["out"], F.array(part(1, 0, "m"))))
 
 
 def pep440_parts(v: Column) -> Column:

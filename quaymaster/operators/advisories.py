@@ -12,14 +12,12 @@ from .cohesion import stars
 
 
 def canonical_ids(advisories: DataFrame, aliases: DataFrame) -> DataFrame:
-    """osv_id, canon_id: ids that share an alias form a group, named by its smallest CVE id, else by its smallest id. Ids become numbers
-    only for the components, by a hash; the groups' names come from the ids themselves."""
+    """osv_id, canon_id: ids that share an alias form a group, named by its smallest CVE id, else by its smallest id. The ids
+    themselves are the nodes, so no two can be taken for one."""
     ids = advisories.select("osv_id").union(aliases.select("osv_id")).distinct()
-    h = lambda c: F.xxhash64(c)
-    edges = aliases.select(h("osv_id").alias("src"), h("alias").alias("dst"))
-    roots = stars(edges, [])
-    known = ids.union(aliases.select("alias")).distinct().select(F.col("osv_id").alias("id"), h("osv_id").alias("node"))
-    grouped = staged(known.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root")), "canon")
+    roots = stars(aliases.select(F.col("osv_id").alias("src"), F.col("alias").alias("dst")), [])
+    known = ids.union(aliases.select("alias")).distinct().select(F.col("osv_id").alias("id"))
+    grouped = staged(known.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "canon")
     names = grouped.groupBy("root").agg(F.min(F.when(F.startswith("id", F.lit("CVE-")), F.col("id"))).alias("cve"))
     own = grouped.join(ids.select(F.col("osv_id").alias("id")), "id", "left_semi")
     least = own.groupBy("root").agg(F.min("id").alias("least"))

@@ -16,6 +16,14 @@ def degree_stats(degrees: DataFrame) -> DataFrame:
     return both.groupBy("direction").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("d").alias("max"), F.avg((F.col("d") == 0).cast("double")).alias("zero_frac"))
 
 
+def percentiles(df: DataFrame, column: str) -> DataFrame:
+    """One row: n, p50, p90, p99, max and mean of a measure such as a latency, with linear interpolation between neighbours. Equal values
+    are folded before they are gathered."""
+    h = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    p = lambda q: F.expr(f"percentile(x, {q}, c)")
+    return h.agg(F.sum("c").alias("n"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"))
+
+
 def histogram(degrees: DataFrame, column: str) -> DataFrame:
     """k, c: how many nodes have each degree. Everything about a degree law is computed from this small table."""
     return degrees.groupBy(F.col(column).alias("k")).agg(F.count(F.lit(1)).alias("c"))

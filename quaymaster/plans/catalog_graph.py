@@ -121,6 +121,13 @@ def _(spark, sf):
     return RM.ripple(p.select(F.col("pkg_id").alias("key"), "pkg_id"), v, r)
 
 
+@query("trv09_neighbour_probe", based(", seen AS (SELECT pkg_id AS root, pkg_id AS node, 0 AS depth FROM packages UNION SELECT s.root, e.dst, s.depth + 1 FROM seen s JOIN pkgdep e ON e.src = s.node WHERE s.depth < 2), near AS (SELECT root, node, min(depth) AS depth FROM seen GROUP BY root, node) SELECT depth, count(*) AS touched, count(DISTINCT node) AS nodes FROM near GROUP BY depth"))
+def _(spark, sf):
+    # neighbours two levels out from every package; bench.py times it
+    seen = T.walk(nodes(spark, sf).select(F.col("node").alias("root"), "node"), table(spark, sf, "pkgdep"), 2, name="probe")
+    return seen.groupBy("depth").agg(F.count(F.lit(1)).alias("touched"), F.countDistinct("node").alias("nodes"))
+
+
 @query("trv08_components_closure", walked("SELECT x.root, p.ecosystem, count(*) AS n FROM reached x JOIN versions v ON x.node = v.ver_id JOIN packages p ON v.pkg_id = p.pkg_id GROUP BY x.root, p.ecosystem"))
 def _(spark, sf):
     v, p = tables(spark, sf, "versions", "packages")
@@ -225,6 +232,12 @@ def _(spark, sf):
     return RK.kendall_tau(degrees(spark, sf), "in_degree", "out_degree").select(Q(F.col("tau")).alias("tau"))
 
 
+@query("agg20_percentiles", f"SELECT count(value) AS n, {q6('quantile_cont(value, 0.5)')} AS p50, {q6('quantile_cont(value, 0.9)')} AS p90, {q6('quantile_cont(value, 0.99)')} AS p99, max(value) AS max, {q6('avg(value)')} AS mean FROM events")
+def _(spark, sf):
+    # the measure of a stream of timings; bench.py uses it on its own
+    return ST.percentiles(raw(spark, sf, "events"), "value").select("n", *[Q(F.col(c)).alias(c) for c in ("p50", "p90", "p99")], "max", Q(F.col("mean")).alias("mean"))
+
+
 @query("ord13_lorenz", based(_DEG + f", h AS (SELECT in_degree::DOUBLE AS value, count(*) AS c FROM deg GROUP BY 1) SELECT value, {q6('sum(c) OVER w / (SELECT sum(c) FROM h)::DOUBLE')} AS share_nodes, {q6('sum(value * c) OVER w / (SELECT sum(value * c) FROM h)')} AS share_value FROM h WINDOW w AS (ORDER BY value)"))
 def _(spark, sf):
     return RK.lorenz(degrees(spark, sf), "in_degree").select("value", Q(F.col("share_nodes")).alias("share_nodes"), Q(F.col("share_value")).alias("share_value"))
@@ -695,6 +708,12 @@ def _(spark, sf):
     return g.withColumn("rate", Q(F.col("n").cast("double") / F.sum("n").over(W.partitionBy("ecosystem"))))
 
 
+@query("ord04_audit_order", walked(verdict_sql(None, 4.0, True) + " SELECT root, advisory, row_number() OVER (PARTITION BY root ORDER BY alert DESC, severity DESC, advisory) AS pos, verdict, severity FROM verdicts"))
+def _(spark, sf):
+    d = P.verdicts(paths(spark, sf), table(spark, sf, "versions"), None, 4.0, reach(spark, sf))
+    return d.select("root", "advisory", F.row_number().over(W.partitionBy("root").orderBy(F.desc("alert"), F.desc("severity"), "advisory")).alias("pos"), "verdict", "severity")
+
+
 @query("pol16_alert_funnel", walked(verdict_sql("2024-01-15", 4.0, True) + " SELECT count(*) AS findings, count(*) FILTER (verdict <> 'only_withdrawn_advisories') AS live, count(*) FILTER (verdict NOT IN ('only_withdrawn_advisories', 'not_knowable_as_of_date')) AS known, count(*) FILTER (verdict IN ('exposed', 'present_but_unreachable')) AS severe, count(*) FILTER (alert) AS alerts FROM verdicts"))
 def _(spark, sf):
     d = P.verdicts(paths(spark, sf), table(spark, sf, "versions"), "2024-01-15", 4.0, reach(spark, sf))
@@ -858,6 +877,12 @@ def _(spark, sf):
     return GR.Grounder(p, v, none).names.select("pkg_id", "form")
 
 
+@query("scl19_squashed_names", based(" SELECT pkg_id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS form FROM packages WHERE length(regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) >= 4 AND pkg_id IN (SELECT pkg_id FROM versions)"))
+def _(spark, sf):
+    p, v = tables(spark, sf, "packages", "versions")
+    return GR.Grounder(p, v, p.select(F.lit("x").alias("id"), "pkg_id").limit(0)).squashed.select("pkg_id", "form")
+
+
 @query("scl20_name_forms", based(" SELECT pkg_id, array_to_string([concat('g', '/', lower(name), ':', 'x'), 'x', concat(lower(name), ':x')], '|') AS forms FROM packages"))
 def _(spark, sf):
     return table(spark, sf, "packages").select("pkg_id", F.array_join(GR.name_forms(F.concat(F.lit("G/"), "name", F.lit(":X"))), "|").alias("forms"))

@@ -51,12 +51,27 @@ def advisory_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_shards(spark: SparkSession, path: str, columns: list[str], pattern: str | None = None) -> DataFrame:
-    """CSV files with a header -> the wanted columns; those a file lacks are null. pattern chooses among sibling files."""
+    """CSV files with a header -> the wanted columns; those a file lacks are null. pattern chooses among sibling files. Rows with another
+    number of fields than the header are left out; csv_malformed has them."""
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "DROPMALFORMED")
     df = (reader.option("pathGlobFilter", pattern) if pattern else reader).csv(path)
     return df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+def csv_malformed(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """The rows that csv_shards leaves out, as text (column `row`)."""
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
+    schema = T.StructType([*reader.csv(path).schema.fields, T.StructField("_bad", T.StringType())])
+    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path).where("_bad IS NOT NULL").select(F.col("_bad").alias("row"))
+
+
+def collisions(df: DataFrame, number: str, *keys: str) -> DataFrame:
+    """The numbers that stand for more than one key: ids are 64-bit hashes of natural keys, and must be told apart once after a build."""
+    key = F.struct(*keys)
+    return df.groupBy(number).agg(F.min(key).alias("one"), F.max(key).alias("other")).where("one <> other")
+
+
 def runtime_dependencies(df: DataFrame, kind: str = "Dependency Kind", optional: str = "Optional Dependency") -> DataFrame:
     return df.where(F.lower(F.trim(F.coalesce(kind, F.lit("")))).isin(*RUNTIME) & ~F.lower(F.trim(F.coalesce(optional, F.lit("")))).isin("true", "t", "1"))
 
