@@ -26,6 +26,7 @@ has no other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -207,10 +208,150 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return C.joined(rows, table, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id. Rows of one doc_id are one document, of which the row
+#: For similar texts: words of 64 bits in a long fingerprint, keys and blocks of a key, and the share of differing bits that
+#: texts of a Jaccard similarity of 0.8 are expected to have (the angle between their shingle sets, over a half turn).
+WORDS64, KEYS, KEY_BLOCKS = 4, 96, 4
+SIMILARITY = 0.8
+#: Classes in which hot keys are looked for; what they are decides how links are found, not which.
+HOT_SAMPLE = 100_000
+_MIX = [0, *(int(x) | 1 for x in np.random.default_rng(5).integers(0, 1 << 63, WORDS64 - 1))]
+
+
+def long_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """WORDS64 words: the 64-bit fingerprint, and those of WORDS64 - 1 other hashes of the shingles, mixed from the first."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    w = text.encode().lower().split() if text else []
+    if not w:
+        return np.zeros(WORDS64, np.uint64)
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    n, ones = 0, np.zeros(64 * WORDS64, np.int64)
+    it = iter(shingles)
+    while part := [digest(x, 42) for x in itertools.islice(it, 1 << 14)]:
+        h = np.array(part, np.uint64)
+        every = np.empty((len(part), WORDS64), np.uint64)
+        for k, m in enumerate(_MIX):
+            every[:, k] = _mixed(h, m) if m else h
+        ones += np.unpackbits(every.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+        n += len(part)
+    return np.packbits(2 * ones > n).view(">u8").astype(np.uint64)
+
+
+def _mixed(h: np.ndarray, m: int) -> np.ndarray:
+    x = h * np.uint64(m)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def _words() -> list[str]:
+    return [f"fp{k}" for k in range(WORDS64)]
+
+
+def long_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    schema = C.schema_of(docs, "doc_id", **{k: C.LONG for k in _words()})
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in C.slices(batch):
+                fp = np.array([long_fingerprint(t, words) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, WORDS64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS64))], names=schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def farthest(similarity: float = SIMILARITY) -> int:
+    """So many bits of a long fingerprint may differ: what texts of this similarity are expected to differ by, and one deviation more."""
+    n = 64 * WORDS64
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def block_profiles() -> np.ndarray:
+    """The pivot profile of a block by its eight bits (blocks are alike, as bases repeat in each): see profiles."""
+    x = np.arange(256, dtype=np.uint64)
+    out = np.zeros(256, np.uint64)
+    for k, f in enumerate(families()):
+        gap = np.bitwise_count(x ^ np.uint64(f[0])).astype(np.int64) - np.bitwise_count(x ^ np.uint64(f[1])).astype(np.int64)
+        out |= ((gap + 8) // 2).astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def rng_odd(n: int) -> np.ndarray:
+    return np.random.default_rng(11).integers(0, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+
+
+def similar_links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b), a > b, between classes (cid, n and the words of a distinct long fingerprint) that are similar.
+
+    Each class is dealt out under KEYS keys, each of the pivot profiles of KEY_BLOCKS blocks drawn from all of the fingerprint's: classes
+    that differ in a tenth of their bits share a key with a chance of 0.97, those that differ in a fourth with one of 0.01. Of those that share a key,
+    each is compared with one, so links do not grow with the square of a group: pairs whose pivot distances differ by more than the bound
+    are discarded, the others are verified. Keys that more than a HOT-th of the classes share, fewer than HOT for each of KEYS, are
+    told from a sample and their classes compared with one of the sample where they lie; no other key brings so many together."""
+    from pyspark.sql import Window as W
+
+    rng = np.random.default_rng(7)
+    chosen = np.array([rng.choice(BLOCKS * WORDS64, KEY_BLOCKS, replace=False) for _ in range(KEYS)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        table, odd = block_profiles(), rng_odd(KEY_BLOCKS)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                fp = np.stack([part.column(1 + k).to_numpy() for k in range(WORDS64)], axis=1)
+                own = table[np.ascontiguousarray(fp.astype("<i8")).view(np.uint8)]  # a row's profiles, block by block
+                key = np.zeros((len(fp), KEYS), np.uint64) + np.arange(KEYS, dtype=np.uint64)
+                for j in range(KEY_BLOCKS):
+                    key = _mixed(key ^ own[:, chosen[:, j]], int(odd[j]))
+                cid = np.repeat(part.column(0).to_numpy(), KEYS)
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(key.reshape(-1).view(np.int64))], names=["cid", "key"])
+
+    dealt = classes.select("cid", *_words()).mapInArrow(run, "cid long, key long")
+    n = classes.count()
+    share = max(1, n // HOT_SAMPLE)
+    sampled = dealt.where(F.pmod(F.xxhash64("cid"), F.lit(share)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("b"))
+    hot = C.staged(sampled.where(F.col("n") * C.HOT > max(20_000, n // share)).select("key", "b"), "hot-keys")
+    first = F.min("cid").over(W.partitionBy("key"))
+    if hot.isEmpty():
+        found = dealt.withColumn("b", first)
+    else:
+        small = F.broadcast(hot)
+        found = dealt.join(F.broadcast(hot.select("key")), "key", "left_anti").withColumn("b", first).select("cid", "b").unionByName(dealt.join(small, "key").select("cid", "b"))
+    pairs = C.staged(found.where("cid <> b").select(F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b")).distinct(), "pairs")
+    own = [F.col(w).alias(f"{w}_b") for w in _words()]
+    both = pairs.join(classes.select(F.col("cid").alias("a"), *_words()), "a").join(classes.select(F.col("cid").alias("b"), *own), "b")
+    most = farthest(similarity)
+    table = [F.abs(sum(F.bit_count(F.col(w).bitwiseXOR(F.lit(p))) - F.bit_count(F.col(f"{w}_b").bitwiseXOR(F.lit(p))) for w in _words())) for p in (_signed(f[0]) for f in families())]
+    apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in _words())
+    return both.where((F.greatest(*table) <= most) & (apart <= most)).select("a", "b")
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable) of texts whose shingle sets are similar, told by long fingerprints. Texts
+    with equal ones are of one class; wordless texts are one class. Found with a chance, not for certain: see similar_links."""
+    rows = C.staged(long_fingerprints(docs, words), "long-fps")
+    classes = rows.groupBy(*_words()).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("cid", F.monotonically_increasing_id())
+    classes = C.staged(classes, "classes")
+    roots = components(similar_links(classes, similarity))
+    named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", *_words(), "first", "n", F.coalesce("root", "cid").alias("root"))
+    linked = named.where(F.col("root") != F.col("cid")).select("root").distinct()
+    best = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("first").alias("component"))
+    fp = F.struct(*_words()).alias("fp")
+    table = C.staged(named.join(best, "root", "left").select(fp, "n", F.coalesce("component", "first").alias("component_id")), "components")
+    C.drop_stage(classes)
+    return C.joined(rows.select("doc_id", fp), table, "fp", "n").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each group of similar ones, the one with the smallest doc_id. Rows of one doc_id are one document, of which the row
     with the smallest hash stays; rows without a doc_id stay, as nothing tells them apart."""
-    kept = near_duplicates(docs, words).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = similar(docs, words, similarity).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
     told = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
     one = named.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*told)).alias("_row"))
