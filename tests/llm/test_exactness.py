@@ -530,3 +530,56 @@ def test_one_wording_for_another():
     ok = lambda s: licenses.scan(s, [("x", a)])[5] == "x"
     assert all(map(ok, ("This work is free for use", "that work is without any cost for home use", "x that work is without any cost at all for use y")))
     assert not any(map(ok, ("a work is free for use", "this work is free at all for use", "this work is for use", "this work is without any for use", "this work is free without any cost for use")))
+
+
+def test_similar_texts(spark):
+    from quaymaster.llm import simhash
+
+    assert len(set(simhash.block_profiles().tolist())) == 256 and simhash.farthest(1.0) == 0 and 38 < simhash.farthest() < 50
+    rnd = random.Random(8)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "ru", "sa") for b in ("to", "vi", "ze", "bo", "da", "fu")]
+    text = lambda n: [rnd.choice(words) for _ in range(n)]
+    rows, near, apart = [], [], []
+    for i in range(150):
+        own = text(rnd.randint(80, 300))
+        copy, far = list(own), list(own)
+        for _ in range(max(1, len(own) // 100)):
+            copy[rnd.randrange(len(own))] = "other"
+        for k in range(0, len(own), 6):  # a word in six: hardly a shingle is left
+            far[k] = "changed"
+        rows += [(10 * i, " ".join(own)), (10 * i + 1, " ".join(copy)), (10 * i + 2, " ".join(far)), (10 * i + 3, " ".join(own))]
+    rows += [(9000, None), (9001, ""), (9002, " \n"), (None, rows[0][1]), (9003, "one two"), (9004, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+
+    def jaccard(a, b):
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    texts = dict(rows)
+    near = [i for i in range(150) if jaccard(texts[10 * i], texts[10 * i + 1]) >= 0.85]
+    assert len(near) > 100 and sum(got[10 * i] == got[10 * i + 1] for i in near) >= 0.9 * len(near)
+    assert all(got[10 * i + 3] == got[10 * i] for i in range(150)) and sum(got[10 * i + 2] == 10 * i + 2 for i in range(150)) == 150
+    assert all(got[d] in (10 * (d // 10), d) for d in got if d is not None and d < 9000)
+    assert got[9000] == got[9001] == got[9002] == 9000 and got[9003] == got[9004] == 9003 and got[None] == 0
+    assert simhash.similar(df.limit(0)).count() == 0
+
+
+def test_similar_texts_in_one_large_group(spark, monkeypatch):
+    from quaymaster.llm import common as C, simhash
+
+    monkeypatch.setattr(C, "HOT", 2000)
+    rnd = random.Random(9)
+    base = [rnd.choice(["ka", "lo", "mi", "ne", "ru"]) + rnd.choice(["to", "vi", "ze"]) for _ in range(400)]
+    rows = []
+    for i in range(600):
+        own = list(base)
+        for _ in range(3):
+            own[rnd.randrange(400)] = f"x{rnd.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(f"w{rnd.randrange(500)}" for _ in range(60))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    links = simhash.similar_links(C.staged(simhash.long_fingerprints(df).select(F.col("doc_id").alias("cid"), "fp0", "fp1", "fp2", "fp3"), "c")).count()
+    assert links < 96 * 700
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert sum(got[i] == 0 for i in range(600)) >= 590 and all(got[i] == i for i in range(1000, 1100))
