@@ -45,6 +45,8 @@ SECRET_WORD = r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)
 FEMALE, MALE, NEUTRAL = r"Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra", r"Mr|Herr|Monsieur|Señor|Sr", r"Dr|Prof"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 #: Forms of address in scripts without case, before or after a name (fixed values).
+#: letters of Han, Kana and Hangul, and those that a form of address without case begins with.
+CJK, FIRST = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3", "\u0627\u05d2\u05de\u0936先女小太さ様氏씨님"
 BEFORE, AFTER = r"السيدة|السيد|الدكتورة|الدكتور|גברת|מר|श्रीमती|श्री", r"先生|女士|小姐|太太|さん|様|氏|씨|님"
 KINDS = {
     "secret": f"{_B}{SECRET_WORD}[^\\s\"'<>,;]{{6,}}",
@@ -56,7 +58,7 @@ KINDS = {
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?:[ .()-]{0,2}\d){8,15}(?!\.\d)|0\d(?:[ .-]\d{2}){4}|(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4})" + _A,
     "name": f"{_B}(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? (?:(?:\\p{{Lu}}\\. ?){{1,3}})?{_NAME}(?: {_NAME}){{0,2}}",
-    "uncased": f"{_B}(?:(?:{BEFORE}) [\\p{{L}}\\p{{M}}]{{2,}}|[\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}\\p{{IsHangul}}]{{1,6}}? ?(?:{AFTER})){_A}",
+    "uncased": f"(?=[{FIRST[:4]}{CJK}]){_B}(?:(?:{BEFORE}) [\\p{{L}}\\p{{M}}]{{2,}}|[{CJK}]{{1,6}}? ?(?:{AFTER})){_A}",
 }
 PATTERN = "|".join(KINDS.values())
 #: What looks like an entity and is none.
@@ -64,7 +66,7 @@ NONE = "none"
 #: Country codes of telephone numbers: no code begins another.
 COUNTRY_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: No text without one of these has an entity.
-HINT = f"[0-9@]|{SECRET_WORD}|\\b(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? \\p{{Lu}}|(?:{BEFORE}) |{AFTER}"
+HINT = f"[0-9@{FIRST}]|{SECRET_WORD}|\\b(?:{FEMALE}|{MALE}|{NEUTRAL})\\.? \\p{{Lu}}"
 
 #: Letters by script and case; names by gender; syllables of family names (fixed values).
 LETTERS = {
