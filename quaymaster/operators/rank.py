@@ -75,7 +75,7 @@ def lorenz(df: DataFrame, column: str) -> DataFrame:
 
 
 def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: tau-b of two columns. Discordant pairs are counted as inversions, bit by bit of the ranks: two rows whose ranks in a and in
+    """One row: tau-b of two columns (null where one is constant). Discordant pairs are counted as inversions, bit by bit of the ranks: two rows whose ranks in a and in
     b first part at some bit of the b-rank are compared in the group that shares the higher bits, with counts in order of a. So rows are
     dealt out once for each bit, and no pair is ever made."""
     x = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
@@ -96,7 +96,7 @@ def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
     t = tie("ra").select(F.col("t").alias("ta")).crossJoin(tie("rb").select(F.col("t").alias("tb"))).crossJoin(tie("ra", "rb").select(F.col("t").alias("tab"))).crossJoin(bad)
     total = F.lit(float(n or 0)) * (float(n or 0) - 1) / 2
     concordant_less = total - F.col("ta") - F.col("tb") + F.col("tab") - 2 * F.coalesce("d", F.lit(0.0))
-    return t.select((concordant_less / F.sqrt((total - F.col("ta")) * (total - F.col("tb")))).alias("tau"))
+    return t.select(F.try_divide(concordant_less, F.sqrt((total - F.col("ta")) * (total - F.col("tb")))).alias("tau"))
 
 
 def sampled(nodes: DataFrame, k: int) -> DataFrame:

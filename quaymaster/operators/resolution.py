@@ -11,13 +11,15 @@ from ..plans.staging import staged
 
 
 def satisfying(wanted: DataFrame, versions: DataFrame) -> DataFrame:
-    """wanted (pkg_id, ecosystem, requirement), distinct -> one row for each version of the package that satisfies the requirement. Keys
-    of requirements and of versions are computed once each and written before the join, so that a pair costs comparisons only."""
+    """wanted (pkg_id, ecosystem, requirement), distinct -> one row for each version of the package that satisfies the requirement. Each
+    distinct text of a requirement and of a version is parsed once, however many packages have it, and written before the join, so that a
+    pair costs comparisons only."""
     eco = F.col("ecosystem")
-    asked = staged(wanted.select("pkg_id", "ecosystem", "requirement", R.with_keys(R.parsed(F.col("requirement"), eco), eco).alias("tests")), "requirements")
+    wanted = wanted.withColumn("_r", F.coalesce("requirement", F.lit("")))
+    texts = staged(wanted.select("ecosystem", "_r").distinct().select("ecosystem", "_r", R.with_keys(R.parsed(F.col("_r"), eco), eco).alias("tests")), "requirements")
     named = wanted.select("pkg_id", "ecosystem").distinct().join(versions.select("pkg_id", "ver_id", "version"), "pkg_id")
-    keyed = staged(named.select("pkg_id", "ecosystem", "ver_id", "version", V.version_key(F.col("version"), eco).alias("key")), "candidates")
-    pairs = asked.join(keyed, ["pkg_id", "ecosystem"])
+    keys = staged(named.select("ecosystem", "version").distinct().select("ecosystem", "version", V.version_key(F.col("version"), eco).alias("key")), "version-texts")
+    pairs = wanted.join(texts, ["ecosystem", "_r"]).join(named.join(keys, ["ecosystem", "version"]), ["pkg_id", "ecosystem"]).drop("_r")
     pip = F.lower("ecosystem").isin("pypi", "pip")
     native = pairs.where(~pip).where(R.holds(F.col("version"), F.col("key"), F.col("tests")))
     python = pairs.where(pip).where(R.pep440_satisfies(F.col("version"), F.col("requirement")))

