@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.staging import staged
+
 #: Names of ecosystems as the feeds write them (fixed values).
 ECOSYSTEM = {"npm": "npm", "pypi": "pypi", "maven": "maven", "cargo": "cargo", "crates.io": "cargo", "go": "go", "rubygems": "rubygems", "packagist": "packagist", "nuget": "nuget"}
 DEPENDENCY_RECORD = "ecosystem STRING, package STRING, version STRING, versions ARRAY<STRING>, nodes ARRAY<STRUCT<name: STRING, version: STRING, relation: STRING>>, resolved ARRAY<STRUCT<`from`: ARRAY<STRING>, `to`: ARRAY<STRING>, requirement: STRING>>"
@@ -63,7 +65,8 @@ def csv_malformed(spark: SparkSession, path: str, pattern: str | None = None) ->
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
     schema = T.StructType([*reader.csv(path).schema.fields, T.StructField("_bad", T.StringType())])
-    return reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path).where("_bad IS NOT NULL").select(F.col("_bad").alias("row"))
+    got = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path).where("_bad IS NOT NULL")
+    return staged(got, "malformed").select(F.col("_bad").alias("row"))  # Spark reads the text of such rows beside parsed columns only
 
 
 def collisions(df: DataFrame, number: str, *keys: str) -> DataFrame:

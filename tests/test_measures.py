@@ -98,31 +98,27 @@ def test_hashed_ids_are_checked(spark):
     assert [r.id for r in readers.collisions(df, "id", "eco", "name").collect()] == [1]
 
 
-def test_staged_tables_lie_in_the_shared_folder(spark, tmp_path):
-    class Cluster:
-        """A session on a master that is not local."""
+class Session:
+    """A session that has only what shared_dir asks for."""
 
-        def __init__(self, master):
-            self.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})
-            jsc = type("J", (), {"sc": lambda s: type("S", (), {"getCheckpointDir": lambda s: type("O", (), {"isDefined": lambda s: False})()})()})()
-            self.sparkContext = type("C", (), {"master": master, "_jsc": jsc})
+    def __init__(self, master, conf=None, context=None):
+        self.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: conf if k == "spark.checkpoint.dir" else d)})
+        option = type("Option", (), {"isDefined": lambda s: context is not None, "get": lambda s: context})()
+        jsc = type("J", (), {"sc": lambda s: type("S", (), {"getCheckpointDir": lambda s: option})()})()
+        self.sparkContext = type("C", (), {"master": master, "_jsc": jsc})
 
+
+def test_staged_tables_lie_in_the_shared_folder(spark):
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        assert staging.shared_dir(Session(master, "hdfs://x/y/", "hdfs://z")) == "hdfs://x/y" and staging.shared_dir(Session(master, None, "hdfs://z/")) == "hdfs://z"
         with pytest.raises(RuntimeError):
-            staging.shared_dir(Cluster(master))
-    sc = spark.sparkContext
-    before = staging.shared_dir(spark)
-    sc.setCheckpointDir(f"file://{tmp_path}")
-    try:
-        at = staging.shared_dir(spark)
-        assert at.startswith(f"file:{tmp_path}") or at.startswith(f"file://{tmp_path}")
-        t = staging.staged(spark.range(5), "t")
-        b = staging.staged_by(spark.range(5).withColumn("k", F.col("id") % 2), "b", "k")
-        assert all(x._qm_path.startswith(f"{at}/qm-") for x in (t, b)) and b.count() == 5
-        plan = b.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange" not in plan
-        for x in (t, b):
-            staging.drop(x)
-        assert not list(tmp_path.glob("*/qm-*"))
-    finally:
-        sc.setCheckpointDir(before.rsplit("/", 1)[0])
+            staging.shared_dir(Session(master))
+    at = staging.shared_dir(spark)
+    t = staging.staged(spark.range(5), "t")
+    b = staging.staged_by(spark.range(5).withColumn("k", F.col("id") % 2), "b", "k")
+    assert all(x._qm_path.startswith(f"{at}/qm-") for x in (t, b)) and b.count() == 5
+    assert "Exchange" not in b.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    for x in (t, b):
+        staging.drop(x)
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(x._qm_path)
