@@ -168,7 +168,7 @@ def first_guess(pieces: list[str], langs: int) -> np.ndarray:
     return np.repeat((SCALE / 1000.0) ** length[:, None] / 30.0, langs, axis=1)
 
 
-def expected_pieces(words: list[str], counts: np.ndarray, index: dict[str, int], prob: np.ndarray, step: int = 20_000) -> np.ndarray:
+def expected_pieces(words: list[str], counts: np.ndarray, index: dict[str, int], prob: np.ndarray, step: int = 8_000) -> np.ndarray:
     """How often each piece is expected in the words, counted (word, language) as counts says."""
     total = np.zeros_like(prob)
     short = [k for k, w in enumerate(words) if len(w) <= BATCH_CHARS]
@@ -273,8 +273,8 @@ class Scorer:
         new = list(words.difference(self.at))
         long = [w for w in new if len(w) > BATCH_CHARS]
         new = [w for w in new if len(w) <= BATCH_CHARS] if long else new
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 8_000):
+            part = new[k : k + 8_000]
             lattice = Lattice(part, self.index)
             self._keep(part, np.log(np.maximum(lattice.forward(self.prob)[lattice.end], 1e-300)))
         if long:
