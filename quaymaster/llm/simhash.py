@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: For similar texts: words of 64 bits in a long fingerprint, keys and blocks of a key, and the share of differing bits that
 #: texts of a Jaccard similarity of 0.8 are expected to have (the angle between their shingle sets, over a half turn).
-WORDS64, KEYS, KEY_BLOCKS = 4, 96, 4
+WORDS64, KEYS, KEY_BLOCKS = 4, 128, 4
 SIMILARITY = 0.8
 #: Classes in which hot keys are looked for; what they are decides how links are found, not which.
 HOT_SAMPLE = 100_000
@@ -290,7 +290,7 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFra
     """Links (a, b), a > b, between classes (cid, n and the words of a distinct long fingerprint) that are similar.
 
     Each class is dealt out under KEYS keys, each of the pivot profiles of KEY_BLOCKS blocks drawn from all of the fingerprint's: classes
-    that differ in a tenth of their bits share a key with a chance of 0.97, those that differ in a fourth with one of 0.01. Of those that share a key,
+    that differ in a tenth of their bits share a key with a chance of 0.99, those that differ in a fourth with one of 0.01. Of those that share a key,
     each is compared with one, so links do not grow with the square of a group: pairs whose pivot distances differ by more than the bound
     are discarded, the others are verified. Keys that more than a HOT-th of the classes share, fewer than HOT for each of KEYS, are
     told from a sample and their classes compared with one of the sample where they lie; no other key brings so many together."""
