@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -218,25 +219,41 @@ HOT_SAMPLE = 100_000
 _MIX = [0, *(int(x) | 1 for x in np.random.default_rng(5).integers(0, 1 << 63, WORDS64 - 1))]
 
 
-def long_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """WORDS64 words: the 64-bit fingerprint, and those of WORDS64 - 1 other hashes of the shingles, mixed from the first."""
+def hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """XXH64 of all shingles of a whole text, in its order."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     w = text.encode().lower().split() if text else []
     if not w:
-        return np.zeros(WORDS64, np.uint64)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    n, ones = 0, np.zeros(64 * WORDS64, np.int64)
-    it = iter(shingles)
-    while part := [digest(x, 42) for x in itertools.islice(it, 1 << 14)]:
-        h = np.array(part, np.uint64)
-        every = np.empty((len(part), WORDS64), np.uint64)
+    return np.fromiter((digest(x, 42) for x in shingles), np.uint64)
+
+
+def long_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """WORDS64 words: the 64-bit fingerprint, and those of WORDS64 - 1 other hashes of the shingles, mixed from the first."""
+    return _long_fingerprint(hashes(text, words))
+
+
+def _long_fingerprint(own: np.ndarray) -> np.ndarray:
+    if not len(own):
+        return np.zeros(WORDS64, np.uint64)
+    ones = np.zeros(64 * WORDS64, np.int64)
+    for i in range(0, len(own), 1 << 14):
+        h = own[i : i + (1 << 14)]
+        every = np.empty((len(h), WORDS64), np.uint64)
         for k, m in enumerate(_MIX):
             every[:, k] = _mixed(h, m) if m else h
         ones += np.unpackbits(every.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
-        n += len(part)
-    return np.packbits(2 * ones > n).view(">u8").astype(np.uint64)
+    return np.packbits(2 * ones > len(own)).view(">u8").astype(np.uint64)
+
+
+def set_digest(own: np.ndarray) -> bytes:
+    """128 bits that tell a set of shingles, given by its distinct hashes in ascending order."""
+    import hashlib
+
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def _mixed(h: np.ndarray, m: int) -> np.ndarray:
@@ -251,18 +268,26 @@ def _words() -> list[str]:
 
 
 def long_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    schema = C.schema_of(docs, "doc_id", **{k: C.LONG for k in _words()})
+    """doc_id, a hash t of the text, the words of the long fingerprint, and the digest of the set of shingles (d0, d1)."""
+    schema = C.schema_of(docs, "doc_id", **{k: C.LONG for k in ("t", *_words(), "d0", "d1")})
 
     def run(batches):
         import pyarrow as pa
 
         C.claim("fingerprints", dict)  # nothing is remembered here, nor what others did
         for batch in batches:
-            for part in C.slices(batch):
-                fp = np.array([long_fingerprint(t, words) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, WORDS64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS64))], names=schema.names)
+            pa.default_memory_pool().release_unused()
+            for part in C.slices(batch, SET_BYTES):
+                own = [hashes(t, words) for t in part.column(1).to_pylist()]
+                fp = np.array([_long_fingerprint(h) for h in own], np.uint64).reshape(-1, WORDS64).view(np.int64)
+                d = _digests(map(np.unique, own))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(np.ascontiguousarray(x)) for x in (*fp.T, *d.T))], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, schema)
+
+
+def _digests(sets) -> np.ndarray:
+    return np.frombuffer(b"".join(map(set_digest, sets)), "<i8").reshape(-1, 2)
 
 
 def farthest(similarity: float = SIMILARITY) -> int:
@@ -287,7 +312,8 @@ def rng_odd(n: int) -> np.ndarray:
 
 
 def similar_links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b), a > b, between classes (cid, n and the words of a distinct long fingerprint) that are similar.
+    """First links (a, b), a > b, between classes (cid and the words of a long fingerprint): most of the similar ones, cheaply. Neither all
+    nor only those: jaccard_links verifies them by their shingles and finds the rest.
 
     Each class is dealt out under KEYS keys, each of the pivot profiles of KEY_BLOCKS blocks drawn from all of the fingerprint's: classes
     that differ in a tenth of their bits share a key with a chance of 0.99, those that differ in a fourth with one of 0.01. Of those that share a key,
@@ -334,20 +360,221 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFra
     return both.where((F.greatest(*table) <= most) & (apart <= most)).select("a", "b")
 
 
+#: So many classes are looked at for frequent shingles, those in so many of them count, and so many are told to the workers. What they
+#: are decides how many pairs are compared, not which are linked.
+FREQUENT_SAMPLE, FREQUENT_IN, FREQUENT = 30_000, 4, 100_000
+#: Words in a sketch: the parities of how many shingles fall to each of its bits.
+SKETCH = 16
+#: So many classes' digests are broadcast at most.
+FEW = 500_000
+#: So many pairs of a group are formed at a time, and sets go out by so many bytes of text.
+PAIRS, SET_BYTES = 1 << 20, 1 << 20
+#: Rows that a task holds at a time, or those of one key if they are more.
+MET = 1 << 16
+
+
+def shingle_sets(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The set of shingles of each row: its digest (d0, d1) and its hashes in ascending order (as signed integers)."""
+    def run(batches):
+        import pyarrow as pa
+
+        C.claim("fingerprints", dict)
+        for batch in batches:
+            pa.default_memory_pool().release_unused()
+            for part in C.slices(batch, SET_BYTES):
+                own = [np.unique(hashes(t, words)) for t in part.column(0).to_pylist()]
+                d = _digests(own)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in d.T), _lists(own)], names=["d0", "d1", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "d0 long, d1 long, shingles array<long>")
+
+
+def _lists(parts: list[np.ndarray]):
+    import pyarrow as pa
+
+    edge = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def frequent_shingles(docs: DataFrame, classes: int, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that many sets hold, and in how many of the sample they are. Equal sets count once."""
+    share = -(-max(classes, 1) // FREQUENT_SAMPLE)
+    some = shingle_sets(docs.where(F.pmod(C.crc_of_text(), F.lit(share)) == 0), words).groupBy("d0", "d1").agg(F.first("shingles").alias("shingles"))
+    counts = some.select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT_IN)
+    got = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = got.column("h").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def ratio(similarity: float) -> tuple[int, int]:
+    """The similarity as a fraction, as it is written."""
+    f = Fraction(str(similarity))
+    if not 0 < f <= 1:
+        raise ValueError("a similarity is above 0 and 1 at most")
+    return f.numerator, f.denominator
+
+
+def prefix_of(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first of a set's shingles in an order that all sets share (rare ones by hash, then frequent ones by frequency), so many that two
+    similar sets have the first shingle that they share among them: a set that shares fewer than similarity x size cannot be similar."""
+    p, q = ratio(similarity)
+    if len(frequent[0]) and len(own):
+        at = np.minimum(np.searchsorted(frequent[0], own), len(frequent[0]) - 1)
+        rank = np.where(frequent[0][at] == own, frequent[1][at], 0)
+        if rank.any():
+            own = own[np.argsort(rank, kind="stable")]
+    return own[: len(own) + 1 - -(-p * len(own) // q)] if len(own) else own
+
+
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    """SKETCH words whose bits are the parities of the shingles that fall to them: two sketches differ in no more bits than their sets in
+    shingles."""
+    at = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(64 * SKETCH)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view("<u8").astype(np.uint64)
+
+
+def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """For each distinct set of shingles: its digest (d0, d1), size, prefix and sketch."""
+    def run(batches):
+        import pyarrow as pa
+
+        C.claim("fingerprints", dict)
+        for batch in batches:
+            pa.default_memory_pool().release_unused()
+            for part in C.slices(batch, SET_BYTES):
+                own = [np.unique(hashes(t, words)) for t in part.column(0).to_pylist()]
+                d = _digests(own)
+                size = np.array([len(h) for h in own], np.int64)
+                told = [_lists([prefix_of(h, frequent, similarity) for h in own]), _lists([sketch_of(h) for h in own])]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in d.T), pa.array(size), *told], names=["d0", "d1", "size", "prefix", "sketch"])
+
+    every = docs.select("text").mapInArrow(run, "d0 long, d1 long, size long, prefix array<long>, sketch array<long>")
+    return every.groupBy("d0", "d1").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "sketch")])
+
+
+def group_pairs(key: np.ndarray, root: np.ndarray, cid: np.ndarray, size: np.ndarray, pos: np.ndarray, sketch: np.ndarray | None = None, similarity: float = SIMILARITY):
+    """Pairs (a, b) of classes of a key and of different roots that may be similar by their sizes, by the places of the shared shingle in
+    their prefixes and by their sketches, some at a time. Rows of a key stand together, by root; pairs of one root are linked already and never formed."""
+    p, q = ratio(similarity)
+
+    def ends(new: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(np.append(True, new))
+        return np.repeat(np.append(at[1:], len(key)), np.diff(np.append(at, len(key))))
+
+    other = key[1:] != key[:-1]
+    end, own = ends(other), ends(other | (root[1:] != root[:-1]))
+    rows = np.flatnonzero(end > own)
+    total = np.cumsum((end - own)[rows])
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        i = rows[at:upto]
+        n = (end - own)[i]
+        j = np.repeat(own[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        i = np.repeat(i, n)
+        both = size[i] + size[j]
+        keep = q * np.minimum(size[i], size[j]) >= p * np.maximum(size[i], size[j])
+        keep &= (p + q) * np.minimum(size[i] - pos[i], size[j] - pos[j]) >= p * both
+        i, j = i[keep], j[keep]
+        if sketch is not None:
+            apart = np.zeros(len(i), np.int64)
+            for k in range(sketch.shape[1]):
+                apart += np.bitwise_count(sketch[i, k] ^ sketch[j, k])
+            keep = (p + q) * apart <= (q - p) * both[keep]
+            i, j = i[keep], j[keep]
+        i, j = cid[i], cid[j]
+        if len(i):
+            yield np.maximum(i, j), np.minimum(i, j)
+        at = upto
+
+
+def other_pairs(own: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b), a > b, of classes (cid, size, prefix, sketch) with different roots (of node, if it has one but itself), all that are
+    similar among them."""
+    from pyspark.sql import Window as W
+
+    dealt = own.select("cid", "size", F.posexplode("prefix").alias("pos", "key")).select("key", "cid", F.shiftleft("size", 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    met = C.staged(dealt.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("n > 1").drop("n"), "met")  # most shingles are one set's only
+    told = own.select("cid", "sketch").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "sketch", F.coalesce("root", "cid").alias("root"))
+    rows = met.join(told, "cid").select("key", "root", "cid", "at", "sketch").repartition("key").sortWithinPartitions("key", "root")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(key, root, cid, at, sketch):
+            for a, b in group_pairs(key, root, cid, at >> 32, at & 0xFFFFFFFF, sketch, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            sketch = batch.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+            held.append([*(batch.column(k).to_numpy() for k in range(4)), sketch])
+            n += batch.num_rows
+            if n >= MET:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                k = rows[0]
+                cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+                if cut:
+                    yield from out(*(x[:cut] for x in rows))
+                held, n = [[x[cut:] for x in rows]], n - cut
+        if n:
+            yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    pairs = C.staged(rows.mapInArrow(run, "a long, b long").distinct(), "other-pairs")
+    C.drop_stage(met)
+    return pairs
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """Those pairs (a, b) of classes (cid, d0, d1, and the hash t of a text) whose sets of shingles are similar, staged."""
+    pairs = C.staged(pairs, "to-verify")
+    uses = pairs.select(F.col("b").alias("cid"), F.lit(1).alias("n")).unionAll(pairs.select(F.col("a").alias("cid"), F.lit(0).alias("n"))).groupBy("cid").agg(F.sum("n").alias("n"))
+    wanted = C.staged(classes.select("cid", "d0", "d1", "t").join(uses, "cid"), "wanted")
+    lent = F.broadcast if wanted.count() <= FEW else lambda x: x
+    texts = docs.select("text", F.xxhash64("text").alias("t")).join(lent(wanted.select("t")), "t", "left_semi")  # one text of each class, and its copies
+    sets = shingle_sets(texts, words).join(lent(wanted.drop("t")), ["d0", "d1"]).groupBy("cid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    sets = C.staged(sets, "sets")
+    C.drop_stage(wanted)
+    p, q = ratio(similarity)
+    both = C.joined(pairs, sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"), "n"), "b", "n")
+    both = both.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    out = C.staged(both.where(shared * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b"), "links")
+    C.drop_stage(sets)
+    C.drop_stage(pairs)
+    return out
+
+
+def jaccard_links(docs: DataFrame, classes: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b), a > b, between classes (cid, d0, d1, t, the words of a long fingerprint) of docs whose sets of shingles have this Jaccard
+    similarity or more: only such, and enough to connect all that are.
+
+    The first links are told by fingerprints and verified. The rest is found for certain: similar sets share a shingle of their prefixes,
+    so classes meet under each shingle of theirs, and pairs that the first links do not connect are compared, by sizes, by the places of
+    the shingle, by sketches (none of which discards a similar pair), and at last by all their shingles."""
+    own = prefixes(docs, frequent_shingles(docs, classes.count(), words), words, similarity)
+    own = C.staged(own.join(classes.select("cid", "d0", "d1"), ["d0", "d1"]).drop("d0", "d1"), "prefixes")
+    first = verified(similar_links(classes, similarity), docs, classes, words, similarity)
+    rest = verified(other_pairs(own, components(first), similarity), docs, classes, words, similarity)
+    C.drop_stage(own)
+    return first.unionAll(rest)
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id reachable) of texts whose shingle sets are similar, told by long fingerprints. Texts
-    with equal ones are of one class; wordless texts are one class. Found with a chance, not for certain: see similar_links."""
+    """doc_id and component_id (the smallest doc_id reachable) of texts whose sets of shingles have this Jaccard similarity or more, all of
+    them: see jaccard_links. Texts with equal sets are of one class; wordless texts are one class."""
     rows = C.staged(long_fingerprints(docs, words), "long-fps")
-    classes = rows.groupBy(*_words()).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("cid", F.monotonically_increasing_id())
-    classes = C.staged(classes, "classes")
-    roots = components(similar_links(classes, similarity))
-    named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", *_words(), "first", "n", F.coalesce("root", "cid").alias("root"))
+    classes = rows.groupBy("d0", "d1").agg(F.min(F.struct(*_words())).alias("fp"), F.min("t").alias("t"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = C.staged(classes.select(F.monotonically_increasing_id().alias("cid"), "d0", "d1", "t", "fp.*", "first", "n"), "classes")
+    roots = components(jaccard_links(docs, classes, words, similarity))
+    named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "d0", "d1", "first", "n", F.coalesce("root", "cid").alias("root"))
     linked = named.where(F.col("root") != F.col("cid")).select("root").distinct()
     best = named.join(linked, "root", "left_semi").groupBy("root").agg(F.min("first").alias("component"))
-    fp = F.struct(*_words()).alias("fp")
-    table = C.staged(named.join(best, "root", "left").select(fp, "n", F.coalesce("component", "first").alias("component_id")), "components")
+    own = F.struct("d0", "d1").alias("own")
+    table = C.staged(named.join(best, "root", "left").select(own, "n", F.coalesce("component", "first").alias("component_id")), "components")
     C.drop_stage(classes)
-    return C.joined(rows.select("doc_id", fp), table, "fp", "n").select("doc_id", "component_id")
+    return C.joined(rows.select("doc_id", own), table, "own", "n").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:

@@ -583,3 +583,51 @@ def test_similar_texts_in_one_large_group(spark, monkeypatch):
     assert links < 128 * 700
     got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
     assert sum(got[i] == 0 for i in range(600)) >= 590 and all(got[i] == i for i in range(1000, 1100))
+
+
+def test_similar_texts_are_all_found(spark):
+    """Components by brute force over the sets of shingles, most pairs close to the bound on either side; a text that many share parts of."""
+    from quaymaster.llm import simhash
+
+    rnd = random.Random(21)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    texts, line = [], [word() for _ in range(40)]
+    for i in range(220):
+        own = [word() for _ in range(rnd.choice([6, 12, 30, 60, 120, 300]))]
+        family = [own]
+        for _ in range(rnd.randint(1, 3)):
+            copy = list(rnd.choice(family))
+            for _ in range(max(1, round(len(copy) * rnd.uniform(0.005, 0.03)))):
+                copy[rnd.randrange(len(copy))] = word()
+            family.append(copy[: rnd.randint(max(1, int(len(copy) * 0.93)), len(copy))])
+        texts += [x + line if i % 4 == 0 else x for x in family]
+    texts += [["a"] * k for k in (3, 4, 5, 9)] + [[], [], *[["b", "c", "d", "e", "f", "g"][:k] for k in range(1, 7)]]
+    rnd.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for w in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert [got[i] for i in range(len(texts))] == label and len(set(label)) < len(texts) - 100
+
+
+def test_pairs_of_a_key():
+    from quaymaster.llm import simhash
+
+    rng = np.random.default_rng(3)
+    for pairs in (7, 1 << 20):
+        simhash.PAIRS, was = pairs, simhash.PAIRS
+        key, root = np.sort(rng.integers(0, 9, 90)), rng.integers(0, 4, 90)
+        order = np.lexsort((root, key))
+        key, root, cid, size, pos = key[order], root[order], rng.permutation(90), rng.integers(8, 14, 90), rng.integers(0, 3, 90)
+        got = [(x, y) for a, b in simhash.group_pairs(key, root, cid, size, pos) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        simhash.PAIRS = was
+        want = [
+            (max(cid[i], cid[j]), min(cid[i], cid[j])) for i, j in itertools.combinations(range(90), 2)
+            if key[i] == key[j] and root[i] != root[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and 9 * min(size[i] - pos[i], size[j] - pos[j]) >= 4 * (size[i] + size[j])
+        ]
+        assert sorted(got) == sorted(want) and len(want) > 20
