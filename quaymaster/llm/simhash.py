@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.cohesion import stars
+from ..operators.pieces import stars
 from . import common as C
 
 RADIUS = 2
