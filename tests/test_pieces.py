@@ -78,3 +78,37 @@ def test_rounds_fall_with_the_edges(spark, monkeypatch):
     monkeypatch.setattr(pieces, "staged", lambda df, name, own=pieces.staged: seen.append(name) or own(df, name))
     assert pieces.stars(path, [], held=100).agg(F.max("root"), F.count("node")).first()[:] == (0, 301)
     assert seen.count("hang") <= 6
+
+
+def test_betweenness_of_pieces(spark):
+    from quaymaster.operators import rank as RK
+
+    e = draw(9, 60, 90)
+    edges, nodes = spark.createDataFrame(e, "src long, dst long"), spark.range(0, 420, 7).withColumnRenamed("id", "node")
+    some = nodes.where("node % 2 = 0")
+    for pivots in (nodes, some):
+        want = {r.node: r[1:] for r in RK.betweenness(nodes, edges, pivots, cutoff=4).collect()}
+        assert any(b for b, _ in want.values())
+        got = {r.node: r[1:] for r in RK.betweenness(nodes, edges, pivots, cutoff=4, many=0).collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(y) for x, y in want.items())
+    # a component that is too large for one task goes through the loops
+    big = {r.node: r[1:] for r in RK.betweenness(nodes, edges, some, cutoff=4, many=0, held=20).collect()}
+    assert all(big[x] == pytest.approx(y) for x, y in want.items())
+
+
+def test_flows_of_a_hub():
+    import numpy as np
+
+    from quaymaster.operators import rank as RK
+
+    # 300 nodes point to a hub, it points to 300 others: all shortest paths between them go through it
+    a, b = np.r_[1:301, np.zeros(300, int)], np.r_[np.zeros(300, int), 301:601]
+    total, far = RK._flows(a, b, 601, np.arange(601), np.arange(601), np.zeros(601, int), 4)
+    assert total[0] == 300 * 300 and not total[1:].any() and far[1] == 1 + 150 and far[0] == 300 and far[301] == 0
+
+
+def test_the_whole_core_counts(spark):
+    from quaymaster.operators import rank as RK
+
+    cores = spark.createDataFrame([(i, 2 + i % 3) for i in range(50_000)] + [(60_000, 1)], "node long, core long")
+    assert RK.core_nodes(cores, cores.select(F.col("node").alias("src"), F.col("node").alias("dst"))).count() == 50_000
