@@ -363,7 +363,7 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY) -> DataFra
 #: So many classes are looked at for frequent shingles, those in so many of them count, and so many are told to the workers. What they
 #: are decides how many pairs are compared, not which are linked.
 FREQUENT_SAMPLE, FREQUENT_IN, FREQUENT = 30_000, 4, 100_000
-#: Words in a sketch: the parities of how many shingles fall to each of its bits.
+#: Words in a sketch at most: the parities of how many shingles fall to each of its bits. One of fewer words has a bit for each shingle.
 SKETCH = 16
 #: So many classes' digests are broadcast at most.
 FEW = 500_000
@@ -428,10 +428,35 @@ def prefix_of(own: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
 
 
 def sketch_of(own: np.ndarray) -> np.ndarray:
-    """SKETCH words whose bits are the parities of the shingles that fall to them: two sketches differ in no more bits than their sets in
-    shingles."""
-    at = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(64 * SKETCH)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view("<u8").astype(np.uint64)
+    """Up to SKETCH words, a power of two, whose bits are the parities of the shingles that fall to them: two sketches, folded to the words of
+    the shorter one, differ in no more bits than their sets in shingles."""
+    words = 1
+    while words < SKETCH and 64 * words < len(own):
+        words *= 2
+    at = (own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(64 * words)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)).view("<u8").astype(np.uint64)
+
+
+def _padded(lists) -> np.ndarray:
+    """Sketches as rows of SKETCH words, and each one's number of words as the last column."""
+    n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    out = np.zeros((len(n), SKETCH + 1), np.uint64)
+    out[:, :SKETCH][np.arange(SKETCH) < n[:, None]] = lists.flatten().to_numpy().view(np.uint64)
+    out[:, SKETCH] = n
+    return out
+
+
+def differing(sketch: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the padded sketches of rows i and j differ, each pair at the words of its shorter one."""
+    own, words = np.minimum(sketch[i, SKETCH], sketch[j, SKETCH]), SKETCH
+    apart, at = np.zeros(len(i), np.int64), sketch[:, :SKETCH]
+    while words:
+        here = np.flatnonzero(own == words)
+        for k in range(words if len(here) else 0):
+            apart[here] += np.bitwise_count(at[i[here], k] ^ at[j[here], k])
+        words //= 2
+        at = at[:, :words] ^ at[:, words : 2 * words]
+    return apart
 
 
 def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -478,10 +503,7 @@ def group_pairs(key: np.ndarray, root: np.ndarray, cid: np.ndarray, size: np.nda
         keep &= (p + q) * np.minimum(size[i] - pos[i], size[j] - pos[j]) >= p * both
         i, j = i[keep], j[keep]
         if sketch is not None:
-            apart = np.zeros(len(i), np.int64)
-            for k in range(sketch.shape[1]):
-                apart += np.bitwise_count(sketch[i, k] ^ sketch[j, k])
-            keep = (p + q) * apart <= (q - p) * both[keep]
+            keep = (p + q) * differing(sketch, i, j) <= (q - p) * both[keep]
             i, j = i[keep], j[keep]
         i, j = cid[i], cid[j]
         if len(i):
@@ -508,8 +530,7 @@ def other_pairs(own: DataFrame, roots: DataFrame, similarity: float = SIMILARITY
 
         held, n = [], 0
         for batch in batches:
-            sketch = batch.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
-            held.append([*(batch.column(k).to_numpy() for k in range(4)), sketch])
+            held.append([*(batch.column(k).to_numpy() for k in range(4)), _padded(batch.column(4))])
             n += batch.num_rows
             if n >= MET:
                 rows = [np.concatenate(x) for x in zip(*held, strict=True)]

@@ -631,3 +631,18 @@ def test_pairs_of_a_key():
             if key[i] == key[j] and root[i] != root[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and 9 * min(size[i] - pos[i], size[j] - pos[j]) >= 4 * (size[i] + size[j])
         ]
         assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_short_sketches_discard_no_similar_sets():
+    from quaymaster.llm import simhash
+
+    r = np.random.default_rng(3)
+    sets = []
+    for n in (1, 30, 64, 65, 130, 260, 500, 513, 900, 3000):
+        x = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(x), np.unique(np.concatenate([x[: n - n // 9], r.integers(0, 1 << 63, n // 12 + 1, dtype=np.uint64)]))]
+    lists = simhash._lists([simhash.sketch_of(x) for x in sets])
+    assert len(lists.flatten()) < 10 * len(sets)  # a sketch is as long as its set needs
+    p, (i, j) = simhash._padded(lists), np.triu_indices(len(sets), 1)
+    apart = simhash.differing(p, i, j)
+    assert all(d <= len(np.setxor1d(sets[a], sets[b])) for d, a, b in zip(apart, i, j, strict=True))
